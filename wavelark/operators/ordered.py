@@ -23,8 +23,11 @@ def running(
     bucket: Column,
     order: Sequence[str],
     totals: Mapping[str, Column],
+    how: str = "sum",
 ) -> DataFrame:
-    """Add running totals of all rows *before* the current one.
+    """Add running sums (or maxima) of all rows *before* the current one.
+
+    Sums start at 0, maxima at null.
 
     ``bucket`` must be non-decreasing along ``order``; rows of one (key,
     bucket) should fit a task.
@@ -40,23 +43,23 @@ def running(
         Window.unboundedPreceding, -1
     )
     names = list(totals)
+    fold = {"sum": F.sum, "max": F.max}[how]
     per_bucket = rows.groupBy(*keys, "_bucket").agg(
-        *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names]
+        *[fold(f"_v_{n}").alias(f"_t_{n}") for n in names]
     )
     offsets = per_bucket.select(
         *keys,
         "_bucket",
-        *[F.sum(f"_t_{n}").over(across).alias(f"_o_{n}") for n in names],
+        *[fold(f"_t_{n}").over(across).alias(f"_o_{n}") for n in names],
     )
-    local = rows.select("*", *[F.sum(f"_v_{n}").over(within).alias(f"_l_{n}") for n in names])
+    local = rows.select("*", *[fold(f"_v_{n}").over(within).alias(f"_l_{n}") for n in names])
     joined = local.join(offsets, [*keys, "_bucket"])
-    return joined.select(
-        *df.columns,
-        *[
-            (F.coalesce(F.col(f"_l_{n}"), F.lit(0)) + F.coalesce(F.col(f"_o_{n}"), F.lit(0))).alias(n)
-            for n in names
-        ],
-    )
+    if how == "sum":
+        zero = F.lit(0)
+        combine = lambda n: F.coalesce(F.col(f"_l_{n}"), zero) + F.coalesce(F.col(f"_o_{n}"), zero)
+    else:
+        combine = lambda n: F.greatest(f"_l_{n}", f"_o_{n}")
+    return joined.select(*df.columns, *[combine(n).alias(n) for n in names])
 
 
 def row_index(
@@ -134,3 +137,19 @@ def exact_quantile(
     ).select(
         *named, (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_share")).alias(name)
     )
+
+
+def top_k(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int, spread: str, name: str = "rank"
+) -> DataFrame:
+    """First ``k`` rows per key with their rank 1…k.
+
+    Every key is first cut down inside 256 salted parts, so at most ``256*k``
+    rows of one key meet in a task.
+    """
+    part = F.pmod(F.xxhash64(spread), F.lit(256))
+    partial = Window.partitionBy(*keys, "_part").orderBy(*order)
+    final = Window.partitionBy(*keys).orderBy(*order)
+    cut = df.withColumn("_part", part).withColumn("_rank", F.row_number().over(partial))
+    cut = cut.filter(F.col("_rank") <= k).drop("_part", "_rank")
+    return cut.withColumn(name, F.row_number().over(final)).filter(F.col(name) <= k)
