@@ -51,6 +51,11 @@ def with_class_from_path(recordings: DataFrame, root: str = "") -> DataFrame:
     return recordings.withColumn("class_name", F.coalesce(folder, F.lit("unclassified")))
 
 
+def listing(recordings: DataFrame) -> DataFrame:
+    """Recordings by class, then name."""
+    return recordings.orderBy("class_name", "file_name", "path")
+
+
 def audio_dirs(recordings: DataFrame, root: str, exts: Iterable[str] = AUDIO_EXTENSIONS) -> DataFrame:
     """Folders directly below ``root`` with the number of audio files in them."""
     inside = F.split(relative_path(F.col("path"), root), "/")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wavelark.functions.text import clean_text, normalise_class
 from wavelark.operators import dataset as S
+from wavelark.operators.ordered import row_index
 from wavelark.plans.registry import query
 from wavelark.sources import adapters as A
 from wavelark.sources.metadata import numbered_urls
@@ -58,27 +59,17 @@ def class_of_path(spark, folder):
     return S.with_class_from_path(rows).select("recording_id", "path", "class_name")
 
 
-@query(
-    "listing_order",
-    f"""WITH {REC} SELECT class_name, file_name, path,
-  row_number() OVER (ORDER BY class_name, file_name, path) AS place FROM rec QUALIFY place <= 200""",
-)
+@query("listing_order", f"WITH {REC} SELECT class_name, file_name, path FROM rec ORDER BY ALL")
 def listing(spark, folder):
-    first = _recordings(spark, folder).orderBy("class_name", "file_name", "path").limit(200)
-    page = first.select("class_name", "file_name", "path")
-    # 200 rows, the page a listing shows: numbering them is one small array.
-    packed = page.agg(F.array_sort(F.collect_list(F.struct("class_name", "file_name", "path"))).alias("rows"))
-    return packed.select(F.posexplode("rows").alias("pos", "r")).select(
-        "r.*", (F.col("pos") + 1).cast("long").alias("place")
-    )
+    return S.listing(_recordings(spark, folder)).select("class_name", "file_name", "path")
 
 
 @query(
     "audio_dir_counts",
-    """SELECT source || '_' || lang AS directory, count(*) AS n_files FROM documents WHERE doc_id % 3 <> 0 GROUP BY 1""",
+    "SELECT source || '_' || lang AS directory, count(*) AS n_files FROM documents WHERE lang <> 'es' GROUP BY 1",
 )
 def dir_counts(spark, folder):
-    ext = F.when(F.col("doc_id") % 3 == 0, ".txt").when(F.col("doc_id") % 3 == 1, ".WAV").otherwise(".flac")
+    ext = F.when(F.col("lang") == "es", ".txt").when(F.col("lang") == "en", ".WAV").otherwise(".flac")
     docs = A.table(spark, folder, "documents").select(
         F.concat(F.lit("/audio/"), "source", F.lit("_"), "lang", F.lit("/f"), F.col("doc_id").cast("string"), ext).alias("path")
     )
@@ -108,8 +99,6 @@ def labelled(spark, folder):
   FROM documents JOIN labels USING (doc_id) WHERE 'rec_' || doc_id || '.wav' NOT IN (SELECT file_name FROM rec)""",
 )
 def without_file(spark, folder):
-    found = _recordings(spark, folder).filter(F.col("recording_id").cast("long") % 4 != 0)
-    del found
     return S.unmatched(A.metadata_from_documents(spark, folder), _recordings(spark, folder))
 
 
@@ -158,12 +147,12 @@ def relabelled(spark, folder):
 
 @query(
     "normalised_class_names",
-    r"""SELECT doc_id, array_to_string(list_filter(string_split_regex(lower(substr(text, 1, 4000)), '\s+'), lambda w: w <> ''), '_') AS name
-  FROM documents WHERE n_chars < 4000""",
+    r"""SELECT doc_id, md5(array_to_string(list_filter(string_split_regex(lower(text), '\s+'), lambda w: w <> ''), '_')) AS name
+  FROM documents""",
 )
 def class_names(spark, folder):
-    docs = A.table(spark, folder, "documents").filter(F.col("n_chars") < 4000)
-    return docs.select("doc_id", normalise_class(F.col("text")).alias("name"))
+    docs = A.table(spark, folder, "documents")
+    return docs.select("doc_id", F.md5(normalise_class(F.col("text")).cast("binary")).alias("name"))
 
 
 @query(
@@ -288,12 +277,11 @@ def class_features(spark, folder):
 @query(
     "url_list",
     """SELECT line_no, url, 'pages_' || line_no || '.wav' AS output_name
-  FROM (SELECT row_number() OVER (ORDER BY page_id) AS line_no, page_id, url FROM pages) WHERE page_id % 5 <> 0""",
+  FROM (SELECT row_number() OVER (ORDER BY page_id) AS line_no, url FROM pages) WHERE NOT contains(url, '?')""",
 )
 def urls(spark, folder):
-    pages = A.table(spark, folder, "pages")
-    from wavelark.operators.ordered import row_index
-
-    lines = pages.select("page_id", F.when(F.col("page_id") % 5 == 0, " ").otherwise(F.concat(F.lit(" "), "url")).alias("value"))
+    # Lines with a query string become blank ones: numbered, then skipped.
+    line = F.when(F.contains("url", F.lit("?")), " ").otherwise(F.concat(F.lit(" "), "url"))
+    lines = A.table(spark, folder, "pages").select("page_id", line.alias("value"))
     numbered = row_index(lines, [], F.floor(F.col("page_id") / 65536), ["page_id"], "line_no")
     return numbered_urls(numbered.withColumn("line_no", F.col("line_no") + 1), "pages")

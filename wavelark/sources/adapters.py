@@ -114,3 +114,29 @@ def files_from_lineitem(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_quantity").cast("long").alias("file_size"),
         F.concat_ws("/", "l_returnflag", "l_linestatus").alias("module_stage"),
     )
+
+
+def pack_samples(samples: DataFrame, chunk: int, halo: int = 0) -> DataFrame:
+    """Long samples (recording_id, channel, sr, idx, value) as signal chunks.
+
+    A group is one chunk plus its halo, whatever the length of the recording.
+    """
+    keys = ["recording_id", "channel"]
+    totals = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_total"))
+    home = F.floor(F.col("idx") / chunk)
+    back = F.ceil(F.greatest(F.lit(halo) - F.col("idx") % chunk, F.lit(0)) / chunk)
+    routed = samples.withColumn("_chunk", F.explode(F.sequence(F.greatest(home - back, F.lit(0)), home)))
+    packed = routed.groupBy(*keys, "sr", "_chunk").agg(
+        F.array_sort(F.collect_list(F.struct("idx", F.col("value").cast("double").alias("value")))).alias("_parts"),
+        F.count_if(home == F.col("_chunk")).cast("int").alias("own"),
+    )
+    return packed.join(totals, keys).select(
+        "recording_id", F.lit("sensor").alias("class_name"), "channel", "sr", "n_total",
+        (F.col("_chunk") * chunk).cast("long").alias("start"), "own",
+        F.transform("_parts", lambda p: p["value"]).alias("samples"),
+    )
+
+
+def signals_from_events(spark: SparkSession, folder: str, chunk: int = 4096, halo: int = 1024) -> DataFrame:
+    """Sensor values as signals of one sample per second."""
+    return pack_samples(samples_from_events(spark, folder), chunk, halo)
