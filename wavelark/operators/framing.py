@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FRAME_COLUMNS = ("recording_id", "class_name", "channel", "sr", "n_total", "frame_idx", "start", "samples")
+from wavelark.model import SIGNAL_SCHEMA
 
 
 def _column(value: Column | int) -> Column:
@@ -27,9 +27,12 @@ def frames(
     hop: Column | int,
     count: Column,
     lead_in: Column | int = 0,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """One row per frame; frame ``i`` begins at ``i*hop - lead_in``.
 
+    ``keep`` names further columns to carry along.
+
     The chunk owning a frame's first sample cuts it, so framing is a map: no
     shuffle, however long the recording.  Samples outside the recording are 0.
     A chunk whose halo is too short for ``length`` fails; see ``with_halo``.
@@ -57,7 +60,7 @@ def frames(
     )
     return cut.select(
         "recording_id", "class_name", "channel", "sr", "n_total", "frame_idx",
-        begin.cast("long").alias("start"), padded.alias("samples"),
+        begin.cast("long").alias("start"), padded.alias("samples"), *keep,
     )
 
 
@@ -140,15 +143,16 @@ def stft_frames(signals: DataFrame, n_fft: int = 2048, hop: int = 512) -> DataFr
     return frames(signals, n_fft, hop, F.floor(F.col("n_total") / hop) + 1, lead_in=n_fft // 2)
 
 
-def overlap_add(pieces: DataFrame, block: int = 65536) -> DataFrame:
+def overlap_add(pieces: DataFrame, block: int = 65536, halo: int = 0) -> DataFrame:
     """Sum overlapping output pieces back into signal chunks.
 
     ``pieces``: recording_id, class_name, channel, sr, n_total, start, samples
     and weight (the window power each sample got, for normalisation).  Every
-    piece goes to the output blocks it touches; a block is one bounded group.
+    piece goes to the output blocks it touches; a block, with its halo, is one
+    bounded group.
     """
     end = F.least(F.col("start") + F.size("samples"), F.col("n_total"))
-    first = F.floor(F.greatest(F.col("start"), F.lit(0)) / block)
+    first = F.floor(F.greatest(F.col("start") - halo, F.lit(0)) / block)
     last = F.floor((end - 1) / block)
     routed = pieces.filter(end > 0).withColumn("_block", F.explode(F.sequence(first, last)))
 
@@ -156,29 +160,22 @@ def overlap_add(pieces: DataFrame, block: int = 65536) -> DataFrame:
         part = part.sort_values("start")
         head = part.iloc[0]
         begin = int(key[2]) * block
-        size = int(min(block, head.n_total - begin))
+        own = int(min(block, head.n_total - begin))
+        size = int(min(own + halo, head.n_total - begin))
         total, weight = np.zeros(size), np.zeros(size)
         for at, samples, power in zip(part["start"], part["samples"], part["weight"]):
             lo, hi = max(at, begin), min(at + len(samples), begin + size)
+            if hi <= lo:
+                continue
             total[lo - begin : hi - begin] += samples[lo - at : hi - at]
             weight[lo - begin : hi - begin] += power[lo - at : hi - at]
         samples = np.where(weight > 1e-8, total / np.maximum(weight, 1e-8), total)
         return pd.DataFrame(
             {
                 "recording_id": [key[0]], "class_name": [head.class_name], "channel": [key[1]],
-                "sr": [head.sr], "n_total": [head.n_total], "start": [begin], "own": [size],
+                "sr": [head.sr], "n_total": [head.n_total], "start": [begin], "own": [own],
                 "samples": [samples],
             }
         )
 
-    from wavelark.model import SIGNAL_SCHEMA
-
     return routed.groupBy("recording_id", "channel", "_block").applyInPandas(add, SIGNAL_SCHEMA)
-
-
-def matrix_batches(column: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows of equal length as one matrix: (row positions, matrix)."""
-    lengths = column.map(len).to_numpy()
-    for n in np.unique(lengths):
-        rows = np.flatnonzero(lengths == n)
-        yield rows, np.stack(column.iloc[rows].to_list())
