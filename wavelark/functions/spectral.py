@@ -54,15 +54,15 @@ def power_spectrum(samples: Column | str, n_fft: int | None = None) -> Column:
 
     @F.arrow_udf("array<double>")
     def spectrum(values: pa.Array) -> pa.Array:
-        def compute(rows: np.ndarray) -> np.ndarray:
-            size = n_fft or rows.shape[1]
-            return _power(rows, size)
-
-        return batched(values, compute)
+        return power_spectrum_batch(values, n_fft)
 
     return spectrum(samples)
 
 
+def power_spectrum_batch(values: pa.Array, n_fft: int | None) -> pa.Array:
+    return batched(values, lambda rows: _power(rows, n_fft or rows.shape[1]))
+
+
 def _frames_by_shape(values: pa.Array, rates: pa.Array):
     """Groups of equal length and rate: (row positions, matrix, rate)."""
     if isinstance(values, pa.ChunkedArray):
@@ -96,32 +96,36 @@ def dominant_frequency(
 
     @F.arrow_udf("double")
     def peak(values: pa.Array, rates: pa.Array) -> pa.Array:
-        out = np.zeros(len(values))
-        for at, frames, rate in _frames_by_shape(values, rates):
-            size = n_fft or frames.shape[1]
-            if size == 0:
-                continue
-            freqs = np.fft.rfftfreq(size, d=1.0 / rate)
-            allowed = np.flatnonzero((freqs >= low_hz) & (freqs <= high_hz))
-            if len(allowed) == 0:
-                continue
-            magnitude = np.sqrt(_power(frames, size)[:, allowed])
-            top = magnitude.argmax(axis=1)
-            line = np.arange(len(top))
-            inner = (top > 0) & (top < len(allowed) - 1)
-            left, mid, right = (
-                magnitude[line, np.clip(top + d, 0, len(allowed) - 1)] for d in (-1, 0, 1)
-            )
-            bend = left - 2 * mid + right
-            usable = inner & (bend != 0)
-            shift = np.zeros(len(top))
-            shift[usable] = 0.5 * (left - right)[usable] / bend[usable]
-            out[at] = freqs[allowed][top] + shift * rate / size
-        return pa.array(out)
+        return dominant_frequency_batch(values, rates, n_fft, low_hz, high_hz)
 
     return peak(samples, sr)
 
 
+def dominant_frequency_batch(
+    values: pa.Array, rates: pa.Array, n_fft: int | None, low_hz: float, high_hz: float
+) -> pa.Array:
+    out = np.zeros(len(values))
+    for at, frames, rate in _frames_by_shape(values, rates):
+        size = n_fft or frames.shape[1]
+        if size == 0:
+            continue
+        freqs = np.fft.rfftfreq(size, d=1.0 / rate)
+        allowed = np.flatnonzero((freqs >= low_hz) & (freqs <= high_hz))
+        if len(allowed) == 0:
+            continue
+        magnitude = np.sqrt(_power(frames, size)[:, allowed])
+        top = magnitude.argmax(axis=1)
+        line = np.arange(len(top))
+        inner = (top > 0) & (top < len(allowed) - 1)
+        left, mid, right = (magnitude[line, np.clip(top + d, 0, len(allowed) - 1)] for d in (-1, 0, 1))
+        bend = left - 2 * mid + right
+        usable = inner & (bend != 0)
+        shift = np.zeros(len(top))
+        shift[usable] = 0.5 * (left - right)[usable] / bend[usable]
+        out[at] = freqs[allowed][top] + shift * rate / size
+    return pa.array(out)
+
+
 def band_power(
     samples: Column | str, sr: Column | str, n_fft: int, limits: list[tuple[float, float]]
 ) -> Column:
@@ -147,33 +151,27 @@ def gcc_phat(first: Column | str, second: Column | str, max_shift: Column) -> Co
 
     @F.arrow_udf("int")
     def delay(a: pa.Array, b: pa.Array, limit: pa.Array) -> pa.Array:
-        la, lb = (np.asarray(x.value_lengths()) for x in (a, b))
-        fa, fb = (np.asarray(x.flatten(), dtype=np.float64) for x in (a, b))
-        sa, sb = (np.concatenate([[0], np.cumsum(x)])[:-1] for x in (la, lb))
-        bounds = np.asarray(limit.fill_null(-1))
-        out = np.zeros(len(la), dtype=np.int32)
-        for n, m in np.unique(np.stack([la, lb], axis=1), axis=0):
-            rows = np.flatnonzero((la == n) & (lb == m))
-            size = 1 << int(np.ceil(np.log2(n + m - 1)))
-            x = np.fft.rfft(fa[sa[rows][:, None] + np.arange(n)], n=size, axis=1)
-            y = np.fft.rfft(fb[sb[rows][:, None] + np.arange(m)], n=size, axis=1)
-            cross = x * np.conj(y)
-            cross /= np.maximum(np.abs(cross), 1e-10)
-            strength = np.abs(np.fft.fftshift(np.fft.irfft(cross, n=size, axis=1), axes=1))
-            lags = np.arange(size) - size // 2
-            reach = np.where(bounds[rows] < 0, size, bounds[rows])
-            strength[np.abs(lags)[None, :] > reach[:, None]] = -1.0
-            out[rows] = lags[np.argmax(strength, axis=1)]
-        return pa.array(out)
+        return gcc_phat_batch(a, b, limit)
 
     return delay(first, second, max_shift.cast("int"))
 
 
-def register(spark) -> None:
-    """Make the transforms callable from ``spark.sql``."""
-
-    @F.arrow_udf("array<double>")
-    def power_spectrum_sql(values: pa.Array) -> pa.Array:
-        return batched(values, lambda rows: _power(rows, rows.shape[1]))
-
-    spark.udf.register("power_spectrum", power_spectrum_sql)
+def gcc_phat_batch(first: pa.Array, second: pa.Array, limit: pa.Array) -> pa.Array:
+    la, lb = (np.asarray(x.value_lengths()) for x in (first, second))
+    fa, fb = (np.asarray(x.flatten(), dtype=np.float64) for x in (first, second))
+    sa, sb = (np.concatenate([[0], np.cumsum(x)])[:-1] for x in (la, lb))
+    bounds = np.asarray(limit.fill_null(-1))
+    out = np.zeros(len(la), dtype=np.int32)
+    for n, m in np.unique(np.stack([la, lb], axis=1), axis=0):
+        rows = np.flatnonzero((la == n) & (lb == m))
+        size = 1 << int(np.ceil(np.log2(n + m - 1)))
+        x = np.fft.rfft(fa[sa[rows][:, None] + np.arange(n)], n=size, axis=1)
+        y = np.fft.rfft(fb[sb[rows][:, None] + np.arange(m)], n=size, axis=1)
+        cross = x * np.conj(y)
+        cross /= np.maximum(np.abs(cross), 1e-10)
+        strength = np.abs(np.fft.fftshift(np.fft.irfft(cross, n=size, axis=1), axes=1))
+        lags = np.arange(size) - size // 2
+        reach = np.where(bounds[rows] < 0, size, bounds[rows])
+        strength[np.abs(lags)[None, :] > reach[:, None]] = -1.0
+        out[rows] = lags[np.argmax(strength, axis=1)]
+    return pa.array(out)

@@ -79,6 +79,64 @@ def mel_blocks(signals: DataFrame, n_fft: int, hop: int) -> DataFrame:
     )
 
 
+def describe_block(
+    samples, start: int, block: int, n: int, sr: int, loudest: float, config: FeatureConfig, n_fft: int, hop: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Frame numbers and values (frames × families) of one block."""
+    wanted = {name for name, _ in layout(config)}
+    size = min(n_fft, n)
+    total = n // hop + 1
+    first = block * PER_BLOCK - MARGIN
+    spectra = _spectra(samples, n_fft, size, hop)
+    inside = np.flatnonzero((np.arange(len(spectra)) + first >= 0) & (np.arange(len(spectra)) + first < total))
+    low, high = int(inside[0]), int(inside[-1]) + 1
+    spectra, first = spectra[low:high], first + low
+    own_first = block * PER_BLOCK - first
+    own = slice(own_first, min(own_first + PER_BLOCK, len(spectra)))
+    frames = np.arange(own.start, own.stop)
+    magnitude = np.abs(spectra)
+    here = magnitude[own]
+    parts: dict[str, np.ndarray] = {}
+    if {"mfcc", "mel"} & wanted:
+        mel = magnitude**2 @ D.mel_matrix(sr, size, N_MELS).T
+        parts["mel"] = mel[own]
+    if "mfcc" in wanted:
+        level = np.maximum(D.decibels(mel), D.decibels(np.array(loudest)) - TOP_DB)
+        cepstra = level @ D.dct_matrix(config.n_mfcc, N_MELS).T
+        parts["mfcc"] = cepstra[own]
+        # The first and last frame stand in for missing neighbours.
+        around = np.clip(frames[:, None] + np.arange(-4, 5), 0, len(cepstra) - 1)
+        if "delta" in wanted:
+            parts["delta"] = D.slope(cepstra, around, 1)
+            parts["delta2"] = D.slope(cepstra, around, 2)
+    if "chroma" in wanted:
+        parts["chroma"] = D.chroma(here**2, sr, size)
+    if "tonnetz" in wanted:
+        steady = D.harmonic_power(magnitude, own, first, total)
+        parts["tonnetz"] = D.tonnetz(D.chroma(steady, sr, size))
+    if "contrast" in wanted:
+        parts["contrast"] = D.contrast(here, sr, size)
+    if {"centroid", "bandwidth", "rolloff", "flatness"} & wanted:
+        parts |= {k: v[:, None] for k, v in D.shape(here, sr, size).items()}
+    if "flux" in wanted:
+        before = magnitude[np.clip(frames - 1, 0, None)]
+        flux = np.sqrt(((here - before) ** 2).sum(axis=1))
+        parts["flux"] = np.where(frames + first > 0, flux, np.nan)[:, None]
+    if {"zcr", "rms"} & wanted:
+        x = np.asarray(samples)
+        places = np.arange(len(x)) + start
+        real = (places >= 0) & (places < n)
+        skip = n_fft // 2 - size // 2
+        cut = lambda v: np.lib.stride_tricks.sliding_window_view(v, size)[skip::hop][low:high][own]
+        parts["rms"] = np.sqrt((cut(x) ** 2).mean(axis=1))[:, None]
+        change = np.concatenate([[False], (x[1:] < 0) != (x[:-1] < 0)])
+        change[1:] &= real[1:] & real[:-1]
+        counted = cut(change).copy()
+        counted[:, 0] = False
+        parts["zcr"] = counted.mean(axis=1)[:, None]
+    return frames + first, np.hstack([parts[name] for name, _ in layout(config)])
+
+
 def frame_features(
     signals: DataFrame, config: FeatureConfig = FeatureConfig(), n_fft: int = 2048, hop: int = 512
 ) -> DataFrame:
@@ -98,63 +156,13 @@ def frame_features(
         blocks = blocks.withColumn("loudest", F.lit(0.0))
 
     def describe(row) -> pd.DataFrame:
-        n, sr = int(row.n_total), int(row.sr)
-        size = min(n_fft, n)
-        total = n // hop + 1
-        first = row.block * PER_BLOCK - MARGIN
-        spectra = _spectra(row.samples, n_fft, size, hop)
-        inside = np.arange(first, first + len(spectra))
-        low = int(np.flatnonzero((inside >= 0) & (inside < total))[0])
-        high = int(np.flatnonzero((inside >= 0) & (inside < total))[-1]) + 1
-        spectra, first = spectra[low:high], first + low
-        own_first = row.block * PER_BLOCK - first
-        own = slice(own_first, min(own_first + PER_BLOCK, len(spectra)))
-        frames = np.arange(own.start, own.stop)
-        magnitude = np.abs(spectra)
-        here = magnitude[own]
-        parts: dict[str, np.ndarray] = {}
-        if {"mfcc", "mel"} & wanted:
-            mel = magnitude**2 @ D.mel_matrix(sr, size, N_MELS).T
-            parts["mel"] = mel[own]
-        if "mfcc" in wanted:
-            level = np.maximum(D.decibels(mel), D.decibels(np.array(row.loudest)) - TOP_DB)
-            cepstra = level @ D.dct_matrix(config.n_mfcc, N_MELS).T
-            parts["mfcc"] = cepstra[own]
-            # The first and last frame stand in for missing neighbours.
-            around = np.clip(frames[:, None] + np.arange(-4, 5), 0, len(cepstra) - 1)
-            if "delta" in wanted:
-                parts["delta"] = D.slope(cepstra, around, 1)
-                parts["delta2"] = D.slope(cepstra, around, 2)
-        if "chroma" in wanted:
-            parts["chroma"] = D.chroma(here**2, sr, size)
-        if "tonnetz" in wanted:
-            steady = D.harmonic_power(magnitude, own, first, total)
-            parts["tonnetz"] = D.tonnetz(D.chroma(steady, sr, size))
-        if "contrast" in wanted:
-            parts["contrast"] = D.contrast(here, sr, size)
-        if {"centroid", "bandwidth", "rolloff", "flatness"} & wanted:
-            parts |= {k: v[:, None] for k, v in D.shape(here, sr, size).items()}
-        if "flux" in wanted:
-            before = magnitude[np.clip(frames - 1, 0, None)]
-            flux = np.sqrt(((here - before) ** 2).sum(axis=1))
-            parts["flux"] = np.where(frames + first > 0, flux, np.nan)[:, None]
-        if {"zcr", "rms"} & wanted:
-            x = np.asarray(row.samples)
-            places = np.arange(len(x)) + row.start
-            real = (places >= 0) & (places < n)
-            skip = n_fft // 2 - size // 2
-            cut = lambda v: np.lib.stride_tricks.sliding_window_view(v, size)[skip::hop][low:high][own]
-            parts["rms"] = np.sqrt((cut(x) ** 2).mean(axis=1))[:, None]
-            change = np.concatenate([[False], (x[1:] < 0) != (x[:-1] < 0)])
-            change[1:] &= real[1:] & real[:-1]
-            counted = cut(change).copy()
-            counted[:, 0] = False
-            parts["zcr"] = counted.mean(axis=1)[:, None]
-        values = np.hstack([parts[name] for name, _ in chosen])
+        frames, values = describe_block(
+            row.samples, row.start, row.block, int(row.n_total), int(row.sr), row.loudest, config, n_fft, hop
+        )
         return pd.DataFrame(
             {
                 "recording_id": row.recording_id, "class_name": row.class_name, "channel": row.channel,
-                "frame_idx": frames + first, "values": list(values),
+                "frame_idx": frames, "values": list(values),
             }
         )
 
