@@ -32,7 +32,7 @@ class Classifier:
 
     def probabilities(self, df: DataFrame) -> DataFrame:
         """Add ``probabilities``, a map from class to probability."""
-        data = _vectors(_expand(df, self.kernel))
+        data = _vectors(df, self.kernel)
         names = F.array(*[F.lit(x) for x in self.labels])
         rows = self.pipeline.transform(data)
         kept = [c for c in df.columns if c != "probabilities"]
@@ -65,14 +65,10 @@ class Classifier:
         return cls(PipelineModel.load(f"{path}/pipeline"), about["labels"], about["kernel"])
 
 
-def _vectors(df: DataFrame) -> DataFrame:
-    return df.withColumn("vector", array_to_vector("features"))
-
-
-def _expand(df: DataFrame, kernel: dict | None) -> DataFrame:
-    """Random Fourier features that stand in for an RBF kernel."""
+def _vectors(df: DataFrame, kernel: dict | None = None) -> DataFrame:
+    """Add the model's input; random Fourier features stand in for an RBF kernel."""
     if kernel is None:
-        return df
+        return df.withColumn("vector", array_to_vector("features"))
     mean, std = np.array(kernel["mean"]), np.array(kernel["std"])
     rng = np.random.default_rng(kernel["seed"])
     project = rng.normal(scale=np.sqrt(2 * kernel["gamma"]), size=(len(mean), kernel["width"]))
@@ -84,7 +80,7 @@ def _expand(df: DataFrame, kernel: dict | None) -> DataFrame:
         x = (matrix(features) - mean) / np.where(std > 0, std, 1.0)
         return pd.Series(list(scale * np.cos(x @ project + shift)))
 
-    return df.withColumn("features", expand("features"))
+    return df.withColumn("vector", array_to_vector(expand("features")))
 
 
 def train(
@@ -104,7 +100,7 @@ def train(
         kernel = {"seed": seed, "gamma": 1.0 / used, "width": 512, **asdict(scaler)}
         if not normalize:
             kernel |= {"mean": [0.0] * len(scaler.mean), "std": [1.0] * len(scaler.std)}
-    data = _vectors(_expand(fit_on, kernel))
+    data = _vectors(fit_on, kernel)
     stages = [StringIndexer(inputCol="class_name", outputCol="label", stringOrderType="alphabetAsc", handleInvalid="skip")]
     column = "vector"
     if normalize and kernel is None:
@@ -121,16 +117,23 @@ def train(
         stages.append(RandomForestClassifier(featuresCol=column, numTrees=100, seed=seed))
     elif model_type in ("svm", "linear_svm"):
         margins = OneVsRest(
-            classifier=LinearSVC(featuresCol=column, maxIter=50), featuresCol=column,
-            rawPredictionCol="margins", predictionCol="margin_class",
+            classifier=LinearSVC(featuresCol=column, maxIter=50, tol=1e-4), featuresCol=column, parallelism=8
         )
         # Probabilities come from a logistic fit on the margins.
-        stages += [margins, LogisticRegression(featuresCol="margins", maxIter=50, regParam=1e-3)]
+        calibrate = LogisticRegression(
+            featuresCol="rawPrediction", rawPredictionCol="calibrated", predictionCol="calibrated_class",
+            maxIter=50, regParam=1e-3,
+        )
+        stages += [margins, calibrate]
     else:
         raise ValueError(f"unknown model type {model_type!r}")
-    labels_first = Pipeline(stages=stages[:1]).fit(data)
-    labels = list(labels_first.stages[0].labels)
-    fitted = Pipeline(stages=stages[1:]).fit(labels_first.transform(data))
+    data = data.select("class_name", "vector").persist()  # read by every iteration
+    try:
+        labels_first = Pipeline(stages=stages[:1]).fit(data)
+        labels = list(labels_first.stages[0].labels)
+        fitted = Pipeline(stages=stages[1:]).fit(labels_first.transform(data))
+    finally:
+        data.unpersist()
     model = Classifier(fitted, labels, kernel)
     return model, model.classify(held_out)
 

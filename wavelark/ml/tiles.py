@@ -45,6 +45,7 @@ def compare(
     in_left, in_right = parts(left, "l"), parts(right, "r")
     a = _sides(left, in_left, in_right, "l", "r", key)
     b = _sides(right, in_right, in_left, "r", "l", key)
+    b = b.select(*[F.col(c).alias(c) for c in b.columns])  # own identity, should both sides share a table
     keys = ["cell", "_l", "_r"]
     return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(run, schema)
 
