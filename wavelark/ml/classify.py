@@ -103,8 +103,8 @@ def train(
     data = _vectors(fit_on, kernel)
     stages = [StringIndexer(inputCol="class_name", outputCol="label", stringOrderType="alphabetAsc", handleInvalid="skip")]
     column = "vector"
+    n = fit_on.count()
     if normalize and kernel is None:
-        n = fit_on.count()
         width = fit_on.select(F.size("features").alias("d")).first()["d"]
         # The scaler divides by the sample deviation; the factor makes it the population's.
         factor = (n / (n - 1)) ** 0.5 if n > 1 else 1.0
@@ -116,9 +116,9 @@ def train(
     if model_type == "random_forest":
         stages.append(RandomForestClassifier(featuresCol=column, numTrees=100, seed=seed))
     elif model_type in ("svm", "linear_svm"):
-        margins = OneVsRest(
-            classifier=LinearSVC(featuresCol=column, maxIter=50, tol=1e-4), featuresCol=column, parallelism=8
-        )
+        # A penalty of 1/n is the usual C = 1.
+        machine = LinearSVC(featuresCol=column, maxIter=10, tol=1e-3, regParam=1.0 / max(n, 1))
+        margins = OneVsRest(classifier=machine, featuresCol=column, parallelism=8)
         # Probabilities come from a logistic fit on the margins.
         calibrate = LogisticRegression(
             featuresCol="rawPrediction", rawPredictionCol="calibrated", predictionCol="calibrated_class",

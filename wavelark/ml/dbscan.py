@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from wavelark.ml.tiles import compare, distances, matrix
 from wavelark.operators.ordered import running
-from wavelark.session import ensure_checkpoint_dir
+from wavelark.session import materialise
 
 
 def widest(df: DataFrame, n: int = 2) -> list[int]:
@@ -79,11 +79,9 @@ def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
     Alternating star contraction (Kiveris et al., "Connected components in
     MapReduce and beyond", 2014) written with minima and joins: rounds grow with
-    the logarithm of the longest chain.  Each round is checkpointed, so plans
-    stay short and a lost executor costs one round.
+    the logarithm of the longest chain.  Each round is written to the shared
+    folder, so plans stay short and a lost executor costs one round.
     """
-    ensure_checkpoint_dir(edges.sparkSession)
-
     def contract(pairs: DataFrame, small: bool) -> DataFrame:
         both = pairs.select("a", "b")
         if not small:
@@ -98,10 +96,10 @@ def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             moved = linked.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         return moved.filter(F.col("a") != F.col("b")).distinct()
 
-    current = edges.filter(F.col("a") != F.col("b")).distinct().checkpoint()
+    current = materialise(edges.filter(F.col("a") != F.col("b")).distinct())
     signature = None
     while True:
-        current = contract(contract(current, False), True).checkpoint()
+        current = materialise(contract(contract(current, False), True))
         row = current.agg(
             F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")
         ).first()
@@ -120,10 +118,11 @@ def dbscan(df: DataFrame, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
     within ``eps``.  Clusters are numbered by their smallest core id; a border
     point joins the lowest-numbered cluster in reach.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    points = df.groupBy("features").agg(
-        F.min("recording_id").alias("recording_id"), F.count(F.lit(1)).alias("weight")
-    ).checkpoint()
+    points = materialise(
+        df.groupBy("features").agg(
+            F.min("recording_id").alias("recording_id"), F.count(F.lit(1)).alias("weight")
+        )
+    )
     axes = widest(points)
 
     def weigh(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -135,7 +134,7 @@ def dbscan(df: DataFrame, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
     counts = compare(
         _home(points, axes, eps), _visiting(points, axes, eps), weigh, "recording_id string, n long"
     ).groupBy("recording_id").agg(F.sum("n").alias("n"))
-    flagged = points.join(counts, "recording_id").withColumn("core", F.col("n") >= min_samples).checkpoint()
+    flagged = materialise(points.join(counts, "recording_id").withColumn("core", F.col("n") >= min_samples))
     cores = flagged.filter("core").select("recording_id", "features")
 
     def span(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -154,6 +153,7 @@ def dbscan(df: DataFrame, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
     spread = F.substring(F.hex(F.encode("root", "UTF-8")), 1, 8)  # keeps the order of ids
     numbered = running(firsts, [], spread, ["root"], {"cluster": F.lit(1).cast("long")})
     labelled = roots.join(numbered, "root").select(F.col("id").alias("recording_id"), "cluster")
+    labelled = materialise(labelled)
     core_points = cores.join(labelled, "recording_id")
     others = flagged.filter(~F.col("core")).select("recording_id", "features")
 

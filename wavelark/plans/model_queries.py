@@ -230,7 +230,7 @@ def silhouette(spark, folder):
     return K.silhouette(rows).select("recording_id", rounded("silhouette").alias("silhouette"))
 
 
-EPS, LEAST = 1.05, 4
+EPS, LEAST = 1.15, 4
 
 
 @query(

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -40,14 +41,24 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; a temporary one only in local mode."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for written intermediate tables.
+
+    The cluster names it in ``spark.checkpoint.dir``; only a local session
+    falls back to a temporary one.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="wavelark-checkpoint-", dir=os.environ.get("TMPDIR"))
-    sc.setCheckpointDir(folder)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    folder = tempfile.mkdtemp(prefix="wavelark-", dir=os.environ.get("TMPDIR"))
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write a table once and read it back: ends its lineage and outlives executors."""
+    path = f"{shared_folder(df.sparkSession)}/wavelark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
