@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from wavelark.operators.framing import frames
 from wavelark.operators.ordered import running
+from wavelark.session import materialise
 
 KEY = ["recording_id", "channel"]
 PER_BLOCK = 64
@@ -56,8 +57,11 @@ def gather(rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> Data
 
 
 def prefix_arrays(df: DataFrame, keys: Sequence[str], order: str, column: str) -> DataFrame:
-    """Element-wise sum of all earlier rows' arrays, per key along ``order``."""
-    rows = df.select(*keys, order, F.posexplode(column).alias("_pos", "_x"))
+    """Element-wise sum of all earlier rows' arrays, per key along ``order``.
+
+    The arrays, small next to the audio they come from, are written once.
+    """
+    rows = materialise(df).select(*keys, order, F.posexplode(column).alias("_pos", "_x"))
     bucket = F.floor(F.col(order) / 4096)
     before = running(rows, [*keys, "_pos"], bucket, [order], {column: F.col("_x")})
     return gather(before, [*keys, order], [column])

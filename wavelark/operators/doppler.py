@@ -54,25 +54,42 @@ def frequency_track(
     )
 
 
+def first_frequency(
+    signals: DataFrame, frame_s: float = 0.1, low_hz: float = 20.0, high_hz: float = 20000.0
+) -> DataFrame:
+    """Frequency of the first frame of every channel, as ``reference_hz``.
+
+    Only the chunk at sample 0 is read, and of it only one frame.
+    """
+    head = signals.filter(F.col("start") == 0)
+    frame = F.slice("samples", 1, F.least(seconds_to_samples(frame_s), F.size("samples")))
+    length = seconds_to_samples(frame_s)
+    padded = F.concat(frame, F.array_repeat(F.lit(0.0), length - F.size(frame)))
+    freq = dominant_frequency(padded, F.col("sr"), None, low_hz, high_hz)
+    return head.select(*KEY, freq.alias("_hz")).select(
+        *KEY, F.when(F.col("_hz") > 0, F.col("_hz")).otherwise(FALLBACK_HZ).alias("reference_hz")
+    )
+
+
 def doppler_track(
     track: DataFrame,
     source_frequency: float | None = None,
     speed: float = SPEED_OF_SOUND,
     distance_m: float | None = None,
+    reference: DataFrame | None = None,
 ) -> DataFrame:
     """Velocity and direction per frame against the emitted frequency.
 
-    Without ``source_frequency`` the first frame is the reference.  Frame 0 is
-    one row per channel, so the reference side stays small.
+    Without ``source_frequency`` the first frame is the reference: taken from
+    ``reference`` (see ``first_frequency``) or else from the track itself.
     """
-    if source_frequency is None:
-        reference = track.filter(F.col("frame_idx") == 0).select(
-            *KEY,
-            F.when(F.col("freq_hz") > 0, F.col("freq_hz")).otherwise(FALLBACK_HZ).alias("reference_hz"),
-        )
-        rows = track.join(reference, list(KEY))
-    else:
+    if source_frequency is not None:
         rows = track.withColumn("reference_hz", F.lit(float(source_frequency)))
+    else:
+        if reference is None:
+            first = F.when(F.col("freq_hz") > 0, F.col("freq_hz")).otherwise(FALLBACK_HZ)
+            reference = track.filter(F.col("frame_idx") == 0).select(*KEY, first.alias("reference_hz"))
+        rows = track.join(reference, list(KEY))
     shift = F.col("freq_hz") - F.col("reference_hz")
     rows = rows.withColumn("velocity_m_s", velocity(shift, F.col("freq_hz"), speed))
     return rows.withColumn("direction", direction(shift)).withColumn(
@@ -80,6 +97,20 @@ def doppler_track(
     )
 
 
+def full_doppler(
+    signals: DataFrame,
+    source_frequency: float | None = None,
+    speed: float = SPEED_OF_SOUND,
+    frame_s: float = 0.1,
+    hop_s: float = 0.05,
+    distance_m: float | None = None,
+) -> DataFrame:
+    """Track, reference, velocity and direction of every frame."""
+    track = frequency_track(signals, frame_s, hop_s)
+    reference = None if source_frequency is not None else first_frequency(signals, frame_s)
+    return doppler_track(track, source_frequency, speed, distance_m, reference)
+
+
 def doppler_summary(rows: DataFrame) -> DataFrame:
     """One row per channel; the commonest direction, earliest first on a tie."""
     votes = [

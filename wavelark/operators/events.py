@@ -26,7 +26,7 @@ def energy_spikes(windows: DataFrame, window_s: float = 1.0, ratio: float = 2.0,
     """Windows louder than ``ratio`` times the mean of all windows before them."""
     seen = running(
         windows, KEY, F.floor(F.col("frame_idx") / BLOCK), ["frame_idx"],
-        {"_sum": F.col("rms"), "_n": F.lit(1).cast("long")},
+        {"_sum": F.col("rms"), "_n": F.lit(1).cast("long")}, write=True,
     )
     loud = (F.col("_n") > 0) & (F.col("rms") * F.col("_n") > F.col("_sum") * ratio) & (F.col("rms") > floor)
     return seen.filter(loud).select(

@@ -155,21 +155,21 @@ def frame_features(
     else:
         blocks = blocks.withColumn("loudest", F.lit(0.0))
 
-    def describe(row) -> pd.DataFrame:
-        frames, values = describe_block(
-            row.samples, row.start, row.block, int(row.n_total), int(row.sr), row.loudest, config, n_fft, hop
-        )
-        return pd.DataFrame(
-            {
-                "recording_id": row.recording_id, "class_name": row.class_name, "channel": row.channel,
-                "frame_idx": frames, "values": list(values),
-            }
-        )
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["recording_id", "class_name", "channel", "frame_idx", "values"]
+        ready: list[tuple] = []
         for batch in batches:
             for row in batch.itertuples(index=False):
-                yield describe(row)
+                frames, values = describe_block(
+                    row.samples, row.start, row.block, int(row.n_total), int(row.sr), row.loudest, config, n_fft, hop
+                )
+                about = (row.recording_id, row.class_name, row.channel)
+                ready += [(*about, int(f), v) for f, v in zip(frames, values)]
+                if len(ready) >= 2048:  # a few megabytes
+                    yield pd.DataFrame(ready, columns=names)
+                    ready = []
+        if ready:
+            yield pd.DataFrame(ready, columns=names)
 
     return blocks.mapInPandas(
         run, "recording_id string, class_name string, channel int, frame_idx long, values array<double>"

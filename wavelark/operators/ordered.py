@@ -14,6 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavelark.session import materialise
+
 BLOCK = 65536
 
 
@@ -24,41 +26,43 @@ def running(
     order: Sequence[str],
     totals: Mapping[str, Column],
     how: str = "sum",
+    write: bool = False,
 ) -> DataFrame:
-    """Add running sums (or maxima) of all rows *before* the current one.
-
-    Sums start at 0, maxima at null.
+    """Add what all rows *before* the current one amount to.
 
+    ``how``: ``"sum"`` (starts at 0), ``"max"`` or ``"last"`` (start at null).
     ``bucket`` must be non-decreasing along ``order``; rows of one (key,
-    bucket) should fit a task.
+    bucket) should fit a task.  The input is read twice; ``write=True`` writes
+    it to the shared folder first, for rows that are few but costly to make.
     """
-    keys, order = list(keys), list(order)
+    keys, order, names = list(keys), list(order), list(totals)
     rows = df.withColumn("_bucket", bucket)
     for name, value in totals.items():
         rows = rows.withColumn(f"_v_{name}", value)
-    within = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    across = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    names = list(totals)
-    fold = {"sum": F.sum, "max": F.max}[how]
-    per_bucket = rows.groupBy(*keys, "_bucket").agg(
-        *[fold(f"_v_{n}").alias(f"_t_{n}") for n in names]
-    )
-    offsets = per_bucket.select(
-        *keys,
-        "_bucket",
-        *[fold(f"_t_{n}").over(across).alias(f"_o_{n}") for n in names],
-    )
-    local = rows.select("*", *[fold(f"_v_{n}").over(within).alias(f"_l_{n}") for n in names])
-    joined = local.join(offsets, [*keys, "_bucket"])
-    if how == "sum":
-        zero = F.lit(0)
-        combine = lambda n: F.coalesce(F.col(f"_l_{n}"), zero) + F.coalesce(F.col(f"_o_{n}"), zero)
+    if write:
+        rows = materialise(rows)
+    ordered = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    buckets = Window.partitionBy(*keys).orderBy("_bucket")
+    before = (Window.unboundedPreceding, -1)
+    if how == "last":
+        local = lambda n: F.lag(f"_v_{n}").over(ordered)
+        total = lambda n: F.max_by(f"_v_{n}", F.struct(*order))
+        earlier = lambda n: F.lag(f"_t_{n}").over(buckets)
+        combine = lambda n: F.coalesce(f"_l_{n}", f"_o_{n}")
     else:
-        combine = lambda n: F.greatest(f"_l_{n}", f"_o_{n}")
+        fold = {"sum": F.sum, "max": F.max}[how]
+        local = lambda n: fold(f"_v_{n}").over(ordered.rowsBetween(*before))
+        total = lambda n: fold(f"_v_{n}")
+        earlier = lambda n: fold(f"_t_{n}").over(buckets.rowsBetween(*before))
+        if how == "max":
+            combine = lambda n: F.greatest(f"_l_{n}", f"_o_{n}")
+        else:
+            zero = F.lit(0)
+            combine = lambda n: F.coalesce(F.col(f"_l_{n}"), zero) + F.coalesce(F.col(f"_o_{n}"), zero)
+    per_bucket = rows.groupBy(*keys, "_bucket").agg(*[total(n).alias(f"_t_{n}") for n in names])
+    offsets = per_bucket.select(*keys, "_bucket", *[earlier(n).alias(f"_o_{n}") for n in names])
+    numbered = rows.select("*", *[local(n).alias(f"_l_{n}") for n in names])
+    joined = numbered.join(offsets, [*keys, "_bucket"])
     return joined.select(*df.columns, *[combine(n).alias(n) for n in names])
 
 
@@ -101,15 +105,16 @@ def value_bucket(value: Column, steps: int = 64) -> Column:
     )
 
 
-def counted(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Distinct values per key with their number of rows and rank range.
+def distinct_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Distinct values per key with their number of rows ``n``.
 
-    Adds ``n`` (copies of the value) and ``below`` (rows with smaller values).
     Equal values collapse before any shuffle, so copies cost nothing.
     """
-    distinct = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    return df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+
+
+def counted(distinct: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Add ``below``: rows with smaller values, to the result of ``distinct_counts``."""
     return running(distinct, keys, value_bucket(F.col(value)), [value], {"below": F.col("n")})
 
 
@@ -118,13 +123,10 @@ def exact_quantile(
 ) -> DataFrame:
     """Exact quantile with linear interpolation, one row per key."""
     named = list(keys)
-    df = df.select(*named, value, F.lit(0).alias("_all"))
     keys = named or ["_all"]
-    ranked = counted(df, keys, value)
-    sizes = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_rows")
-    )
-    ranked = ranked.join(sizes, keys)
+    distinct = distinct_counts(df.select(*named, value, F.lit(0).alias("_all")), keys, value)
+    sizes = distinct.groupBy(*keys).agg(F.sum("n").alias("_rows"))
+    ranked = counted(distinct, keys, value).join(sizes, keys)
     place = F.lit(float(q)) * (F.col("_rows") - 1)
     low, high = F.floor(place), F.ceil(place)
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavelark.operators.ordered import previous, row_index, running
+from wavelark.operators.ordered import running
 
 HEADER = 8
 
@@ -58,19 +58,20 @@ def packet_frames(decoded: DataFrame) -> DataFrame:
     return per_frame.select("*", F.posexplode("_values").alias("ch", "value")).drop("_values")
 
 
+def _running_loss(gaps: DataFrame, bucket: Column, order: list[str]) -> DataFrame:
+    lost = running(gaps, ["sensor_id"], bucket, order, {"_lost": F.col("gap")}, write=True)
+    return lost.withColumn("dropped", F.col("_lost") + F.col("gap")).drop("_lost")
+
+
 def packet_gaps(packets: DataFrame, bucket: Column, order: list[str]) -> DataFrame:
     """Gap before every packet as a plain difference to the packet before it.
 
     ``bucket`` is non-decreasing along ``order`` (a day, an hour) and bounds the
     rows one task orders.  A late packet gives a negative gap.
     """
-    placed = row_index(packets, ["sensor_id"], bucket, order, "arrival")
-    paired = previous(placed, ["sensor_id"], "arrival", {"_prev": "seq"})
+    paired = running(packets, ["sensor_id"], bucket, order, {"_prev": F.col("seq")}, how="last")
     gap = F.coalesce(F.col("seq") - F.col("_prev") - 1, F.lit(0)).cast("long")
-    gaps = paired.withColumn("gap", gap).drop("_prev")
-    block = F.floor(F.col("arrival") / 65536)
-    lost = running(gaps, ["sensor_id"], block, ["arrival"], {"_lost": F.col("gap")})
-    return lost.withColumn("dropped", F.col("_lost") + F.col("gap")).drop("_lost")
+    return _running_loss(paired.withColumn("gap", gap).drop("_prev"), bucket, order)
 
 
 def packet_loss(packets: DataFrame, bucket: Column, order: list[str]) -> DataFrame:
@@ -78,11 +79,7 @@ def packet_loss(packets: DataFrame, bucket: Column, order: list[str]) -> DataFra
 
     A packet at or below that number is ``late`` and changes nothing.
     """
-    placed = row_index(packets, ["sensor_id"], bucket, order, "arrival")
-    block = F.floor(F.col("arrival") / 65536)
-    seen = running(placed, ["sensor_id"], block, ["arrival"], {"_top": F.col("seq")}, how="max")
+    seen = running(packets, ["sensor_id"], bucket, order, {"_top": F.col("seq")}, how="max")
     late = F.coalesce(F.col("seq") <= F.col("_top"), F.lit(False))
     gap = F.when(late | F.col("_top").isNull(), 0).otherwise(F.col("seq") - F.col("_top") - 1).cast("long")
-    gaps = seen.withColumn("late", late).withColumn("gap", gap).drop("_top")
-    lost = running(gaps, ["sensor_id"], block, ["arrival"], {"_lost": F.col("gap")})
-    return lost.withColumn("dropped", F.col("_lost") + F.col("gap")).drop("_lost")
+    return _running_loss(seen.withColumn("late", late).withColumn("gap", gap).drop("_top"), bucket, order)

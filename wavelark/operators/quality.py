@@ -9,7 +9,7 @@ from wavelark.functions.levels import SILENCE, dbfs, energy, zero_crossings
 from wavelark.functions.text import fixed
 from wavelark.model import FilterConfig
 from wavelark.operators.framing import frames, seconds_to_samples
-from wavelark.operators.ordered import counted
+from wavelark.operators.ordered import counted, distinct_counts
 
 KEY = ["recording_id", "channel"]
 
@@ -58,9 +58,12 @@ def snr_db(signals: DataFrame, noise_fraction: float = 0.1) -> DataFrame:
     length, hop = seconds_to_samples(0.025), seconds_to_samples(0.010)
     count = F.when(F.col("n_total") >= length, F.floor((F.col("n_total") - length) / hop) + 1).otherwise(0)
     levels = frames(signals, length, hop, count).select(*KEY, energy(F.col("samples")).alias("energy"))
-    totals = levels.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"), F.avg("energy").alias("_mean"))
+    distinct = distinct_counts(levels, KEY, "energy")
+    totals = distinct.groupBy(*KEY).agg(
+        F.sum("n").alias("_n"), (F.sum(F.col("energy") * F.col("n")) / F.sum("n")).alias("_mean")
+    )
     quietest = F.greatest(F.lit(1), F.floor(F.col("_n") * noise_fraction))
-    ranked = counted(levels, KEY, "energy").join(
+    ranked = counted(distinct, KEY, "energy").join(
         totals.select(*KEY, "_mean", quietest.alias("_k")), KEY
     )
     taken = F.least(F.col("n"), F.col("_k") - F.col("below"))

@@ -93,7 +93,7 @@ def segments(signals: DataFrame, min_ms: float = 3000.0, min_dbfs: float = -50.0
         *KEY, "sr", "start", F.size("clicks").alias("_clicks"), parts("samples", "own", "clicks").alias("_parts")
     )
     numbered = running(
-        cut, KEY, F.floor(F.col("start") / (1 << 24)), ["start"], {"before": F.col("_clicks")}
+        cut, KEY, F.floor(F.col("start") / (1 << 24)), ["start"], {"before": F.col("_clicks")}, write=True
     )
     pieces = numbered.select(*KEY, "sr", "start", "before", F.explode("_parts").alias("p"))
     found = (
@@ -109,5 +109,5 @@ def segments(signals: DataFrame, min_ms: float = 3000.0, min_dbfs: float = -50.0
         .drop("_power")
     )
     block = F.floor(F.col("segment") / 65536)
-    counted = running(found, KEY, block, ["segment"], {"_kept": F.lit(1).cast("long")})
+    counted = running(found, KEY, block, ["segment"], {"_kept": F.lit(1).cast("long")}, write=True)
     return counted.withColumn("number", F.col("_kept") + 1).drop("_kept", "segment")

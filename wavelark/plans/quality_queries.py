@@ -9,6 +9,7 @@ from wavelark.functions.text import variant_name
 from wavelark.model import FilterConfig
 from wavelark.operators import quality as Q
 from wavelark.operators.framing import frames
+from wavelark.operators.ordered import counted, distinct_counts
 from wavelark.plans.registry import query, rounded
 from wavelark.sources import adapters as A
 
@@ -117,7 +118,7 @@ def quietest(spark, folder):
     cut = frames(signals, length, hop, F.floor((F.col("n_total") - length) / hop) + 1)
     levels = cut.select("recording_id", L.energy(F.col("samples")).alias("energy"))
     sizes = levels.groupBy("recording_id").agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * 0.1)).alias("k"))
-    ranked = Q.counted(levels, ["recording_id"], "energy").join(sizes, "recording_id")
+    ranked = counted(distinct_counts(levels, ["recording_id"], "energy"), ["recording_id"], "energy").join(sizes, "recording_id")
     taken = F.greatest(F.least(F.col("n"), F.col("k") - F.col("below")), F.lit(0))
     return ranked.groupBy("recording_id").agg(F.sum(taken).alias("n_noise"))
 

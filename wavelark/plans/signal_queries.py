@@ -91,7 +91,7 @@ def _profiles(spark, folder):
 
 
 def _doppler(spark, folder):
-    return V.doppler_track(V.frequency_track(_signals(spark, folder), FRAME_S, HOP_S), distance_m=100.0)
+    return V.full_doppler(_signals(spark, folder), frame_s=FRAME_S, hop_s=HOP_S, distance_m=100.0)
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavelark.operators.ordered import row_index
+from wavelark.session import materialise, spread
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -15,7 +16,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def signals_from_embeddings(spark: SparkSession, folder: str, sr: int = 16384) -> DataFrame:
     """Every vector is one short single-channel recording."""
     samples = F.transform("embedding", lambda x: x.cast("double"))
-    return table(spark, folder, "embeddings").select(
+    return spread(table(spark, folder, "embeddings")).select(
         F.col("vec_id").cast("string").alias("recording_id"),
         F.concat(F.lit("class_"), F.col("label").cast("string")).alias("class_name"),
         F.lit(0).alias("channel"),
@@ -138,5 +139,9 @@ def pack_samples(samples: DataFrame, chunk: int, halo: int = 0) -> DataFrame:
 
 
 def signals_from_events(spark: SparkSession, folder: str, chunk: int = 4096, halo: int = 1024) -> DataFrame:
-    """Sensor values as signals of one sample per second."""
-    return pack_samples(samples_from_events(spark, folder), chunk, halo)
+    """Sensor values as signals of one sample per second.
+
+    Packing is the ingest step of these recordings: the table is written once
+    and operators read it as they would read any signals table.
+    """
+    return materialise(pack_samples(samples_from_events(spark, folder), chunk, halo))
