@@ -75,9 +75,10 @@ def tonnetz(chroma_rows: np.ndarray) -> np.ndarray:
     return share @ tonal_matrix().T
 
 
-def median_over(rows: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Median of the rows picked for every output row (outputs × window)."""
-    return np.median(rows[places], axis=1)
+def middle(values: np.ndarray) -> np.ndarray:
+    """Median over the last axis, whose length is odd."""
+    half = values.shape[-1] // 2
+    return np.partition(values, half, axis=-1)[..., half]
 
 
 def harmonic_power(magnitude: np.ndarray, own: slice, first: int, total: int, width: int = 31) -> np.ndarray:
@@ -92,10 +93,11 @@ def harmonic_power(magnitude: np.ndarray, own: slice, first: int, total: int, wi
     places = np.where(places < 0, -places - 1, places)
     places = np.where(places >= total, 2 * total - 1 - places, places)
     places = np.clip(places, 0, total - 1) - first
-    steady = median_over(magnitude, np.clip(places, 0, len(magnitude) - 1))
+    picked = magnitude[np.clip(places, 0, len(magnitude) - 1)]
+    steady = middle(np.moveaxis(picked, 1, 2))
     here = magnitude[own]
     padded = np.pad(here, ((0, 0), (half, half)), mode="symmetric" if here.shape[1] > half else "edge")
-    spread = np.median(np.lib.stride_tricks.sliding_window_view(padded, width, axis=1), axis=2)
+    spread = middle(np.lib.stride_tricks.sliding_window_view(padded, width, axis=1))
     mask = steady**2 / np.maximum(steady**2 + spread**2, 1e-20)
     return (here * mask) ** 2
 

@@ -38,30 +38,32 @@ def frames(
     A chunk whose halo is too short for ``length`` fails; see ``with_halo``.
     """
     length, hop, lead_in = _column(length), _column(hop), _column(lead_in)
-    start, end = F.col("start"), F.col("start") + F.col("own")
-    first = F.when(start == 0, F.lit(0)).otherwise(F.ceil((start + lead_in) / hop)).cast("long")
-    last = F.least(count.cast("long") - 1, F.floor((end - 1 + lead_in) / hop).cast("long"))
-    cut = signals.withColumn(
-        "frame_idx",
-        F.explode(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<long>"))),
-    )
-    begin = F.col("frame_idx") * hop - lead_in
-    left = F.greatest(-begin, F.lit(0))
-    offset = F.greatest(begin, F.lit(0)) - F.col("start")
-    wanted = F.greatest(F.least(length - left, F.col("n_total") - F.greatest(begin, F.lit(0))), F.lit(0))
-    available = F.size("samples") - offset
-    part = F.slice("samples", (offset + 1).cast("int"), wanted.cast("int"))
-    right = length - left - wanted
-    zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
-    padded = (
-        F.when(available < wanted, F.raise_error(F.lit("chunk halo shorter than the frame; call with_halo")).cast("array<double>"))
-        .when((left == 0) & (right == 0), part)
-        .otherwise(F.concat(zeros(left), part, zeros(right)))
-    )
-    return cut.select(
-        "recording_id", "class_name", "channel", "sr", "n_total", "frame_idx",
-        begin.cast("long").alias("start"), padded.alias("samples"), *keep,
-    )
+    zero = F.lit(0).cast("long")
+    chunk_start, chunk_end = F.col("start"), F.col("start") + F.col("own")
+    first = F.when(chunk_start == 0, F.lit(0)).otherwise(F.ceil((chunk_start + lead_in) / hop)).cast("long")
+    last = F.least(count.cast("long") - 1, F.floor((chunk_end - 1 + lead_in) / hop).cast("long"))
+    numbers = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<long>"))
+    silence = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
+    too_short = F.raise_error(F.lit("chunk halo shorter than the frame; call with_halo")).cast("array<double>")
+
+    def cut(i: Column) -> Column:
+        begin = i * hop - lead_in
+        left = F.greatest(-begin, zero)
+        inside = F.greatest(begin, zero)
+        wanted = F.greatest(F.least(length - left, F.col("n_total") - inside), zero)
+        offset = inside - chunk_start
+        part = F.slice("samples", (offset + 1).cast("int"), wanted.cast("int"))
+        frame = (
+            F.when(F.size("samples") - offset < wanted, too_short)
+            .when(wanted == length, part)
+            .otherwise(F.concat(silence(left), part, silence(length - left - wanted)))
+        )
+        return F.struct(i.alias("frame_idx"), begin.cast("long").alias("start"), frame.alias("samples"))
+
+    # The generator makes the frames, so its rows do not carry the whole chunk.
+    about = ("recording_id", "class_name", "channel", "sr", "n_total")
+    rows = signals.select(*about, *keep, F.explode(F.transform(numbers, cut)).alias("_frame"))
+    return rows.select(*about, "_frame.frame_idx", "_frame.start", "_frame.samples", *keep)
 
 
 def with_halo(signals: DataFrame, halo: int) -> DataFrame:

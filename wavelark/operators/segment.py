@@ -55,14 +55,12 @@ def _with_clicks(signals: DataFrame) -> DataFrame:
 
 def clicks(signals: DataFrame) -> DataFrame:
     """One row per click: position, time and size of the jump."""
-    found = _with_clicks(signals).select(
-        *KEY, "sr", "start", "jumps", F.explode("clicks").alias("_at")
-    )
-    idx = F.col("start") + F.col("_at")
-    return found.select(
-        *KEY, idx.alias("idx"), (idx / F.col("sr")).alias("time_s"),
-        F.get("jumps", F.col("_at")).alias("amplitude"),
+    about = F.transform(
+        "clicks",
+        lambda i: F.struct((F.col("start") + i).alias("idx"), F.get("jumps", i).alias("amplitude")),
     )
+    found = _with_clicks(signals).select(*KEY, "sr", F.explode(about).alias("c"))
+    return found.select(*KEY, "c.idx", (F.col("c.idx") / F.col("sr")).alias("time_s"), "c.amplitude")
 
 
 def segments(signals: DataFrame, min_ms: float = 3000.0, min_dbfs: float = -50.0) -> DataFrame:

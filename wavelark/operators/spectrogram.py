@@ -17,13 +17,16 @@ def waveform_envelope(signals: DataFrame, buckets: int = 1000) -> DataFrame:
     first = F.floor(F.col("start") * buckets / F.col("n_total"))
     last = F.floor((F.col("start") + F.col("own") - 1) * buckets / F.col("n_total"))
     edge = lambda b: F.ceil(b * F.col("n_total") / buckets)
-    parts = signals.withColumn("bucket", F.explode(F.sequence(first, last)))
-    begin = F.greatest(edge(F.col("bucket")), F.col("start")) - F.col("start")
-    end = F.least(edge(F.col("bucket") + 1), F.col("start") + F.col("own")) - F.col("start")
-    piece = F.slice("samples", (begin + 1).cast("int"), F.greatest(end - begin, F.lit(0)).cast("int"))
+
+    def extremes(b):
+        begin = F.greatest(edge(b), F.col("start")) - F.col("start")
+        end = F.least(edge(b + 1), F.col("start") + F.col("own")) - F.col("start")
+        piece = F.slice("samples", (begin + 1).cast("int"), F.greatest(end - begin, F.lit(0)).cast("int"))
+        return F.struct(b.alias("bucket"), F.array_min(piece).alias("low"), F.array_max(piece).alias("high"))
+
+    parts = signals.select(*KEY, F.explode(F.transform(F.sequence(first, last), extremes)).alias("p"))
     return (
-        parts.select(*KEY, "bucket", F.array_min(piece).alias("low"), F.array_max(piece).alias("high"))
-        .groupBy(*KEY, "bucket")
-        .agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        parts.groupBy(*KEY, F.col("p.bucket").alias("bucket"))
+        .agg(F.min("p.low").alias("low"), F.max("p.high").alias("high"))
         .filter(F.col("low").isNotNull())
     )

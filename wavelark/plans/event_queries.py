@@ -236,3 +236,46 @@ def medians(spark, folder):
     return half.join(high, "user_id").select(
         "user_id", F.round("median", 6).alias("median"), F.round("p90", 6).alias("p90")
     )
+
+
+def _byte_pairs(value):
+    """An int16 as two bytes, low byte first, in hexadecimal."""
+    word = F.lpad(F.hex(F.when(value < 0, value + 65536).otherwise(value)), 4, "0")
+    return F.concat(F.substring(word, 3, 2), F.substring(word, 1, 2))
+
+
+@query(
+    "packet_decoding",
+    """SELECT user_id::VARCHAR AS sensor_id, event_id AS seq, 32::BIGINT AS n_samples, j // 16 AS frame_idx, j % 16 AS ch,
+    round(((event_id * 31 + j * 7) % 65536 - 32768) / 32768.0::DOUBLE, 9) + 0.0 AS value FROM events, range(32) t(j)""",
+)
+def decoded_packets(spark, folder):
+    event = F.col("event_id")
+    number = F.lpad(F.hex(event), 8, "0")
+    low_first = F.concat(*[F.substring(number, at, 2) for at in (7, 5, 3, 1)])
+    values = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda j: (event * 31 + j * 7) % 65536 - 32768)
+    body = F.array_join(F.transform(values, _byte_pairs), "")
+    # Three bytes too many at the end: an incomplete frame that is cut off.
+    payload = F.unhex(F.concat(low_first, F.lit("20000000"), body, F.lit("010203")))
+    packets = A.table(spark, folder, "events").select(
+        F.col("user_id").cast("string").alias("sensor_id"), "ts", payload.alias("payload")
+    )
+    rows = P.packet_frames(P.decode_packets(packets))
+    return rows.select(
+        "sensor_id", "seq", "n_samples", F.col("frame_idx").cast("long").alias("frame_idx"),
+        F.col("ch").cast("long").alias("ch"), rounded("value", 9).alias("value"),
+    )
+
+
+@query(
+    "raw_chunk_decoding",
+    """SELECT event_id, ((event_id * 31) % 65536 - 32768) / 32768.0::DOUBLE AS first,
+    ((event_id * 31 + 7) % 65536 - 32768) / 32768.0::DOUBLE AS second FROM events""",
+)
+def raw_chunks(spark, folder):
+    from wavelark.functions.sql import decode_pcm16
+
+    event = F.col("event_id")
+    body = F.concat(*[_byte_pairs((event * 31 + j * 7) % 65536 - 32768) for j in range(2)])
+    rows = A.table(spark, folder, "events").select("event_id", decode_pcm16(F.unhex(body)).alias("s"))
+    return rows.select("event_id", F.col("s")[0].alias("first"), F.col("s")[1].alias("second"))
