@@ -117,13 +117,17 @@ def files_from_lineitem(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def pack_samples(samples: DataFrame, chunk: int, halo: int = 0) -> DataFrame:
+def pack_samples(
+    samples: DataFrame, chunk: int, halo: int = 0, totals: DataFrame | None = None
+) -> DataFrame:
     """Long samples (recording_id, channel, sr, idx, value) as signal chunks.
 
     A group is one chunk plus its halo, whatever the length of the recording.
+    ``totals`` (recording_id, channel, n_total) saves counting the samples.
     """
     keys = ["recording_id", "channel"]
-    totals = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_total"))
+    if totals is None:
+        totals = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_total"))
     home = F.floor(F.col("idx") / chunk)
     back = F.ceil(F.greatest(F.lit(halo) - F.col("idx") % chunk, F.lit(0)) / chunk)
     routed = samples.withColumn("_chunk", F.explode(F.sequence(F.greatest(home - back, F.lit(0)), home)))
@@ -144,4 +148,8 @@ def signals_from_events(spark: SparkSession, folder: str, chunk: int = 4096, hal
     Packing is the ingest step of these recordings: the table is written once
     and operators read it as they would read any signals table.
     """
-    return materialise(pack_samples(samples_from_events(spark, folder), chunk, halo))
+    sensor = F.col("user_id").cast("string").alias("recording_id")
+    totals = table(spark, folder, "events").groupBy(sensor, F.lit(0).alias("channel")).agg(
+        F.count(F.lit(1)).alias("n_total")
+    )
+    return materialise(pack_samples(samples_from_events(spark, folder), chunk, halo, totals))
