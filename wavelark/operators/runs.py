@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 # Parameter presets by name.
 PRESETS = {
-    "Urban Sound Analysis": {
+    "Urban Noise Detection": {
         "sampling_rate": 48000, "chunk_duration": 3.0, "click_threshold": 0.6, "window_size": 2048,
         "pitch_shift_range": [-1, 1], "noise_level": 0.05, "volume_adjustment": 0, "mfcc_coefficients": 13,
         "learning_rate": 0.0005, "batch_size": 64, "classification_threshold": 0.8,

@@ -11,7 +11,7 @@ from wavelark.sources.sinks import latest_model
 
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 PRESET_OF = dict(zip(SEGMENTS, [*R.PRESETS, None]))
-DEFAULTS = R.PRESETS["Urban Sound Analysis"] | {"operator_note": "none"}
+DEFAULTS = R.PRESETS["Urban Noise Detection"] | {"operator_note": "none"}
 
 
 def _values(rows) -> str:
