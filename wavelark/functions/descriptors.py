@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+from collections.abc import Callable
 
 import numpy as np
 
 
+def cached(build: Callable) -> Callable:
+    """Remember results by argument; unlike library caches it travels with a task."""
+    made: dict[tuple, np.ndarray] = {}
+
+    def get(*args) -> np.ndarray:
+        if args not in made:
+            made[args] = build(*args)
+        return made[args]
+
+    return get
+
+
 def hz_to_mel(hz: np.ndarray) -> np.ndarray:
     """Auditory-toolbox scale: linear below 1 kHz, logarithmic above."""
     hz = np.asarray(hz, dtype=float)
@@ -20,7 +32,7 @@ def mel_to_hz(mel: np.ndarray) -> np.ndarray:
     return np.where(mel < 15, mel * 200 / 3, 1000 * np.exp(step * (mel - 15)))
 
 
-@lru_cache(maxsize=32)
+@cached
 def mel_matrix(sr: int, n_fft: int, n_mels: int = 128) -> np.ndarray:
     """Triangles of equal area between neighbouring mel centres (mels × bins)."""
     edges = mel_to_hz(np.linspace(0, hz_to_mel(sr / 2), n_mels + 2))
@@ -31,7 +43,7 @@ def mel_matrix(sr: int, n_fft: int, n_mels: int = 128) -> np.ndarray:
     return np.maximum(0, np.minimum(rising, falling)) * area[:, None]
 
 
-@lru_cache(maxsize=32)
+@cached
 def dct_matrix(n_out: int, n_in: int) -> np.ndarray:
     """Orthonormal DCT-II (outputs × inputs)."""
     k, i = np.arange(n_out)[:, None], np.arange(n_in)[None, :]
@@ -40,7 +52,7 @@ def dct_matrix(n_out: int, n_in: int) -> np.ndarray:
     return basis
 
 
-@lru_cache(maxsize=32)
+@cached
 def chroma_matrix(sr: int, n_fft: int) -> np.ndarray:
     """Each bin's nearest pitch class, C first, from 27.5 Hz up (12 × bins)."""
     freqs = np.fft.rfftfreq(n_fft, 1.0 / sr)
@@ -51,7 +63,7 @@ def chroma_matrix(sr: int, n_fft: int) -> np.ndarray:
     return member
 
 
-@lru_cache(maxsize=1)
+@cached
 def tonal_matrix() -> np.ndarray:
     """Pitch classes on the circles of fifths, minor and major thirds (6 × 12)."""
     note = np.arange(12)
