@@ -39,3 +39,10 @@ def exact(spark: SparkSession, folder: str) -> DataFrame:
     from wavelark.llm.exact_dedup import exact_dedup
 
     return exact_dedup(table(spark, folder, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("op2_simhash_multi_index")
+def simhash(spark: SparkSession, folder: str) -> DataFrame:
+    from wavelark.llm.simhash import simhash_groups
+
+    return simhash_groups(table(spark, folder, "documents"))

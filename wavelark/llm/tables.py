@@ -26,3 +26,24 @@ def text_of(column: str) -> Column:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def word_runs(data: bytes, size: int = 1 << 20):
+    """Lists of the blank-separated words of ``data``, about ``size`` bytes at a time.
+
+    ``bytes.split`` splits at the bytes 20 and 09-0D.  A run ends at a blank, so
+    memory stays bounded however long the text is, but for a single word.
+    """
+    import re
+
+    blank = re.compile(rb"[\x20\x09-\x0D]")
+    start, n = 0, len(data)
+    while start < n:
+        end = min(start + size, n)
+        if end < n:
+            found = blank.search(data, end)
+            end = found.start() if found else n
+        words = data[start:end].split()
+        if words:
+            yield words
+        start = end
