@@ -46,3 +46,13 @@ def simhash(spark: SparkSession, folder: str) -> DataFrame:
     from wavelark.llm.simhash import simhash_groups
 
     return simhash_groups(table(spark, folder, "documents"))
+
+
+@query("op9_byte_bpe_transducer")
+def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from wavelark.llm.bpe_transducer import codec_digest
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return codec_digest(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)

@@ -47,3 +47,27 @@ def word_runs(data: bytes, size: int = 1 << 20):
         if words:
             yield words
         start = end
+
+
+def kept_in_worker(key: object, make):
+    """``make()``, made once in a Python worker and kept for its later tasks."""
+    import sys
+    import types
+
+    store = sys.modules.setdefault("wavelark_worker_store", types.ModuleType("wavelark_worker_store")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
+class Recent:
+    """A bounded dictionary of what was used of late: two halves, the older one dropped when the newer is full."""
+
+    def __init__(self, half: int):
+        self.half, self.new, self.old = half, {}, {}
+
+    def add(self, key, value):
+        if len(self.new) >= self.half:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+        return value
