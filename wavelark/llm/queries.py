@@ -56,3 +56,12 @@ def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return codec_digest(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+@query("op1_token_counts_resync")
+def tokens(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from wavelark.llm.token_counts import token_counts
+
+    return token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
