@@ -27,11 +27,10 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavelark.llm.tables import Recent, kept_in_worker
+from wavelark.llm.tables import Recent, kept_in_worker, map_text, text_of
 
 #: Kept segments (twice as many at most), states and pairs of a worker; beyond
 #: these they are made again.  Bytes read before settled tokens are written.
@@ -315,16 +314,12 @@ def _digest(codec: Codec, text: str) -> tuple:
     return total, written.hexdigest(), decoded.hexdigest()
 
 
-def _mapped(docs, path, pattern, id_col, text_col, schema, work) -> DataFrame:
-    source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    names = [part.split()[0] for part in schema.split(", ")]
+def _mapped(docs, path, pattern, id_col, text_col, added, work) -> DataFrame:
+    source = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    width = added.count(", ") + 1
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = None
-        for batch in batches:
-            codec = codec or kept_in_worker(("codec", path, pattern), lambda: Codec(path, pattern))
-            rows = [work(codec, text) for text in batch["text"]]
-            columns = dict(zip(names, zip(*rows), strict=True)) if rows else dict.fromkeys(names, ())
-            yield pd.DataFrame({"doc_id": batch["doc_id"], **{k: list(v) for k, v in columns.items()}})
+    def make():
+        codec = kept_in_worker(("codec", path, pattern), lambda: Codec(path, pattern))
+        return lambda texts: list(zip(*(work(codec, text) for text in texts), strict=True)) or [()] * width
 
-    return source.mapInPandas(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, {schema}")
+    return map_text(source, make, added)

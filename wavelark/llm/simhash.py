@@ -22,16 +22,14 @@ of the same component; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavelark.llm.components import components
-from wavelark.llm.tables import text_of, word_runs, written
+from wavelark.llm.tables import map_text, text_of, word_runs, written
 
 #: Words in a shingle, seed of its hash, bits that may differ.
 WORDS, SEED, RADIUS = 3, 42, 2
@@ -65,13 +63,7 @@ def fingerprint(text: str, words: int = WORDS) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """(id, fp) per row."""
     source = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            codes = np.fromiter((fingerprint(t, words) for t in batch["text"]), dtype=np.int64, count=len(batch))
-            yield pd.DataFrame({"id": batch["id"], "fp": codes})
-
-    return source.mapInPandas(run, f"id {source.schema['id'].dataType.simpleString()}, fp long")
+    return map_text(source, lambda: lambda texts: [[fingerprint(t, words) for t in texts]], "fp long")
 
 
 def _upper(fp: Column) -> Column:

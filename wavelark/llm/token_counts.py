@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavelark.llm.tables import Recent, kept_in_worker, shuffle_parts, written
+from wavelark.llm.tables import Recent, kept_in_worker, map_text, shuffle_parts, text_of, written
 
 #: Characters of a chunk, and of the overlap before widening.
 CHUNK, OVERLAP = 1 << 16, 1 << 9
@@ -81,21 +81,23 @@ def _count_batch(tokenizer, kept: Recent, texts: list[str]) -> Iterator[int]:
 
 
 def _short(docs: DataFrame, path: str) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            tokenizer = _tokenizer(path)
-            kept = kept_in_worker(("counts", path), lambda: Recent(KEPT))
+    def make():
+        tokenizer = _tokenizer(path)
+        kept = kept_in_worker(("counts", path), lambda: Recent(KEPT))
+
+        def count(texts: list[str]) -> list[list[int]]:
             totals, some, size = [], [], 0
-            for text in batch["text"]:
+            for text in texts:
                 some.append(text)
                 size += len(text)
                 if size >= GATHER:
                     totals += _count_batch(tokenizer, kept, some)
                     some, size = [], 0
-            totals += _count_batch(tokenizer, kept, some)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": batch["n_bytes"], "n_tokens": totals})
+            return [totals + list(_count_batch(tokenizer, kept, some))]
+
+        return count
 
-    return docs.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long")
+    return map_text(docs.select("doc_id", "n_bytes", "text"), make, "n_tokens long")
 
 
 def cuts(text: str, chunk: int, overlap: int) -> Iterator[tuple[int, int]]:
@@ -208,7 +210,7 @@ def token_counts(
     ``path`` is the file of a byte-level BPE tokenizer whose pattern splits
     before white space; added special tokens must hold none.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = text_of(text_col)
     source = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), text.alias("text"),
         F.octet_length(text).cast("long").alias("n_bytes"), F.char_length(text).alias("n_chars"),
