@@ -22,7 +22,7 @@ def library():
 
 
 def ids_of(codec, text):
-    return [i for part in B.segments(text, 16) for s in part for i in codec.ids(s)]
+    return [i for at in B.slices(text, B.BORDER, 16) for s in B.SEGMENT.findall(text, *at) for i in codec.ids(s)]
 
 
 def test_random_texts(codec, library):

@@ -30,7 +30,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavelark.llm.tables import Recent, kept_in_worker, map_text, text_of
+from wavelark.llm.tables import Memo, kept_in_worker, map_text, slices, text_of
 
 #: Kept segments (twice as many at most), states and pairs of a worker; beyond
 #: these they are made again.  Bytes read before settled tokens are written.
@@ -245,7 +245,7 @@ class Codec:
         # The library's white space has no 1C-1F; this module's may.
         own = pattern.replace(r"[^\s\p{L}", r"[^\p{White_Space}\p{L}")
         self.pieces = regex.compile(own.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-        self.kept = Recent(KEPT)
+        self.kept = Memo(KEPT, lambda missing: list(map(self.digested, missing)))
         self.decimal = [str(i) for i in range(max(self.stream.bytes_of) + 1)]
 
     def ids(self, segment: str) -> list[int]:
@@ -253,28 +253,15 @@ class Codec:
         return [i for piece in self.pieces.findall(segment) for i in encode(piece.encode("utf-8", "replace"))]
 
     def digested(self, segment: str) -> tuple[int, str, str]:
-        """(number of ids, ids in decimal, their decoded text) of a segment, kept if short."""
-        found = self.kept.old.get(segment)
-        if found is None:
-            ids, decimal = self.ids(segment), self.decimal
-            text = "".join(self.stream.decode(ids))
-            found = len(ids), " ".join([decimal[i] for i in ids]), segment if text == segment else text
-        return self.kept.add(segment, found) if len(segment) <= 64 else found
+        """(number of ids, ids in decimal, their decoded text) of a segment."""
+        ids, decimal = self.ids(segment), self.decimal
+        text = "".join(self.stream.decode(ids))
+        return len(ids), " ".join([decimal[i] for i in ids]), segment if text == segment else text
 
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
         return self.stream.decode(ids)
 
 
-def segments(text: str, size: int = 1 << 20) -> Iterator[list[str]]:
-    """Lists of segments, about ``size`` characters at a time."""
-    start, n = 0, len(text)
-    while start < n:
-        found = BORDER.search(text, start + size - 1) if start + size < n else None
-        end = found.end() if found else n
-        yield SEGMENT.findall(text, start, end)
-        start = end
-
-
 def encoded_and_decoded(
     docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -297,16 +284,15 @@ def codec_digest(
 
 
 def _whole(codec: Codec, text: str) -> tuple:
-    ids = [i for part in segments(text) for segment in part for i in codec.ids(segment)]
+    ids = [i for s in slices(text, BORDER) for segment in SEGMENT.findall(text, *s) for i in codec.ids(segment)]
     return ids, "".join(codec.decode(ids))
 
 
 def _digest(codec: Codec, text: str) -> tuple:
     """Segments hold whole characters, so decoding is at its start state after each."""
     written, decoded, total = hashlib.sha256(), hashlib.sha256(), 0
-    for part in segments(text):
-        known, make = codec.kept.new, codec.digested
-        rows = [known.get(segment) or make(segment) for segment in part]
+    for s in slices(text, BORDER):
+        rows = codec.kept.values(SEGMENT.findall(text, *s))
         line = " ".join([row[1] for row in rows])
         written.update((" " + line if total else line).encode())
         decoded.update("".join([row[2] for row in rows]).encode())

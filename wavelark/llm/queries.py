@@ -65,3 +65,12 @@ def tokens(spark: SparkSession, folder: str) -> DataFrame:
     from wavelark.llm.token_counts import token_counts
 
     return token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op4_minimum_bin_slack_packing")
+def packing(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from wavelark.llm.packing import best_fit_packing
+
+    return best_fit_packing(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))

@@ -60,17 +60,47 @@ def kept_in_worker(key: object, make):
     return store[key]
 
 
-class Recent:
-    """A bounded dictionary of what was used of late: two halves, the older one dropped when the newer is full."""
+class Memo:
+    """Values of short strings, in bounded room: two halves, the older dropped when the newer is full.
 
-    def __init__(self, half: int):
-        self.half, self.new, self.old = half, {}, {}
+    ``make`` gives the values of a list of strings.
+    """
+
+    def __init__(self, half: int, make, short: int = 64):
+        self.half, self.make, self.short = half, make, short
+        self.new, self.old = {}, {}
 
-    def add(self, key, value):
-        if len(self.new) >= self.half:
+    def values(self, keys: list[str]) -> list:
+        if len(self.new) > self.half:
             self.old, self.new = self.new, {}
-        self.new[key] = value
-        return value
+        new = self.new
+        try:
+            return list(map(new.__getitem__, keys))
+        except KeyError:
+            pass
+        missing = []
+        for key in set(keys).difference(new):
+            known = self.old.get(key)
+            if known is None:
+                missing.append(key)
+            else:
+                new[key] = known
+        long = {}
+        for key, value in zip(missing, self.make(missing), strict=True) if missing else ():
+            (new if len(key) <= self.short else long)[key] = value
+        if long:
+            return [long[k] if k in long else new[k] for k in keys]
+        return list(map(new.__getitem__, keys))
+
+
+def slices(text: str, border, size: int = 1 << 20):
+    """(start, end) of stretches of about ``size`` characters that end where ``border`` matches end."""
+    start, n = 0, len(text)
+    while start < n:
+        found = border.search(text, start + size - 1) if start + size < n else None
+        end = found.end() if found else n
+        yield start, end
+        start = end
 
 
 def map_text(source: DataFrame, make, added: str) -> DataFrame:

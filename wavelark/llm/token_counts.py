@@ -22,19 +22,18 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
 from zlib import crc32
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavelark.llm.tables import Recent, kept_in_worker, map_text, shuffle_parts, text_of, written
+from wavelark.llm.tables import Memo, kept_in_worker, map_text, shuffle_parts, slices, text_of, written
 
 #: Characters of a chunk, and of the overlap before widening.
 CHUNK, OVERLAP = 1 << 16, 1 << 9
-#: Characters whose stretches are looked up together; kept counts (twice as many at most).
-GATHER, KEPT = 1 << 22, 250_000
+#: Counts a worker keeps, twice as many at most.
+KEPT = 250_000
 #: Stable boundaries an overlap should hold.
 BORDERS = 4
 
@@ -55,47 +54,19 @@ def _tokenizer(path: str):
     return kept_in_worker(("tokenizer", path), lambda: Tokenizer.from_file(path))
 
 
-def _count_batch(tokenizer, kept: Recent, texts: list[str]) -> Iterator[int]:
-    """Token counts of texts, stretch by stretch."""
-    parts = [STRETCH.findall(text) for text in texts]
-    counts = {}
-    new = []
-    for stretch in set(chain.from_iterable(parts)):
-        known = kept.new.get(stretch)
-        if known is None:
-            known = kept.old.get(stretch)
-            if known is None:
-                new.append(stretch)
-                continue
-            kept.add(stretch, known)
-        counts[stretch] = known
-    for start in range(0, len(new), 4096):
-        some = new[start : start + 4096]
-        for stretch, found in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-            counts[stretch] = len(found)
-            if len(stretch) <= 64:
-                kept.add(stretch, len(found))
-    get = counts.__getitem__
-    for part in parts:
-        yield sum(map(get, part))
-
-
 def _short(docs: DataFrame, path: str) -> DataFrame:
     def make():
         tokenizer = _tokenizer(path)
-        kept = kept_in_worker(("counts", path), lambda: Recent(KEPT))
-
-        def count(texts: list[str]) -> list[list[int]]:
-            totals, some, size = [], [], 0
-            for text in texts:
-                some.append(text)
-                size += len(text)
-                if size >= GATHER:
-                    totals += _count_batch(tokenizer, kept, some)
-                    some, size = [], 0
-            return [totals + list(_count_batch(tokenizer, kept, some))]
-
-        return count
+
+        def encode(stretches: list[str]) -> list[int]:
+            return list(map(len, tokenizer.encode_batch_fast(stretches, add_special_tokens=False)))
+
+        memo = kept_in_worker(("counts", path), lambda: Memo(KEPT, encode))
+
+        def count(text: str) -> int:
+            return sum(sum(memo.values(STRETCH.findall(text, *s))) for s in slices(text, BORDER))
+
+        return lambda texts: [list(map(count, texts))]
 
     return map_text(docs.select("doc_id", "n_bytes", "text"), make, "n_tokens long")
 
