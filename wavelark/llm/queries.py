@@ -74,3 +74,10 @@ def packing(spark: SparkSession, folder: str) -> DataFrame:
     from wavelark.llm.packing import best_fit_packing
 
     return best_fit_packing(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op8_string_kernel_language_id")
+def languages(spark: SparkSession, folder: str) -> DataFrame:
+    from wavelark.llm.language_id import language_id
+
+    return language_id(table(spark, folder, "documents"))
