@@ -81,3 +81,10 @@ def languages(spark: SparkSession, folder: str) -> DataFrame:
     from wavelark.llm.language_id import language_id
 
     return language_id(table(spark, folder, "documents"))
+
+
+@query("op10_seekable_warc")
+def archives(spark: SparkSession, folder: str) -> DataFrame:
+    from wavelark.llm.warc import warc_round_trip
+
+    return warc_round_trip(table(spark, folder, "pages")).drop("url", "record_id")
