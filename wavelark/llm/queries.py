@@ -88,3 +88,10 @@ def archives(spark: SparkSession, folder: str) -> DataFrame:
     from wavelark.llm.warc import warc_round_trip
 
     return warc_round_trip(table(spark, folder, "pages")).drop("url", "record_id")
+
+
+@query("op6_relative_lempel_ziv_dedup")
+def substrings(spark: SparkSession, folder: str) -> DataFrame:
+    from wavelark.llm.substring_dedup import substring_dedup
+
+    return substring_dedup(table(spark, folder, "documents"))

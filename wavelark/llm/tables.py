@@ -107,7 +107,8 @@ def map_text(source: DataFrame, make, added: str) -> DataFrame:
     """``source`` with its ``text`` replaced by the columns ``added`` (DDL).
 
     ``make()`` is called once in a task and gives a function from a list of texts
-    to one list per added column.  Other columns pass through as they are.
+    to one list, or Arrow array, per added column.  Other columns pass through as
+    they are.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -123,7 +124,10 @@ def map_text(source: DataFrame, make, added: str) -> DataFrame:
         for batch in batches:
             columns = work(batch.column(batch.schema.get_field_index("text")).to_pylist())
             arrays = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-            arrays += [pa.array(values, type=f.type) for values, f in zip(columns, fields, strict=True)]
+            arrays += [
+                values if isinstance(values, pa.Array) else pa.array(values, type=f.type)
+                for values, f in zip(columns, fields, strict=True)
+            ]
             names = kept + [f.name for f in fields]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
