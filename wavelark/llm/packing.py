@@ -27,6 +27,7 @@ from zlib import crc32
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from wavelark.llm.tables import Memo, kept_in_worker, map_text, slices, text_of, written
 
@@ -180,7 +181,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             columns["offset"] = pa.array(places[row, 3])
             yield pa.RecordBatch.from_pydict(columns)
 
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    schema = StructType([*pieces.schema, *StructType.fromDDL("sequence_id long, offset long")])
     return source.mapInArrow(place, schema)
 
 

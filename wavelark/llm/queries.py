@@ -95,3 +95,10 @@ def substrings(spark: SparkSession, folder: str) -> DataFrame:
     from wavelark.llm.substring_dedup import substring_dedup
 
     return substring_dedup(table(spark, folder, "documents"))
+
+
+@query("op7_inverted_multi_index_dedup")
+def embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    from wavelark.llm.embedding_dedup import embedding_dedup
+
+    return embedding_dedup(table(spark, folder, "embeddings"))
