@@ -102,3 +102,10 @@ def embeddings(spark: SparkSession, folder: str) -> DataFrame:
     from wavelark.llm.embedding_dedup import embedding_dedup
 
     return embedding_dedup(table(spark, folder, "embeddings"))
+
+
+@query("op3_boosted_candidate_pii")
+def personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    from wavelark.llm.pii import find_pii
+
+    return find_pii(table(spark, folder, "documents"))
