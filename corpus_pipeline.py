@@ -1,22 +1,87 @@
-"""Corpus pipeline: five operators of ``wavelark.llm`` over ``documents``, in order."""
+"""Corpus pipeline: five operators of ``wavelark.llm`` over ``documents``, in order.
+
+Every stage takes all documents its predecessor kept.  All but the last return
+the columns of ``documents``; the last returns the packed pieces.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wavelark.llm.exact_dedup import exact_dedup
+from wavelark.llm import exact_dedup as exact
+from wavelark.llm import language_id as language
+from wavelark.llm import packing, pii, simhash
 from wavelark.llm.tables import table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
-
-#: Language identification, boosted trees and packing are beyond SQL.
+#: Language identification, boosted trees and packing are beyond SQL;
+#: tests/llm/test_pipeline.py follows the stages by brute force.
 ORACLE_SQL = None
 
 
+def _marked(docs: DataFrame) -> DataFrame:
+    """``docs`` with an id that orders by doc_id, null last, and tells texts of one doc_id apart."""
+    mark = F.xxhash64(F.col("text")).alias("mark")
+    return docs.withColumn("_id", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", mark))
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Of marked ``docs`` one row for each of ``ids`` (_id, rows with it)."""
+    joined = docs.join(ids, "_id")
+    single = joined.filter("n = 1")
+    several = joined.filter("n > 1").dropDuplicates(["_id"])
+    return single.unionByName(several).drop("_id", "n")
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents of a determined language; those without a letter go."""
+    out = F.coalesce(language.held_out("doc_id"), F.lit(False))
+    model = language.fit(language.training_sample(docs, ~out, "doc_id", "text", "lang"))
+    named = language.predict(docs.withColumn("_text", F.col("text")), model)
+    kept = named if model is None else named.filter(F.col("lang_pred") != language.UNDETERMINED)
+    return kept.withColumnRenamed("_text", "text").select(*docs.columns)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the row with the smallest id of equal texts."""
+    marked = _marked(docs)
+    found = exact.exact_dedup(marked, id_col="_id")
+    ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("kept")).filter("kept")
+    return _only(marked, ids.select(F.col("doc_id").alias("_id"), "n"))
+
+
+def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of linked fingerprints."""
+    marked = _marked(docs)
+    found = simhash.simhash_groups(marked, id_col="_id")
+    ids = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    return _only(marked, ids.select(F.col("doc_id").alias("_id"), "n"))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by its kind; n_chars counts the new text."""
+    return pii.redact(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs all documents into sequences."""
+    return packing.best_fit_packing(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language_stage),
+    ("exact_dedup", exact_stage),
+    ("simhash_near_dedup", simhash_stage),
+    ("pii", pii_stage),
+    ("best_fit_packing", packing_stage),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stage over ``documents``; each result is written and read again."""
     docs = table(spark, sf_dir, "documents")
