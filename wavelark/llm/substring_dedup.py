@@ -31,6 +31,7 @@ table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -126,6 +127,15 @@ def _blocks_of(docs: DataFrame) -> DataFrame:
     return listed.select("id", "mark", F.inline("blocks"))
 
 
+def _bounds(spans) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(lo, hi) of each row of a column of span lists; none where it is null."""
+    lo, hi = (np.asarray(spans.values.field(f)) for f in ("lo", "hi"))
+    at, empty = np.asarray(spans.offsets), np.asarray(spans.is_null())
+    for i, null in enumerate(empty):
+        start, end = (0, 0) if null else (at[i], at[i + 1])
+        yield lo[start:end], hi[start:end]
+
+
 def _window_hashes(wanted: DataFrame) -> DataFrame:
     """(id, mark, start, h1, h2) of the windows in ``spans`` of each text."""
 
@@ -135,9 +145,9 @@ def _window_hashes(wanted: DataFrame) -> DataFrame:
         for batch in batches:
             columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             picked, starts, h1, h2 = [], [], [], []
-            for row, (text, spans) in enumerate(zip(columns["text"].to_pylist(), columns["spans"].to_pylist(), strict=True)):
-                codes = word_codes(text)
-                at = np.unique(np.concatenate([np.arange(s["lo"], s["hi"] + 1) for s in spans]))
+            for row, (lo, hi) in enumerate(_bounds(columns["spans"])):
+                codes = word_codes(columns["text"][row].as_py())
+                at = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(lo, hi, strict=True)]))
                 one, other = (Ranges(codes, p).hashes(at, at + WINDOW) for p in _powers())
                 picked.append(np.full(len(at), row))
                 starts.append(at)
@@ -186,8 +196,8 @@ def _removed(docs: DataFrame, keep_text: bool) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            texts, spans = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            rows = [_without(t, s or [], keep_text) for t, s in zip(texts, spans, strict=True)]
+            texts, bounds = batch.column(1), _bounds(batch.column(2))
+            rows = [_without(t.as_py(), lo, hi, keep_text) for t, (lo, hi) in zip(texts, bounds, strict=True)]
             n, removed, digest, kept = zip(*rows, strict=True) if rows else ((), (), (), ())
             out = {"doc_id": batch.column(0), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64())}
             out["kept_sha256"] = pa.array(digest, pa.string())
@@ -200,12 +210,11 @@ def _removed(docs: DataFrame, keep_text: bool) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _without(text: str, spans: list[dict], keep_text: bool) -> tuple[int, int, str, str]:
+def _without(text: str, lo: np.ndarray, hi: np.ndarray, keep_text: bool) -> tuple[int, int, str, str]:
     digest, total, kept, first, parts = hashlib.sha256(), 0, 0, True, []
-    bounds = np.array([(s["lo"], s["hi"]) for s in spans], dtype=np.int64).reshape(-1, 2)
-    steps = np.zeros(int(bounds[:, 1].max(initial=0)) + 1, dtype=np.int32)
-    np.add.at(steps, bounds[:, 0], 1)
-    np.add.at(steps, bounds[:, 1], -1)
+    steps = np.zeros(int(hi.max(initial=0)) + 1, dtype=np.int32)
+    np.add.at(steps, lo, 1)
+    np.add.at(steps, hi, -1)
     gone = np.cumsum(steps) > 0
     for run in word_runs(text.encode("utf-8", "replace")):
         drop = gone[total : total + len(run)]
