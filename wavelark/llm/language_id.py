@@ -37,6 +37,8 @@ BUCKETS = 1 << 18
 #: Documents per language that serve as landmarks, and that the weights are fitted on.
 LANDMARKS, SAMPLE = 40, 160
 RIDGE = 1e-2
+#: Keys of sampled rows (24 bytes each) that are sent to all executors.
+FEW = 100_000
 UNDETERMINED = "und"
 #: Characters read at a time; texts in a product.
 STRETCH, BATCH = 1 << 16, 64
@@ -106,13 +108,22 @@ def training_sample(docs: DataFrame, usable: Column, id_col: str, text_col: str,
     )
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
     chosen = rows.select("lang", "key").withColumn("place", rank).filter(F.col("place") <= LANDMARKS + SAMPLE)
-    keys = chosen.select("lang", "key").distinct()
-    taken = rows.join(keys, ["lang", "key"])
+    keys = written(chosen.select("lang", "key").distinct())
+    # LANDMARKS + SAMPLE keys per language; checked, as nothing bounds the languages.
+    taken = rows.join(F.broadcast(keys) if keys.count() <= FEW else keys, ["lang", "key"])
     again = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
     spectra = written(_spectra(taken))
     return spectra.withColumn("place", again).filter(F.col("place") <= LANDMARKS + SAMPLE).select("lang", "place", "buckets")
 
 
+def _kernel(buckets: np.ndarray, landmarks: list[np.ndarray], marked: np.ndarray) -> np.ndarray:
+    """Kernel values of one text with all landmarks; ``marked`` is all false before and after."""
+    marked[buckets] = True
+    shared = np.array([np.count_nonzero(marked[b]) / np.sqrt(len(b)) for b in landmarks])
+    marked[buckets] = False
+    return shared / np.sqrt(max(len(buckets), 1))
+
+
 def fit(sample: DataFrame) -> Model | None:
     """Nyström landmarks and one-versus-rest kernel ridge regression."""
     marks = sorted(
@@ -121,26 +132,17 @@ def fit(sample: DataFrame) -> Model | None:
     if not marks:
         return None
     languages = sorted({lang for lang, _, _ in marks})
-    present = np.zeros((len(marks), BUCKETS), dtype=np.float32)
-    for row, (_, _, buckets) in zip(present, marks, strict=True):
-        row[buckets] = 1.0
-    present /= np.sqrt(present.sum(axis=1, keepdims=True))
-    landmarks = [np.flatnonzero(row).astype(np.int32) for row in present]
-    norms = np.array([row[b[0]] for row, b in zip(present, landmarks, strict=True)])
-    among = (present @ present.T).astype(np.float64)
+    landmarks = [np.array(buckets, dtype=np.int32) for _, _, buckets in marks]
+    marked = np.zeros(BUCKETS, dtype=bool)
+    among = np.array([_kernel(b, landmarks, marked) for b in landmarks])
 
     # Kernel values of the sample with the landmarks are made where its rows are.
     def against(batches):
         import pandas as pd
 
-        marked = np.zeros(BUCKETS, dtype=np.float32)
+        marked = np.zeros(BUCKETS, dtype=bool)
         for batch in batches:
-            out = []
-            for buckets in batch["buckets"]:
-                marked[:] = 0
-                marked[np.asarray(buckets, dtype=np.int64)] = 1.0
-                length = np.sqrt(max(len(buckets), 1))
-                out.append([float(marked[b].sum()) * n / length for b, n in zip(landmarks, norms, strict=True)])
+            out = [_kernel(np.asarray(b, dtype=np.int32), landmarks, marked).tolist() for b in batch["buckets"]]
             yield pd.DataFrame({"lang": batch["lang"], "place": batch["place"], "kernel": out})
 
     rows = sample.mapInPandas(against, "lang string, place int, kernel array<double>").collect()
@@ -155,7 +157,10 @@ def fit(sample: DataFrame) -> Model | None:
     weighted = mapped * weight[:, None]
     inner = weighted.T @ mapped
     solved = np.linalg.solve(inner + RIDGE * np.trace(inner) / len(inner) * np.eye(len(inner)), weighted.T @ target)
-    return Model(languages, (present.T @ (to_map @ solved[:-1])).astype(np.float32), solved[-1])
+    folded = np.zeros((BUCKETS, len(languages)), dtype=np.float32)
+    for buckets, row in zip(landmarks, to_map @ solved[:-1], strict=True):
+        folded[buckets] += (row / np.sqrt(len(buckets))).astype(np.float32)
+    return Model(languages, folded, solved[-1])
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
