@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from wavelark.llm.tables import BLANKS, shuffle_parts, text_of, written
 
 #: Bytes in a block.
-BLOCK = 4096
+BLOCK = 1 << 14
 
 
 def normalised(text: Column) -> Column:
@@ -39,14 +39,20 @@ def _blocks(data: Column, size: int) -> Column:
     return F.transform(starts, lambda i: F.substring(data, i * size + 1, F.lit(size)))
 
 
-def name_sorted(keys: DataFrame, columns: list[str]) -> DataFrame:
+def name_sorted(keys: DataFrame, columns: list[str], level: int = 0) -> DataFrame:
     """Distinct ``columns`` and their integer ``name``, which follows their order.
 
     The numbers are made once and written: later reads see the same ones.
     """
     parts = shuffle_parts(keys.sparkSession)
     ordered = keys.select(*columns).distinct().repartitionByRange(parts, *columns).sortWithinPartitions(*columns)
-    return written(ordered.withColumn("name", F.monotonically_increasing_id()))
+    return written(ordered.withColumn("name", F.monotonically_increasing_id()), _files(keys, level))
+
+
+def _files(df: DataFrame, level: int) -> int:
+    """Partitions to write: each level has half the names of the one before."""
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, shuffle_parts(spark) >> level)
 
 
 def _checked_keys(pieces: DataFrame, contents: DataFrame) -> DataFrame:
@@ -80,8 +86,9 @@ def block_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     contents = data.select(F.explode("blocks").alias("block")).select(F.unhex(F.sha2("block", 256)).alias("key"), "block")
     names = name_sorted(_checked_keys(pieces, contents), ["key"])
     level = written(pieces.join(names, "key").select("row", "n", "place", "name", F.col("n").alias("left")))
-    done = level.filter("left = 1")
+    done, depth = level.filter("left = 1"), 0
     while True:
+        depth += 1
         open_ = level.filter("left > 1")
         if open_.isEmpty():
             break
@@ -91,11 +98,11 @@ def block_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .agg(
                 F.max(F.when(F.col("place") % 2 == 0, F.col("name"))).alias("first"),
                 F.coalesce(F.max(F.when(F.col("place") % 2 == 1, F.col("name"))), F.lit(-1)).alias("second"),
-            )
+            ),
+            _files(docs, depth),
         )
-        level = written(
-            pairs.join(name_sorted(pairs, ["first", "second"]), ["first", "second"])
-            .select("row", "n", F.col("half").alias("place"), "name", F.col("rest").alias("left"))
+        level = pairs.join(name_sorted(pairs, ["first", "second"], depth), ["first", "second"]).select(
+            "row", "n", F.col("half").alias("place"), "name", F.col("rest").alias("left")
         )
         done = done.unionByName(level.filter("left = 1"))
     return rows.select("row", "id", "text_sha256").join(
