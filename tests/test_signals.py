@@ -56,7 +56,7 @@ def test_chirp_doppler(spark):
 
 def test_band_tone(spark):
     x = np.sin(2 * np.pi * 1000 * np.arange(SR) / SR).astype(np.float32)
-    profile = B.band_energy(make_signals(spark, {"a": x}, chunk=SR))
+    profile = B.first_frame_energy(make_signals(spark, {"a": x}, chunk=SR))
     energy = {r["name"]: r.energy for r in B.band_rows(profile).collect()}
     assert energy["low_mid"] == pytest.approx(0.166748, abs=1e-6)
     assert energy["mid"] == pytest.approx(0.833252, abs=1e-6)
@@ -68,6 +68,18 @@ def test_band_tone(spark):
     ] == ["fixed_wing", "human_voice", "siren"]
 
 
+def test_band_energy_hears_the_whole_recording(spark):
+    """Energy at the end of a long recording, or in a last partial frame, changes the profile."""
+    quiet = tone(200, seconds=4.0)
+    late = quiet.copy()
+    late[-2000:] += 5 * tone(5000, seconds=2000 / SR)
+    signals = make_signals(spark, {"quiet": quiet, "late": late}, chunk=20000, halo=4096)
+    strongest = {r.recording_id: max(r.bands, key=lambda b: b.energy)["name"] for r in B.band_energy(signals).collect()}
+    assert strongest == {"quiet": "bass", "late": "upper_mid"}
+    first = {r.recording_id: max(r.bands, key=lambda b: b.energy)["name"] for r in B.first_frame_energy(signals).collect()}
+    assert first == {"quiet": "bass", "late": "bass"}
+
+
 def test_silence(spark):
     signals = make_signals(spark, {"a": np.zeros(SR)}, chunk=SR)
     assert {r.energy for r in B.band_rows(B.band_energy(signals)).collect()} == {0.0}

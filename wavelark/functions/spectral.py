@@ -143,6 +143,28 @@ def band_power(
     return energy(samples, sr)
 
 
+def mean_band_power(
+    samples: Column | str, sr: Column | str, n_fft: int, limits: list[tuple[float, float]]
+) -> Column:
+    """Mean power per band over the consecutive frames of a whole signal in one row.
+
+    The last frame is padded with silence.
+    """
+
+    @F.arrow_udf("array<double>")
+    def energy(values: pa.Array, rates: pa.Array) -> pa.Array:
+        out = np.zeros((len(values), len(limits)))
+        for at, rows, rate in _frames_by_shape(values, rates):
+            freqs = np.fft.rfftfreq(n_fft, d=1.0 / rate)
+            member = np.array([(freqs >= low) & (freqs < high) for low, high in limits], dtype=float)
+            count = max(1, -(-rows.shape[1] // n_fft))
+            cut = fit_length(rows, count * n_fft).reshape(-1, n_fft)
+            out[at] = (_power(cut, n_fft) @ member.T).reshape(len(rows), count, -1).mean(axis=1)
+        return _lists(out)
+
+    return energy(samples, sr)
+
+
 def gcc_phat(first: Column | str, second: Column | str, max_shift: Column) -> Column:
     """Delay in samples between two signals, positive when ``first`` lags.
 

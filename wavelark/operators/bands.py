@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavelark.functions.spectral import band_power
+from wavelark.functions.spectral import band_power, mean_band_power
 from wavelark.model import BANDS, MOVING_SOURCES, Band
 from wavelark.operators.framing import frames
 
@@ -23,44 +23,45 @@ def array_sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def head_frames(signals: DataFrame, n_fft: int) -> DataFrame:
-    """The first ``n_fft`` samples of every channel."""
-    wanted = F.least(F.lit(n_fft).cast("long"), F.col("n_total"))
-    head = F.when(
-        F.size("samples") < wanted,
-        F.raise_error(F.lit("first chunk shorter than n_fft; call with_halo")).cast("array<double>"),
-    ).otherwise(F.slice("samples", 1, n_fft))
-    return signals.filter(F.col("start") == 0).withColumn("samples", head)
+def band_energy(signals: DataFrame, bands: Sequence[Band] = BANDS, n_fft: int = 4096) -> DataFrame:
+    """Share of energy per band over the whole recording, one row per channel.
 
+    Means over consecutive frames; the last one is padded with silence.
+    """
+    count = F.greatest(F.ceil(F.col("n_total") / n_fft), F.lit(1))
+    return _profiles(frames(signals, n_fft, n_fft, count), bands, n_fft)
 
-def band_energy(
-    signals: DataFrame,
-    bands: Sequence[Band] = BANDS,
-    n_fft: int = 4096,
-    mode: str = "head",
+
+def first_frame_energy(signals: DataFrame, bands: Sequence[Band] = BANDS, n_fft: int = 4096) -> DataFrame:
+    """Share of energy per band in the first ``n_fft`` samples only."""
+    return _profiles(frames(signals, n_fft, n_fft, F.lit(1)), bands, n_fft)
+
+
+def _limits(bands: Sequence[Band]) -> list[tuple[float, float]]:
+    return [(float(b.low_hz), float(b.high_hz)) for b in bands]
+
+
+def chunk_energy(
+    signals: DataFrame, bands: Sequence[Band] = BANDS, n_fft: int = 4096, keep: Sequence[str] = ()
 ) -> DataFrame:
-    """Share of energy per band, one row per channel.
+    """``band_energy`` where each row holds a whole signal: a map, fit for streams."""
+    raw = mean_band_power("samples", "sr", n_fft, _limits(bands))
+    return _shares(signals.select(*KEY, "class_name", "sr", "n_total", *keep, raw.alias("raw")), bands, keep)
 
-    ``mode="head"`` looks at the first ``n_fft`` samples; ``"all_frames"``
-    averages over consecutive frames of the whole recording.
-    """
-    if mode not in ("head", "all_frames"):
-        raise ValueError(f"unknown mode {mode!r}")
-    if mode == "head":
-        cut = head_frames(signals, n_fft)
-    else:
-        count = F.greatest(F.floor(F.col("n_total") / n_fft), F.lit(1))
-        cut = frames(signals, n_fft, n_fft, count)
-    limits = [(float(b.low_hz), float(b.high_hz)) for b in bands]
-    rows = cut.select(
-        *KEY, "class_name", "sr", "n_total", band_power("samples", "sr", n_fft, limits).alias("raw")
+
+def _profiles(cut: DataFrame, bands: Sequence[Band], n_fft: int) -> DataFrame:
+    powers = cut.select(
+        *KEY, "class_name", "sr", "n_total", band_power("samples", "sr", n_fft, _limits(bands)).alias("raw")
     )
-    if mode == "all_frames":
-        means = [F.avg(F.col("raw")[i]).alias(f"b{i}") for i in range(len(bands))]
-        rows = (
-            rows.groupBy(*KEY, "class_name", "sr", "n_total").agg(*means)
-            .withColumn("raw", F.array(*[f"b{i}" for i in range(len(bands))]))
-        )
+    means = [F.avg(F.col("raw")[i]).alias(f"b{i}") for i in range(len(bands))]
+    rows = (
+        powers.groupBy(*KEY, "class_name", "sr", "n_total").agg(*means)
+        .withColumn("raw", F.array(*[f"b{i}" for i in range(len(bands))]))
+    )
+    return _shares(rows, bands)
+
+
+def _shares(rows: DataFrame, bands: Sequence[Band], keep: Sequence[str] = ()) -> DataFrame:
     rows = rows.withColumn("total", reduce(lambda a, b: a + b, [F.col("raw")[i] for i in range(len(bands))]))
     share = lambda i: F.when(F.col("total") > 0, F.col("raw")[i] / F.col("total")).otherwise(0.0)
     profile = F.array(
@@ -75,7 +76,7 @@ def band_energy(
             for i, b in enumerate(bands)
         ]
     )
-    return rows.select(*KEY, "class_name", "sr", "n_total", profile.alias("bands"))
+    return rows.select(*KEY, "class_name", "sr", "n_total", *keep, profile.alias("bands"))
 
 
 def band_rows(profiles: DataFrame) -> DataFrame:
@@ -125,10 +126,12 @@ def hybrid_classify(
     doppler_summary: DataFrame | None = None,
     bands: Sequence[Band] = BANDS,
     top_k: int = 3,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """First guess per channel from band energies, with Doppler context if given.
 
     The top ``top_k`` are cut and rounded before motion changes their scores.
+    ``keep`` names further columns of ``profiles`` to carry along.
     """
     scored = source_scores(profiles, bands)
     top = F.transform(
@@ -186,4 +189,5 @@ def hybrid_classify(
         "velocity_m_s",
         "direction",
         "method",
+        *keep,
     )

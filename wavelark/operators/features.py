@@ -251,8 +251,16 @@ def aggregate_features(frame_rows: DataFrame, config: FeatureConfig = FeatureCon
 def feature_vectors(
     signals: DataFrame, config: FeatureConfig = FeatureConfig(), n_fft: int = 2048, hop: int = 512
 ) -> DataFrame:
-    """Feature vector per channel of every recording."""
-    return aggregate_features(frame_features(signals, config, n_fft, hop), config)
+    """Feature vector per channel of every recording.
+
+    Recordings under ``MIN_SAMPLES`` samples have a row without features and the
+    ``reason``; it is null for all others.
+    """
+    made = aggregate_features(frame_features(signals, config, n_fft, hop), config)
+    short = signals.filter((F.col("start") == 0) & (F.col("n_total") < MIN_SAMPLES)).select(
+        *NAMES, F.lit(None).cast("array<double>").alias("features"), F.lit("too short").alias("reason")
+    )
+    return made.withColumn("reason", F.lit(None).cast("string")).unionByName(short)
 
 
 def mel_db(signals: DataFrame, n_fft: int = 2048, hop: int = 512) -> DataFrame:

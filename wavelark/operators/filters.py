@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavelark.functions import stft
 from wavelark.operators.blocks import KEY, stft_blocks, sum_arrays
 from wavelark.operators.framing import frames, overlap_add
+from wavelark.session import materialise
 
 
 def butterworth_response(freqs: np.ndarray, sr: float, low: float, high: float, order: int) -> np.ndarray | None:
@@ -36,8 +37,22 @@ def butterworth_response(freqs: np.ndarray, sr: float, low: float, high: float,
     return np.where(np.isfinite(response), response, 0)
 
 
+def response_length(sr: Column, low: float, high: float, order: int, tolerance: float) -> Column:
+    """Samples after which the impulse response stays below ``tolerance`` of its start.
+
+    The slowest poles of a Butterworth band-pass decay with the sine of their
+    angle times the lower edge, or half the width where that is less.
+    """
+    nyquist = sr / 2
+    w1 = F.tan(np.pi / 2 * F.greatest(low / nyquist, F.lit(0.001)))
+    w2 = F.tan(np.pi / 2 * F.least(high / nyquist, F.lit(0.999)))
+    decay = 2 * np.sin(np.pi / (2 * order)) * F.least(w1, (w2 - w1) / 2)
+    length = F.ceil(F.lit(1.5 * np.log(1 / tolerance)) / F.when(decay > 0, decay).otherwise(1.0)) + 2 * order
+    return length.cast("int")
+
+
 def impulse_response(sr: int, low: float, high: float, order: int, taps: int) -> np.ndarray | None:
-    size = 1 << 18
+    size = max(1 << 18, 1 << int(np.ceil(np.log2(4 * taps))))
     freqs = np.fft.rfftfreq(size, d=1.0 / sr)
     freqs[-1] -= 1e-9  # the response at Nyquist itself is 0
     response = butterworth_response(freqs, sr, low, high, order)
@@ -46,31 +61,37 @@ def impulse_response(sr: int, low: float, high: float, order: int, taps: int) ->
 
 def bandpass(
     signals: DataFrame, low: float | None = 50.0, high: float | None = 16000.0, order: int = 5,
-    taps: int = 8192, block: int = 16384,
+    tolerance: float = 1e-9, block: int = 16384,
 ) -> DataFrame:
     """Butterworth band-pass as overlap-save convolution.
 
-    The recursive filter is replaced by its impulse response cut at ``taps``, so
-    a block only needs the ``taps - 1`` samples before it.
+    The recursive filter is replaced by its impulse response, cut per rate where
+    it has fallen to ``tolerance`` of its start; a block only needs as many
+    samples before it.
     """
     if low is None or high is None:
         return signals
-    blocks = frames(signals, block + taps - 1, block, F.ceil(F.col("n_total") / block), taps - 1)
+    taps = response_length(F.col("sr"), low, high, order, tolerance)
+    blocks = frames(
+        signals.withColumn("_taps", taps), F.col("_taps") + (block - 1), block, F.ceil(F.col("n_total") / block),
+        F.col("_taps") - 1, keep=["_taps"],
+    )
 
     @F.pandas_udf("array<double>")
-    def convolve(samples: pd.Series, sr: pd.Series) -> pd.Series:
-        kernels: dict[int, np.ndarray | None] = {}
+    def convolve(samples: pd.Series, sr: pd.Series, length: pd.Series) -> pd.Series:
+        kernels: dict[int, tuple[int, np.ndarray | None]] = {}
         out = []
-        size = 1 << int(np.ceil(np.log2(block + 2 * taps)))
-        for x, rate in zip(samples, sr):
+        for x, rate, taps in zip(samples, sr, length):
             if rate not in kernels:
-                h = impulse_response(int(rate), low, high, order, taps)
-                kernels[rate] = None if h is None else np.fft.rfft(h, n=size)
+                size = 1 << int(np.ceil(np.log2(block + 2 * taps)))
+                h = impulse_response(int(rate), low, high, order, int(taps))
+                kernels[rate] = size, None if h is None else np.fft.rfft(h, n=size)
+            size, kernel = kernels[rate]
             x = np.asarray(x)
-            if kernels[rate] is None:
+            if kernel is None:
                 out.append(x[taps - 1 :])
                 continue
-            y = np.fft.irfft(np.fft.rfft(x, n=size) * kernels[rate], n=size)
+            y = np.fft.irfft(np.fft.rfft(x, n=size) * kernel, n=size)
             out.append(y[taps - 1 : taps - 1 + block])
         return pd.Series(out)
 
@@ -78,7 +99,7 @@ def bandpass(
     own = F.least(F.lit(block).cast("long"), F.col("n_total") - start).cast("int")
     return blocks.select(
         "recording_id", "class_name", "channel", "sr", "n_total", start.alias("start"), own.alias("own"),
-        F.slice(convolve("samples", "sr"), 1, own).alias("samples"),
+        F.slice(convolve("samples", "sr", "_taps"), 1, own).alias("samples"),
     )
 
 
@@ -90,10 +111,9 @@ def reduce_noise(
     The usual level of a bin is the mean of its dB values over the recording
     plus ``n_std`` deviations.  Blocks report sums and sums of squares; samples
     meet the thresholds in one join and are gated block by block.  Recordings
-    shorter than a frame pass unchanged.
+    shorter than a frame are padded to one.
     """
-    long_enough = F.col("n_total") >= n_fft
-    blocks = stft_blocks(signals.filter(long_enough), n_fft, hop)
+    blocks = stft_blocks(signals, n_fft, hop)
 
     def level(spectra: np.ndarray) -> np.ndarray:
         return 20 * np.log10(np.abs(spectra) + 1e-10)
@@ -129,9 +149,7 @@ def reduce_noise(
         *KEY, "class_name", "sr", "n_total", "start",
         gate("samples", "block", "n_total", "n", "s", "q").alias("g"),
     )
-    done = overlap_add(gated.select(*KEY, "class_name", "sr", "n_total", "start", "g.*"))
-    short = signals.filter(~long_enough).select(done.columns)
-    return done.unionByName(short)
+    return overlap_add(gated.select(*KEY, "class_name", "sr", "n_total", "start", "g.*"))
 
 
 def _activations(magnitude: np.ndarray, history: list[np.ndarray]) -> np.ndarray:
@@ -147,19 +165,22 @@ def _activations(magnitude: np.ndarray, history: list[np.ndarray]) -> np.ndarray
 
 
 def fit_dictionary(
-    signals: DataFrame, n_components: int = 2, iters: int = 50, seed: int = 42, n_fft: int = 2048, hop: int = 512
+    signals: DataFrame, n_components: int = 2, iters: int = 50, seed: int = 42, n_fft: int = 2048, hop: int = 512,
+    tolerance: float = 1e-4,
 ) -> tuple[np.ndarray, list[np.ndarray], list[float]]:
     """Spectral dictionary for the whole corpus by multiplicative updates.
 
     Returns the dictionary (bins × components), the dictionaries of all steps
-    and the squared error before each.  Frames stay on the executors; every
-    step adds up matrices of size bins × components.
+    and the squared error before each; it stops once a step lowers the error by
+    less than ``tolerance`` of itself, or after ``iters`` steps.  Blocks of
+    samples are written once; every step adds up matrices of size bins ×
+    components.
     """
     bins = n_fft // 2 + 1
     rng = np.random.default_rng(seed)
     history = [rng.uniform(0.1, 1.0, (bins, n_components))]
     losses: list[float] = []
-    blocks = stft_blocks(signals, n_fft, hop).select("samples", "block", "n_total")
+    blocks = materialise(stft_blocks(signals, n_fft, hop).select("samples", "block", "n_total"))
 
     for _ in range(iters):
         steps = list(history)
@@ -184,11 +205,15 @@ def fit_dictionary(
         losses.append(float(total[-1]))
         w = history[-1]
         history.append(w * cross / np.maximum(w @ gram, 1e-12))
+        if len(losses) > 1 and losses[-2] - losses[-1] <= tolerance * losses[-2]:
+            break
     return history[-1], history, losses
 
 
-def separate(signals: DataFrame, history: list[np.ndarray], n_fft: int = 2048, hop: int = 512) -> DataFrame:
-    """One signal per component, named ``<recording>_source_<i>``.
+def separate(
+    signals: DataFrame, history: list[np.ndarray], n_fft: int = 2048, hop: int = 512, together: bool = False
+) -> DataFrame:
+    """One signal per component, named ``<recording>_source_<i>``; with ``together`` their mixture, under its name.
 
     Components are ordered by the bin of their peak.  A source is its part of
     the modelled spectrum with the phase of the mixture.
@@ -208,8 +233,8 @@ def separate(signals: DataFrame, history: list[np.ndarray], n_fft: int = 2048, h
             phase = spectra / np.maximum(magnitude, 1e-12)
             h = _activations(magnitude, history)
             row = []
-            for place, c in enumerate(order):
-                part, weight = stft.inverse(np.outer(h[:, c], w[:, c]) * phase, n_fft, hop)
+            for place, c in enumerate([order] if together else order[:, None]):
+                part, weight = stft.inverse(h[:, c] @ w[:, c].T * phase, n_fft, hop)
                 row.append({"source": place, "samples": part, "weight": weight})
             out.append(row)
         return pd.Series(out)
@@ -219,6 +244,7 @@ def separate(signals: DataFrame, history: list[np.ndarray], n_fft: int = 2048, h
         *KEY, "class_name", "sr", "n_total", "start", F.explode(split("samples", "block", "n_total")).alias("p")
     )
     name = F.concat("recording_id", F.lit("_source_"), F.col("p.source").cast("string"))
+    name = F.col("recording_id") if together else name
     return overlap_add(
         parts.select(
             name.alias("recording_id"), "channel", "class_name", "sr", "n_total", "start", "p.samples", "p.weight"

@@ -97,8 +97,12 @@ def previous(
     return lagged.filter(F.col("_block") == home).drop("_block")
 
 
-def value_bucket(value: Column, steps: int = 64) -> Column:
-    """Order-keeping coarse key of a double: ``steps`` buckets per octave."""
+def value_bucket(value: Column, steps: int = 1 << 14) -> Column:
+    """Order-keeping coarse key of a double: ``steps`` buckets per octave.
+
+    As many that values crowded into a tenth of an octave still fall into more
+    than a thousand buckets.
+    """
     size = F.floor(F.log2(F.abs(value)) * steps) + F.lit(1 << 20)
     return (
         F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0)).cast("long")

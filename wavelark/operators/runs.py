@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Parameter presets by name.
@@ -126,8 +127,31 @@ def literal_map(values: Mapping[str, object]) -> Column:
 def session_summary(events: DataFrame, gap: str = "30 minutes", sensor: str = "sensor_id") -> DataFrame:
     """Processed chunks, mean latency and detections per session of a sensor.
 
-    ``session_window`` merges partial sessions, in batch and in streams alike.
+    Rows of a sensor within one stretch as long as the gap belong to one
+    session, so they are first aggregated per stretch, map-side too.  Only the
+    stretches, whose number depends on the time covered and not on the rows, are
+    ordered per sensor.  Streams use ``session_rollup``.
     """
+    length = F.lit(int(pd.Timedelta(gap).total_seconds() * 1_000_000)).cast("long")
+    kind = events.schema["ts"].dataType
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    stretches = events.groupBy(sensor, F.floor(at / length).alias("_stretch")).agg(
+        F.min(at).alias("_first"), F.max(at).alias("_last"), F.count(F.lit(1)).alias("processed"),
+        F.sum("latency").alias("_latency"), F.count("latency").alias("_timed"), F.count_if(F.col("detected")).alias("detections"),
+    )
+    order = Window.partitionBy(sensor).orderBy("_stretch")
+    fresh = F.coalesce(F.col("_first") - F.lag("_last").over(order) >= length, F.lit(True))
+    sessions = stretches.withColumn("_fresh", fresh.cast("int")).withColumn("_session", F.sum("_fresh").over(order))
+    return sessions.groupBy(sensor, "_session").agg(
+        F.timestamp_micros(F.min("_first")).cast(kind).alias("started"),
+        F.timestamp_micros(F.max("_last") + length).cast(kind).alias("ended"),
+        F.sum("processed").alias("processed"), (F.sum("_latency") / F.sum("_timed")).alias("mean_latency"),
+        F.sum("detections").alias("detections"),
+    ).drop("_session")
+
+
+def session_windows(events: DataFrame, gap: str = "30 minutes", sensor: str = "sensor_id") -> DataFrame:
+    """``session_summary`` by Spark's session windows, for streams: state is per sensor and session."""
     return (
         events.groupBy(sensor, F.session_window("ts", gap).alias("session"))
         .agg(

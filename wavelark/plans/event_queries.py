@@ -165,7 +165,7 @@ PKT = """pk AS (SELECT user_id::VARCHAR AS sensor_id, event_id, ts,
     sum(gap) OVER (PARTITION BY sensor_id ORDER BY ts, event_id)::BIGINT AS dropped FROM g""",
 )
 def gaps(spark, folder):
-    rows = P.packet_gaps(_packets(spark, folder), F.unix_date(F.to_date("ts")), ["ts", "event_id"])
+    rows = P.packet_gaps(_packets(spark, folder), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60_000_000), ["ts", "event_id"])
     return rows.select("sensor_id", "event_id", "seq", "gap", "dropped")
 
 
@@ -178,7 +178,7 @@ def gaps(spark, folder):
   SELECT sensor_id, event_id, late, gap, sum(gap) OVER (PARTITION BY sensor_id ORDER BY ts, event_id)::BIGINT AS dropped FROM g""",
 )
 def losses(spark, folder):
-    rows = P.packet_loss(_packets(spark, folder), F.unix_date(F.to_date("ts")), ["ts", "event_id"])
+    rows = P.packet_loss(_packets(spark, folder), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60_000_000), ["ts", "event_id"])
     return rows.select("sensor_id", "event_id", "late", "gap", "dropped")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from wavelark.model import AugmentConfig, FeatureConfig
@@ -122,10 +123,39 @@ def vectors(spark, folder):
     return rows.select("recording_id", "class_name", F.posexplode("features").alias("pos", "value"))
 
 
-@query("mel_spectrogram_db")
+# Slaney's mel scale: 130 edges up to half the rate, triangles of equal area over 17 bins of 512 Hz.
+MEL = f"""{FRAMES}, ed AS (SELECT e, CASE WHEN mel < 15 THEN mel * 200 / 3 ELSE 1000 * exp(ln(6.4) / 27 * (mel - 15)) END AS hz
+  FROM (SELECT e, e * (15 + ln(8192 / 1000.0) / (ln(6.4) / 27)) / 129 AS mel FROM range(130) t(e))),
+fil AS (SELECT a.e AS mel, k, greatest(0, least((k * 512 - a.hz) / (b.hz - a.hz), (c.hz - k * 512) / (c.hz - b.hz))) * 2 / (c.hz - a.hz) AS w
+  FROM ed a JOIN ed b ON b.e = a.e + 1 JOIN ed c ON c.e = a.e + 2, range(17) t(k)),
+mp AS (SELECT recording_id, f, mel, sum(w * m * m) AS p FROM mag JOIN fil USING (k) GROUP BY ALL),
+db AS (SELECT *, 10 * log10(greatest(p, 1e-10)) AS own, 10 * log10(greatest(max(p) OVER (PARTITION BY recording_id), 1e-10)) AS peak FROM mp)"""
+
+
+@query(
+    "mel_spectrogram_db",
+    f"""WITH {MEL} SELECT recording_id, f AS frame_idx, mel::INTEGER AS mel, round(greatest(own - peak, -80), 4) + 0.0 AS level_db FROM db""",
+)
 def mel_rows(spark, folder):
     rows = T.mel_db(_signals(spark, folder), N_FFT, HOP)
-    return rows.select("recording_id", "frame_idx", F.posexplode("mel_db").alias("mel", "level_db"))
+    return rows.select("recording_id", "frame_idx", F.posexplode("mel_db").alias("mel", "level_db")).withColumn(
+        "level_db", rounded("level_db", 4)
+    )
+
+
+@query(
+    "mfcc_and_mel_vector",
+    f"""WITH {MEL}, mf AS (SELECT recording_id, f, q, sum(greatest(own, peak - 80) * cos(pi() * q * (2 * mel + 1) / 256.0))
+    * sqrt(2 / 128.0) * CASE WHEN q = 0 THEN sqrt(0.5) ELSE 1 END AS x FROM db, range(40) t(q) GROUP BY recording_id, f, q),
+  v AS (SELECT recording_id, q AS place, 40 AS width, x FROM mf UNION ALL SELECT recording_id, 80 + mel, 128, p FROM mp),
+  st AS (SELECT recording_id, place, width, avg(x) AS mean, stddev_pop(x) AS std FROM v GROUP BY ALL)
+  SELECT recording_id, place::INTEGER AS pos, round(mean, 4) + 0.0 AS value FROM st
+  UNION ALL SELECT recording_id, (place + width)::INTEGER, round(std, 4) + 0.0 FROM st""",
+)
+def mfcc_mel(spark, folder):
+    """Mean and deviation of 40 cepstral and 128 mel coefficients."""
+    rows = T.feature_vectors(_signals(spark, folder), _off(mfcc=True, mel=True), N_FFT, HOP)
+    return rows.select("recording_id", F.posexplode("features").alias("pos", "value")).withColumn("value", rounded("value", 4))
 
 
 PLAN_SQL = """n AS (SELECT doc_id, lang || '_' || source AS class_name, 'rec_' || (doc_id % 500) || '.wav' AS file_name,
@@ -198,9 +228,18 @@ def reversed_rows(spark, folder):
     return own_samples(G.reverse_signal(signals)).select("recording_id", "idx", "value")
 
 
-@query("noise_injected")
+NEAR = "SELECT vec_id::VARCHAR AS recording_id, true AS near FROM embeddings"
+
+
+@query("noise_injected", NEAR)
 def noisy(spark, folder):
-    return own_samples(G.add_noise(_signals(spark, folder), 20.0)).select("recording_id", "idx", "value")
+    """The measured ratio of 64 samples is within 4 dB, five deviations, of the wanted one."""
+    clean = own_samples(_signals(spark, folder)).select("recording_id", "idx", F.col("value").alias("clean"))
+    noisy = own_samples(G.add_noise(_signals(spark, folder), 20.0)).select("recording_id", "idx", "value")
+    added = F.col("value") - F.col("clean")
+    ratio = 10 * F.log10(F.sum(F.col("clean") * F.col("clean")) / F.sum(added * added))
+    rows = clean.join(noisy, ["recording_id", "idx"]).groupBy("recording_id").agg(ratio.alias("ratio"))
+    return rows.select("recording_id", (F.abs(F.col("ratio") - 20) < 4).alias("near"))
 
 
 def _lengths(signals):
@@ -225,27 +264,93 @@ def denoised(spark, folder):
     return _lengths(X.reduce_noise(A.signals_from_events(spark, folder, 4096, 2048), n_fft=16, hop=4))
 
 
-@query("bandpassed_length", EV_LEN.format("count(*)"))
-def filtered(spark, folder):
+EV_SAME = """SELECT user_id::VARCHAR AS recording_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx,
+  round(value, 5) + 0.0 AS value FROM events"""
+
+
+def _values(signals, digits=5):
+    return own_samples(signals).select("recording_id", "idx", rounded("value", digits).alias("value"))
+
+
+@query("time_stretch_unit_rate", EV_SAME)
+def unit_stretch(spark, folder):
+    """At rate 1 the vocoder's phases are those of the input, so it gives the input back."""
+    return _values(V.time_stretch(A.signals_from_events(spark, folder, 4096, 2048), 1.0, 16, 4))
+
+
+@query("pitch_shift_zero", EV_SAME)
+def zero_shift(spark, folder):
+    return _values(V.pitch_shift(A.signals_from_events(spark, folder, 4096, 2048), 0.0, 16, 4))
+
+
+@query("noise_gate_open", EV_SAME)
+def open_gate(spark, folder):
+    """A gate that takes nothing away gives the input back."""
     signals = A.signals_from_events(spark, folder, 4096, 2048)
-    return _lengths(X.bandpass(signals, 0.05, 0.4, taps=256, block=512))
+    return _values(X.reduce_noise(signals, prop_decrease=0.0, n_fft=16, hop=4))
+
+
+def _recursion(sr: float, low: float, high: float, order: int, n: int) -> list[float]:
+    """Impulse response of a Butterworth band-pass by its difference equation."""
+    w1, w2 = (np.tan(np.pi * f / sr) for f in (low, high))
+    width, centre = w2 - w1, w1 * w2
+    b, a = np.array([width**order], dtype=complex), np.array([1.0 + 0j])
+    for k in range(order):
+        pole = np.exp(1j * np.pi * (2 * k + order + 1) / (2 * order))
+        b = np.convolve(b, [1, 0, -1])
+        a = np.convolve(a, [1 - pole * width + centre, 2 * centre - 2, 1 + pole * width + centre])
+    b, a = (b / a[0]).real, (a / a[0]).real
+    out: list[float] = []
+    for i in range(n):
+        x = b[i] if i < len(b) else 0.0
+        out.append(float(x - sum(a[j] * out[i - j] for j in range(1, min(i, len(a) - 1) + 1))))
+    return out
+
 
+TAPS = ", ".join(f"{x!r}::DOUBLE" for x in _recursion(SR, 500, 4000, 5, 64))
 
-@query("separated_sources")
+
+@query(
+    "bandpassed_signal",
+    f"""WITH {SIG}, h AS (SELECT unnest([{TAPS}]) AS w, unnest(range(64)) AS j)
+  SELECT recording_id, (i + j)::BIGINT AS idx, round(sum(x * w), 6) + 0.0 AS value FROM smp, h WHERE i + j < 64 GROUP BY ALL""",
+)
+def filtered(spark, folder):
+    return _values(X.bandpass(_signals(spark, folder), 500, 4000, block=1024), 6)
+
+
+@query(
+    "separated_sources",
+    EV_SAME.replace("round(value, 5) + 0.0 AS value", "true AS parts_make_model"),
+)
 def sources(spark, folder):
+    """The sources add up to the modelled mixture: what one component alone gives, summed."""
     signals = A.signals_from_events(spark, folder, 4096, 2048)
-    _, history, _ = X.fit_dictionary(signals, 2, iters=5, n_fft=16, hop=4)
-    return own_samples(X.separate(signals, history, 16, 4)).select("recording_id", "idx", "value")
+    w, history, losses = X.fit_dictionary(signals, 2, n_fft=16, hop=4)
+    assert all(b <= a * (1 + 1e-9) for a, b in zip(losses, losses[1:]))
+    parts = own_samples(X.separate(signals, history, 16, 4)).select(
+        F.regexp_extract("recording_id", "^(.*)_source_", 1).alias("recording_id"), "idx", "value"
+    )
+    summed = parts.groupBy("recording_id", "idx").agg(F.sum("value").alias("value"))
+    whole = own_samples(X.separate(signals, history, 16, 4, together=True)).select("recording_id", "idx", F.col("value").alias("model"))
+    return summed.join(whole, ["recording_id", "idx"]).select(
+        "recording_id", "idx", (F.abs(F.col("value") - F.col("model")) < 1e-6).alias("parts_make_model")
+    )
 
 
 @query(
     "masked_spectrum",
-    """SELECT vec_id::VARCHAR AS recording_id, 5 AS hidden FROM embeddings""",
+    """SELECT vec_id::VARCHAR AS recording_id, 5 AS hidden, true AS in_one_run, true AS rest_unchanged FROM embeddings""",
 )
 def masked(spark, folder):
+    """Five neighbouring bins are silent and the others are as before."""
     from wavelark.functions.spectral import power_spectrum
 
-    spectra = _signals(spark, folder).withColumn("power", power_spectrum("samples", 64))
+    spectra = _signals(spark, folder).withColumn("power", power_spectrum("samples", 64)).withColumn("before", F.col("power"))
     rows = G.mask_spectrum(spectra, freq_width=5)
-    zeros = F.size(F.filter("power", lambda p: p == 0.0))
-    return rows.select("recording_id", zeros.alias("hidden"))
+    silent = F.filter(F.transform("power", lambda p, i: F.when(p == 0.0, i)), lambda i: i.isNotNull())
+    same = F.forall(F.zip_with("power", "before", lambda a, b: (a == 0.0) | (a == b)), lambda x: x)
+    return rows.select(
+        "recording_id", F.size(silent).alias("hidden"),
+        (F.array_max(silent) - F.array_min(silent) == F.size(silent) - 1).alias("in_one_run"), same.alias("rest_unchanged"),
+    )

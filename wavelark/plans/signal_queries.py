@@ -265,7 +265,7 @@ def band_profile(spark, folder):
   SELECT recording_id, name, round(e / sum(e) OVER (PARTITION BY recording_id), 6) AS energy FROM raw""",
 )
 def band_profile_all_frames(spark, folder):
-    rows = B.band_rows(B.band_energy(_signals(spark, folder), n_fft=16, mode="all_frames"))
+    rows = B.band_rows(B.band_energy(_signals(spark, folder), n_fft=16))
     return rows.select("recording_id", "name", F.round("energy", 6).alias("energy"))
 
 

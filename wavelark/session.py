@@ -62,14 +62,3 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/wavelark-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Use all cores for a table that arrives in fewer partitions than there are.
-
-    Such a table is small by definition; a large one has more splits than cores
-    and is left as it is.  Only for plain scans: counting their partitions runs
-    nothing.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

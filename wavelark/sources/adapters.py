@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavelark.operators.ordered import row_index
-from wavelark.session import materialise, spread
+from wavelark.session import materialise
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -16,7 +16,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def signals_from_embeddings(spark: SparkSession, folder: str, sr: int = 16384) -> DataFrame:
     """Every vector is one short single-channel recording."""
     samples = F.transform("embedding", lambda x: x.cast("double"))
-    return spread(table(spark, folder, "embeddings")).select(
+    return table(spark, folder, "embeddings").select(
         F.col("vec_id").cast("string").alias("recording_id"),
         F.concat(F.lit("class_"), F.col("label").cast("string")).alias("class_name"),
         F.lit(0).alias("channel"),
@@ -44,8 +44,8 @@ def samples_from_events(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events").select(
         F.col("user_id").cast("string").alias("recording_id"), "ts", "event_id", "value", "event_type"
     )
-    day = F.unix_date(F.to_date("ts"))
-    indexed = row_index(events, ["recording_id"], day, ["ts", "event_id"])
+    minute = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60_000_000)
+    indexed = row_index(events, ["recording_id"], minute, ["ts", "event_id"])
     return indexed.select(
         "recording_id", F.lit(0).alias("channel"), F.lit(1).alias("sr"), "idx", "value", "ts", "event_type"
     )

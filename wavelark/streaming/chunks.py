@@ -18,7 +18,7 @@ from wavelark.functions.sql import decode_float32
 from wavelark.model import BANDS, FeatureConfig
 from wavelark.operators import bands as B
 from wavelark.operators.blocks import PER_BLOCK
-from wavelark.operators.features import MARGIN, N_MELS, _spectra, describe_block, layout
+from wavelark.operators.features import MARGIN, N_MELS, _spectra, describe_block, layout, vector_length
 from wavelark.operators.quality import length_guard
 
 MIN_SAMPLES = 1024
@@ -56,7 +56,8 @@ def _statistics(values: np.ndarray, config: FeatureConfig) -> np.ndarray:
             elif stat == "median":
                 out.append(np.median(part, axis=0))
             elif stat in ("skew", "kurtosis"):
-                z = (part - mean) / np.where(std > 0, std, 1)
+                # A constant coefficient has neither, as in the batch statistics.
+                z = (part - mean) / np.where(std > 0, std, np.nan)
                 out.append((z**3).mean(axis=0) if stat == "skew" else (z**4).mean(axis=0) - 3)
     return np.concatenate(out)
 
@@ -106,23 +107,36 @@ def featurise_stream(chunks: DataFrame, config: FeatureConfig = FeatureConfig(),
 
 
 def hybrid_stream(chunks: DataFrame, sr: int = 44100, bands=BANDS, n_fft: int = 4096) -> DataFrame:
-    """First guess and dominant frequency of every chunk that is long enough."""
-    signals = chunk_signals(chunks, sr).filter(F.col("n_total") >= MIN_SAMPLES)
-    signals = signals.withColumn("freq_hz", dominant_frequency("samples", "sr", n_fft))
-    named = signals.withColumn("class_name", F.concat_ws("|", "sensor_id", F.col("freq_hz").cast("string")))
-    guess = B.hybrid_classify(B.band_energy(named, bands, n_fft), bands=bands)
-    parts = F.split("class_name", r"\|")
+    """First guess and dominant frequency of every chunk; null, with the reason, where one is too short."""
+    signals = chunk_signals(chunks, sr)
+    short = length_guard(F.col("n_total"), MIN_SAMPLES) == "too_short"
+    signals = signals.withColumn("freq_hz", dominant_frequency("samples", "sr", n_fft)).withColumn("short", short)
+    about = ("sensor_id", "freq_hz", "short")
+    guess = B.hybrid_classify(B.chunk_energy(signals, bands, n_fft, about), bands=bands, keep=about)
+    known = lambda c: F.when(~F.col("short"), c)
     return guess.select(
-        parts[0].alias("sensor_id"), "recording_id", parts[1].cast("double").alias("freq_hz"),
-        "first_guess", F.col("candidates")[0]["confidence"].alias("confidence"), "method",
+        "sensor_id", "recording_id", known(F.col("freq_hz")).alias("freq_hz"),
+        known(F.col("first_guess")).alias("first_guess"),
+        known(F.col("candidates")[0]["confidence"]).alias("confidence"),
+        F.when(F.col("short"), TOO_SHORT).otherwise(F.col("method")).alias("method"),
     )
 
 
 def score_stream(chunks: DataFrame, model=None, config: FeatureConfig = FeatureConfig(), sr: int = 44100) -> DataFrame:
-    """Label and confidence per chunk, or the no-model message."""
+    """Label and confidence per chunk, or the no-model message.
+
+    A chunk that is too short has a row without label.
+    """
     if model is None:
         return featurise_stream(chunks, config, sr)
-    signals = chunk_signals(chunks, sr).filter(F.col("n_total") >= MIN_SAMPLES)
-    rows = chunk_features(signals, config).filter(F.col("features").isNotNull())
-    scored = model.classify(rows.select("sensor_id", "ts", "class_name", "features"))
-    return scored.select("sensor_id", "ts", "prediction", "confidence")
+    signals = chunk_signals(chunks, sr)
+    short = length_guard(F.col("n_total"), MIN_SAMPLES) == "too_short"
+    rows = chunk_features(signals.withColumn("samples", F.when(~short, F.col("samples"))), config)
+    zeros = F.array_repeat(F.lit(0.0), vector_length(config))
+    known = F.col("features").isNotNull()
+    ready = rows.select("sensor_id", "ts", "class_name", known.alias("known"), F.coalesce("features", zeros).alias("features"))
+    scored = model.classify(ready)
+    return scored.select(
+        "sensor_id", "ts", F.when(F.col("known"), F.col("prediction")).alias("prediction"),
+        F.when(F.col("known"), F.col("confidence")).alias("confidence"),
+    )

@@ -90,10 +90,12 @@ def velocity_stream(freqs: DataFrame, speed: float = 343.0, tolerance_hz: float
 def rebuffer(packets: DataFrame, sr: int, seconds: float = 2.0, frames: int = 1024, channels: int = 16, flush: str | None = None) -> DataFrame:
     """Packets of any size to windows of exactly ``frames`` frames.
 
-    ``packets``: sensor_id, ts, seq, frames (array of frames).  At most
-    ``sr * seconds`` of the newest frames are kept.  With ``flush`` (seconds of
-    silence as a duration, e.g. ``"5 seconds"``) what is left is sent
-    zero-padded; a sensor with nothing left sends zeros.
+    ``packets``: sensor_id, ts, seq, frames (array of frames).  Every full
+    window is sent, so the windows do not depend on how the stream is cut into
+    micro-batches.  Of what remains, less than a window, at most ``sr *
+    seconds`` of the newest frames are kept.  With ``flush`` (seconds of silence
+    as a duration, e.g. ``"5 seconds"``) what is left is sent zero-padded; a
+    sensor with nothing left sends zeros.  Window numbers go on after a flush.
     """
     capacity = int(sr * seconds)
     wait = None if flush is None else int(pd.Timedelta(flush).total_seconds() * 1000)
@@ -110,15 +112,15 @@ def rebuffer(packets: DataFrame, sr: int, seconds: float = 2.0, frames: int = 10
             padded = frames - len(buffer)
             block = np.vstack([buffer, np.zeros((padded, channels))])
             out.append(window_rows(key, number, block, padded))
-            state.remove()
+            state.update(([], number + 1))
         else:
             rows = _ordered(batches, ["ts", "seq"])
             parts = [np.stack([np.asarray(f, dtype=float) for f in packet]) for packet in rows["frames"] if len(packet)]
-            buffer = np.vstack([buffer, *parts])[-capacity:]
-            while len(buffer) >= frames:
-                out.append(window_rows(key, number, buffer[:frames], 0))
-                buffer, number = buffer[frames:], number + 1
-            state.update((buffer.ravel().tolist(), number))
+            buffer = np.vstack([buffer, *parts])
+            whole = len(buffer) // frames
+            out += [window_rows(key, number + i, buffer[i * frames : (i + 1) * frames], 0) for i in range(whole)]
+            rest = buffer[whole * frames :]
+            state.update((rest[max(0, len(rest) - capacity) :].ravel().tolist(), number + whole))
             if wait is not None:
                 state.setTimeoutDuration(wait)
         yield pd.DataFrame(out, columns=names)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavelark.operators.runs import session_summary
+from wavelark.operators.runs import session_windows
 
 
 def windowed_stats(
@@ -32,4 +32,4 @@ def windowed_stats(
 
 def session_rollup(events: DataFrame, gap: str = "30 minutes", watermark: str = "10 minutes") -> DataFrame:
     """Live form of ``session_summary``."""
-    return session_summary(events.withWatermark("ts", watermark), gap)
+    return session_windows(events.withWatermark("ts", watermark), gap)
