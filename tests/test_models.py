@@ -229,3 +229,42 @@ def test_feature_table_and_model_registry(spark, tmp_path):
     save_model(spark, model.pipeline, folder, "m1", {"accuracy": 0.5})
     save_model(spark, model.pipeline, folder, "m0", {"accuracy": 0.6})
     assert latest_model(spark.read.parquet(folder + "/models")).first().model_id == "m0"
+
+
+def test_neighbours_far_from_the_origin(spark):
+    """Near copies around 1000 keep their order, and a row is at distance 0 from itself."""
+    rng = np.random.default_rng(0)
+    base = 1000 + rng.normal(size=(30, 64))
+    rows = [(f"r{i:02d}_{k}", "c", (v + k * 1e-6).tolist()) for i, v in enumerate(base) for k in range(3)]
+    df = spark.createDataFrame(rows, SCHEMA.replace("string, class", "string, class"))
+    got = knn.neighbours(df, df.select("recording_id", "features"), 3).collect()
+    for r in got:
+        home, k = r.recording_id.split("_")
+        assert r.neighbour.split("_")[0] == home
+        assert r.distance == pytest.approx(8e-6 * abs(int(k) - int(r.neighbour.split("_")[1])), abs=1e-9)
+        if r["rank"] == 1:
+            assert r.neighbour == r.recording_id and r.distance == 0
+
+
+@pytest.mark.parametrize("method", ["isolation_forest", "one_class_svm"])
+def test_saved_anomaly_model_scores_new_rows(spark, tmp_path, method):
+    rng = np.random.default_rng(1)
+    make = lambda n, at, name: [(f"{name}{i}", (at + rng.normal(size=4)).tolist()) for i in range(n)]
+    schema = "recording_id string, features array<double>"
+    model = N.fit_anomalies(spark.createDataFrame(make(300, 5.0, "a"), schema), method, 0.05)
+    model.save(str(tmp_path / "m"))
+    loaded = N.AnomalyModel.load(spark, str(tmp_path / "m"))
+    new = spark.createDataFrame(make(20, 5.0, "n") + make(20, 25.0, "x"), schema)
+    a, b = ({r.recording_id: (r.score, r.label) for r in m.score(new).collect()} for m in (model, loaded))
+    assert a == b
+    assert all(b[f"x{i}"][1] == -1 for i in range(20)) and sum(b[f"n{i}"][1] == 1 for i in range(20)) >= 15
+
+
+def test_ensemble_of_fitted_models(spark):
+    rng = np.random.default_rng(2)
+    rows = [(f"r{i}", f"c{i % 3}", (3.0 * (i % 3) + rng.normal(size=5)).tolist()) for i in range(150)]
+    model, predicted = C.train_ensemble(spark.createDataFrame(rows, SCHEMA), max_depth=5)
+    hits = [r.prediction == r.class_name for r in predicted.collect()]
+    assert len(hits) >= 27 and sum(hits) / len(hits) > 0.9
+    sums = model.votes(predicted).groupBy("recording_id").agg(F.sum("p").alias("p")).collect()
+    assert all(r.p == pytest.approx(1) for r in sums)

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavelark.ml.scale import Scaler, fit_scaler
 from wavelark.ml.tiles import matrix
 from wavelark.operators.ordered import exact_quantile, top_k
+from wavelark.session import materialise
 
 NODES = "tree int, node int, feature int, cut double, size int"
 
@@ -110,15 +114,19 @@ def label_scores(scored: DataFrame, contamination: float = 0.1, threshold: float
 
 
 def fit_one_class_svm(
-    df: DataFrame, nu: float = 0.1, gamma: float | None = None, width: int = 256, iters: int = 20, seed: int = 42
+    df: DataFrame, nu: float = 0.1, gamma: float | None = None, width: int = 256, iters: int = 200, seed: int = 42,
+    tolerance: float = 1e-2,
 ) -> dict:
     """Approximate RBF one-class SVM on random Fourier features.
 
     The solution is a weighted mean of rows, found by conditional gradient: each
     step moves towards the mean of the ``nu`` share with the lowest scores.
     Executors add up ``width`` numbers per step; nothing larger reaches the
-    driver.  ``gamma=None`` means 1 / (features × variance).
+    driver.  ``gamma=None`` means 1 / (features × variance).  The rows are written
+    once; the fit ends when a step moves the weights by less than ``tolerance``
+    of their length, or after ``iters`` steps.
     """
+    df = materialise(df.select("features"))
     if gamma is None:
         size = F.size("features")
         total = F.aggregate("features", F.lit(0.0), lambda a, x: a + x)
@@ -152,12 +160,15 @@ def fit_one_class_svm(
         sums = {r["pos"]: r["v"] for r in rows.groupBy("pos").agg(F.sum("value").alias("v")).collect()}
         towards = np.array([sums[i] for i in range(width)]) / max(sums[width], 1.0)
         rate = 2.0 / (step + 2)
-        model["weights"] = (1 - rate) * model["weights"] + rate * towards
+        before = model["weights"]
+        model["weights"] = (1 - rate) * before + rate * towards
         margins = df.select(_margin(model)("features").alias("m"))
-        if step < iters - 1:  # on the way an approximate cut is enough
+        moved = np.linalg.norm(model["weights"] - before) / max(np.linalg.norm(model["weights"]), 1e-12)
+        if step < iters - 1 and moved > tolerance:  # on the way an approximate cut is enough
             model["rho"] = float(margins.agg(F.percentile_approx("m", nu, 10000).alias("r")).first()["r"])
         else:
             model["rho"] = float(exact_quantile(margins, [], "m", nu, "r").first()["r"])
+            break
     return model
 
 
@@ -185,13 +196,52 @@ def detect_anomalies(
     df: DataFrame, method: str = "isolation_forest", contamination: float = 0.1, threshold: float | None = None
 ) -> DataFrame:
     """Standardise, fit and score in one go; an unknown method is an error."""
-    from wavelark.ml.scale import standardise
+    return fit_anomalies(df, method, contamination, threshold).score(df)
 
-    data = standardise(df)
+
+@dataclass
+class AnomalyModel:
+    """A fitted detector with its scaler; scores rows it has not seen."""
+
+    method: str
+    scaler: Scaler
+    fitted: dict
+    cut: float
+
+    def score(self, df: DataFrame) -> DataFrame:
+        """Add ``score`` (0 at the cut, higher is normal) and ``label`` (-1 anomaly); features are scaled."""
+        data = self.scaler.transform(df)
+        if self.method == "isolation_forest":
+            return label_scores(isolation_scores(data, pd.DataFrame(self.fitted)), threshold=self.cut)
+        return one_class_scores(data, {k: np.asarray(v) if k != "rho" else v for k, v in self.fitted.items()})
+
+    def save(self, path: str) -> None:
+        text = json.dumps({"method": self.method, "scaler": asdict(self.scaler), "fitted": self.fitted, "cut": self.cut})
+        spark = SparkSession.getActiveSession()
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "AnomalyModel":
+        about = json.loads(spark.read.text(path).first()["value"])
+        return cls(about["method"], Scaler(**about["scaler"]), about["fitted"], about["cut"])
+
+
+def fit_anomalies(
+    df: DataFrame, method: str = "isolation_forest", contamination: float = 0.1, threshold: float | None = None
+) -> AnomalyModel:
+    """Scaler and detector fitted on ``df``; the cut is ``threshold`` or the ``contamination`` quantile."""
+    scaler = fit_scaler(df)
+    data = scaler.transform(df)
     if method == "isolation_forest":
-        return label_scores(isolation_scores(data, fit_isolation_forest(data)), contamination, threshold)
+        nodes = fit_isolation_forest(data)
+        cut = threshold
+        if cut is None:
+            cut = exact_quantile(isolation_scores(data, nodes), [], "raw_score", contamination, "cut").first()["cut"]
+        return AnomalyModel(method, scaler, nodes.to_dict("list"), float(cut))
     if method == "one_class_svm":
-        return one_class_scores(data, fit_one_class_svm(data, nu=contamination))
+        machine = fit_one_class_svm(data, nu=contamination)
+        fitted = {k: v.tolist() if isinstance(v, np.ndarray) else float(v) for k, v in machine.items()}
+        return AnomalyModel(method, scaler, fitted, 0.0)
     raise ValueError(f"unknown method {method!r}")
 
 

@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavelark.ml import metrics as M
-from wavelark.ml.knn import knn_classify
-from wavelark.ml.scale import fit_scaler
+from wavelark.ml.knn import knn_classify, knn_votes
+from wavelark.ml.scale import Scaler, fit_scaler
 from wavelark.ml.tiles import matrix
+from wavelark.ml.vote import best_class, soft_vote
 from wavelark.operators.dataset import train_test
+from wavelark.session import materialise
 
 
 @dataclass
@@ -83,12 +85,55 @@ def _vectors(df: DataFrame, kernel: dict | None = None) -> DataFrame:
     return df.withColumn("vector", array_to_vector(expand("features")))
 
 
+@dataclass
+class Ensemble:
+    """Soft vote of fitted classifiers and a k-nearest-neighbour vote."""
+
+    members: list[Classifier]
+    neighbours: DataFrame  # training rows, scaled
+    scaler: Scaler | None
+    k: int = 5
+
+    def votes(self, df: DataFrame) -> DataFrame:
+        """Mean probability per recording and class: (recording_id, class_name, p)."""
+        rows = df.select("recording_id", "features")
+        models = [
+            m.probabilities(rows).select("recording_id", F.explode("probabilities").alias("class_name", "p"))
+            for m in self.members
+        ]
+        near = rows if self.scaler is None else self.scaler.transform(rows)
+        return soft_vote([*models, knn_votes(self.neighbours, near, self.k)])
+
+    def classify(self, df: DataFrame) -> DataFrame:
+        """Add ``prediction`` and ``confidence``."""
+        return df.join(best_class(self.votes(df)), "recording_id")
+
+
+def train_ensemble(
+    df: DataFrame, test_split: float = 0.2, normalize: bool = True, seed: int = 42, k: int = 5, max_depth: int = 30,
+) -> tuple[Ensemble, DataFrame]:
+    """Fits an RBF machine and a forest on one split and adds the neighbour vote.
+
+    Returns the ensemble and the predicted test rows.
+    """
+    members = [train(df, kind, test_split, normalize, seed, max_depth)[0] for kind in ("svm", "random_forest")]
+    split = train_test(df, test=test_split, seed=seed)
+    fit_on, held_out = (split.filter(F.col("split") == part).drop("split") for part in ("train", "test"))
+    scaler = fit_scaler(fit_on) if normalize else None
+    near = fit_on if scaler is None else scaler.transform(fit_on)
+    model = Ensemble(members, materialise(near.select("recording_id", "class_name", "features")), scaler, k)
+    return model, model.classify(held_out)
+
+
 def train(
-    df: DataFrame, model_type: str = "random_forest", test_split: float = 0.2, normalize: bool = True, seed: int = 42
+    df: DataFrame, model_type: str = "random_forest", test_split: float = 0.2, normalize: bool = True, seed: int = 42,
+    max_depth: int = 30,
 ) -> tuple[Classifier, DataFrame]:
     """Fit on a stratified part; returns the model and the predicted test rows.
 
-    ``model_type``: random_forest, svm (RBF, approximated), linear_svm.
+    ``model_type``: random_forest, svm (RBF, approximated), linear_svm; for the
+    ensemble see ``train_ensemble``.
+    Trees grow to ``max_depth``, by default the deepest there is.
     k-nearest neighbours needs no fitting, see ``evaluate_knn``.
     """
     split = train_test(df, test=test_split, seed=seed)
@@ -101,7 +146,7 @@ def train(
         if not normalize:
             kernel |= {"mean": [0.0] * len(scaler.mean), "std": [1.0] * len(scaler.std)}
     data = _vectors(fit_on, kernel)
-    stages = [StringIndexer(inputCol="class_name", outputCol="label", stringOrderType="alphabetAsc", handleInvalid="skip")]
+    stages = [StringIndexer(inputCol="class_name", outputCol="label", stringOrderType="alphabetAsc", handleInvalid="error")]
     column = "vector"
     n = fit_on.count()
     if normalize and kernel is None:
@@ -114,10 +159,10 @@ def train(
         ]
         column = "ready"
     if model_type == "random_forest":
-        stages.append(RandomForestClassifier(featuresCol=column, numTrees=100, seed=seed))
+        stages.append(RandomForestClassifier(featuresCol=column, numTrees=100, maxDepth=max_depth, seed=seed))
     elif model_type in ("svm", "linear_svm"):
         # A penalty of 1/n is the usual C = 1.
-        machine = LinearSVC(featuresCol=column, maxIter=10, tol=1e-3, regParam=1.0 / max(n, 1))
+        machine = LinearSVC(featuresCol=column, maxIter=200, tol=1e-4, regParam=1.0 / max(n, 1))
         margins = OneVsRest(classifier=machine, featuresCol=column, parallelism=8)
         # Probabilities come from a logistic fit on the margins.
         calibrate = LogisticRegression(

@@ -16,7 +16,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavelark.ml.tiles import compare, distances, matrix
+from wavelark.ml.tiles import compare, matrix, pair_distances, squares_with_error
 from wavelark.operators.ordered import running
 from wavelark.session import materialise
 
@@ -49,7 +49,14 @@ def _visiting(points: DataFrame, axes: list[int], eps: float) -> DataFrame:
 
 
 def _close(a: pd.DataFrame, b: pd.DataFrame, eps: float) -> np.ndarray:
-    return distances(matrix(a["features"]), matrix(b["features"])) <= eps + 1e-9
+    """Whether rows are within ``eps``; pairs the fast formula can't decide are measured by differences."""
+    x, y = matrix(a["features"]), matrix(b["features"])
+    square, error = squares_with_error(x, y)
+    error = error[:, None] + 4 * np.finfo(float).eps * eps**2
+    near = square < eps**2 - error
+    rows, columns = np.nonzero(~near & (square <= eps**2 + error))
+    near[rows, columns] = pair_distances(x, y, rows, columns) <= eps
+    return near
 
 
 def _components(close: np.ndarray) -> np.ndarray:
@@ -150,8 +157,9 @@ def dbscan(df: DataFrame, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
     edges = compare(_home(cores, axes, eps), _visiting(cores, axes, eps), span, "a string, b string")
     roots = connected_components(edges, cores.select(F.col("recording_id").alias("id")))
     firsts = roots.select("root").distinct()
-    spread = F.substring(F.hex(F.encode("root", "UTF-8")), 1, 8)  # keeps the order of ids
-    numbered = running(firsts, [], spread, ["root"], {"cluster": F.lit(1).cast("long")})
+    # Range partitions of the roots are buckets whatever the ids look like; written, as their borders are sampled.
+    ranged = materialise(firsts.repartitionByRange("root").withColumn("_part", F.spark_partition_id()))
+    numbered = running(ranged, [], F.col("_part"), ["root"], {"cluster": F.lit(1).cast("long")}).drop("_part")
     labelled = roots.join(numbered, "root").select(F.col("id").alias("recording_id"), "cluster")
     labelled = materialise(labelled)
     core_points = cores.join(labelled, "recording_id")

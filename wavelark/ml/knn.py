@@ -14,10 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavelark.ml.tiles import compare, distances, matrix
+from wavelark.ml.tiles import compare, exact_distances, matrix, pair_distances, squares_with_error
 from wavelark.operators.ordered import top_k
+from wavelark.session import materialise
 
-PIVOTS = 64
+# Pivots grow with the square root of the training rows between these.
+PIVOTS, MOST_PIVOTS = 64, 1024
 
 
 def choose_pivots(train: DataFrame, n: int = PIVOTS, seed: int = 42) -> np.ndarray:
@@ -31,7 +33,7 @@ def with_pivot(df: DataFrame, pivots: np.ndarray, all_distances: bool = False) -
 
     @F.pandas_udf("pivot int, to_pivot double, to_all array<double>")
     def nearest(features: pd.Series) -> pd.DataFrame:
-        d = distances(matrix(features), pivots)
+        d = exact_distances(matrix(features), pivots)
         best = d.argmin(axis=1)
         return pd.DataFrame(
             {"pivot": best, "to_pivot": d[np.arange(len(d)), best], "to_all": list(d) if all_distances else [None] * len(d)}
@@ -46,17 +48,21 @@ def neighbours(train: DataFrame, test: DataFrame, k: int = 5) -> DataFrame:
     Both tables: recording_id, features; ``train`` also class_name.  Ties are
     broken by the training id.
     """
-    pivots = choose_pivots(train)
-    near_train = with_pivot(train.select("recording_id", "class_name", "features"), pivots, True)
-    near_test = with_pivot(test.select("recording_id", "features"), pivots)
+    # Read several times and dear to make: written once.
+    train = materialise(train.select("recording_id", "class_name", "features"))
+    pivots = choose_pivots(train, int(min(MOST_PIVOTS, max(PIVOTS, train.count() ** 0.5))))
+    near_train = materialise(with_pivot(train, pivots, True))
+    near_test = materialise(with_pivot(test.select("recording_id", "features"), pivots))
 
     # Bounds: at most k distances per pivot and one radius per test cell.
     closest = top_k(near_train, ["pivot"], ["to_pivot", "recording_id"], k, "recording_id")
     seen = [(r["pivot"], r["to_pivot"]) for r in closest.select("pivot", "to_pivot").collect()]
     radii = {r["pivot"]: r["r"] for r in near_test.groupBy("pivot").agg(F.max("to_pivot").alias("r")).collect()}
-    between = distances(pivots, pivots)
+    between = exact_distances(pivots, pivots)
+    at, off = np.array([j for j, _ in seen], dtype=int), np.array([d for _, d in seen])
+    nearest = min(k, len(seen)) - 1
     reach = [
-        radii[i] + sorted(radii[i] + between[i, j] + d for j, d in seen)[: k][-1] if i in radii else -1.0
+        radii[i] + np.partition(radii[i] + between[i, at] + off, nearest)[nearest] if i in radii and len(seen) else -1.0
         for i in range(len(pivots))
     ]
     # A little slack keeps rounding from excluding a neighbour on the border.
@@ -73,12 +79,18 @@ def neighbours(train: DataFrame, test: DataFrame, k: int = 5) -> DataFrame:
             return pd.DataFrame(columns=names)
         b = b.sort_values("recording_id", ignore_index=True)
         x, y = matrix(a["features"]), matrix(b["features"])
-        out = []
-        for row, d in zip(a["recording_id"], distances(x, y)):
-            best = np.argsort(d, kind="stable")[:k]
-            # Exact distances for the few that are kept.
-            out += [(row, b["recording_id"][i], b["class_name"][i], float(d[i])) for i in best]
-        return pd.DataFrame(out, columns=names)
+        square, error = squares_with_error(x, y)
+        last = min(k, len(b)) - 1
+        limit = np.partition(square, last, axis=1)[:, last] + 2 * error
+        # All that could be among the k; their distances by differences decide, ties by id.
+        rows, columns = np.nonzero(square <= limit[:, None])
+        d = pair_distances(x, y, rows, columns)
+        order = np.lexsort((columns, d, rows))
+        rows, columns, d = rows[order], columns[order], d[order]
+        kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+        rows, columns, d = rows[kept], columns[kept], d[kept]
+        ids, other = a["recording_id"].to_numpy(), b["recording_id"].to_numpy()
+        return pd.DataFrame(dict(zip(names, (ids[rows], other[columns], b["class_name"].to_numpy()[columns], d))))
 
     found = compare(
         left, right, closest_in_tile, "recording_id string, neighbour string, class_name string, distance double"

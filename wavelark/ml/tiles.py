@@ -56,5 +56,32 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0.0))
 
 
+def exact_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances by differences, a row of ``b`` at a time: no cancellation."""
+    return np.stack([np.sqrt(((a - row) ** 2).sum(axis=1)) for row in b], axis=1)
+
+
+def squares_with_error(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances by the fast formula, and for each row of ``a`` how far off they may be.
+
+    Both matrices are moved to the middle of ``b`` first, which keeps the terms
+    that cancel small.
+    """
+    middle = b.mean(axis=0)
+    a, b = a - middle, b - middle
+    one, other = (a**2).sum(axis=1), (b**2).sum(axis=1)
+    error = 8 * np.finfo(float).eps * (a.shape[1] + 4) * (one + other.max(initial=0.0))
+    return one[:, None] + other[None, :] - 2 * (a @ b.T), error
+
+
+def pair_distances(a: np.ndarray, b: np.ndarray, rows: np.ndarray, columns: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+    """Distances of the given pairs by differences, some pairs at a time."""
+    out = np.empty(len(rows))
+    for at in range(0, len(rows), step):
+        part = slice(at, at + step)
+        out[part] = np.sqrt(((a[rows[part]] - b[columns[part]]) ** 2).sum(axis=1))
+    return out
+
+
 def matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_list()).astype(np.float64)

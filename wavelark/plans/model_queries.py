@@ -136,17 +136,17 @@ def knn_labels(spark, folder):
 
 
 PROB = VEC + """,
-m AS (SELECT id, i // 10 AS model, 'class_' || (i % 10) AS class_name, abs(x) AS w FROM flat WHERE i < 30),
+m AS (SELECT id, i // 16 AS model, 'class_' || (i % 16) AS class_name, abs(x) AS w FROM flat),
 p AS (SELECT id, model, class_name, w / sum(w) OVER (PARTITION BY id, model) AS p FROM m),
-mean AS (SELECT id, class_name, sum(p) / 3 AS p FROM p GROUP BY ALL)"""
+mean AS (SELECT id, class_name, sum(p) / 4 AS p FROM p GROUP BY ALL)"""
 
 
 def _probabilities(spark, folder):
-    """Three models: shares of the first thirty absolute values, ten at a time."""
+    """Four models: shares of the absolute values, sixteen at a time."""
     rows = _features(spark, folder)
     models = []
-    for m in range(3):
-        part = F.transform(F.slice("features", 10 * m + 1, 10), lambda x: F.abs(x))
+    for m in range(4):
+        part = F.transform(F.slice("features", 16 * m + 1, 16), lambda x: F.abs(x))
         total = F.aggregate(part, F.lit(0.0), lambda a, x: a + x)
         shares = rows.select("recording_id", F.posexplode(F.transform(part, lambda x: x / total)).alias("c", "p"))
         models.append(
@@ -172,10 +172,10 @@ def ensemble(spark, folder):
 
 @query(
     "threshold_labels",
-    f"WITH {PROB} SELECT id AS recording_id, class_name, round(p, 6) AS p FROM mean WHERE p >= 0.15",
+    f"WITH {PROB} SELECT id AS recording_id, class_name, round(p, 6) AS p FROM mean WHERE p >= 0.11",
 )
 def thresholded(spark, folder):
-    rows = vote.threshold_labels(vote.soft_vote(_probabilities(spark, folder)), 0.15)
+    rows = vote.threshold_labels(vote.soft_vote(_probabilities(spark, folder)), 0.11)
     return rows.withColumn("p", F.round("p", 6))
 
 
@@ -287,6 +287,65 @@ def linear_svm(spark, folder):
     return _classified(spark, folder, "linear_svm")
 
 
+@query(
+    "ensemble_probability_sums",
+    f"WITH {KNN} SELECT id AS recording_id, 1.0::DOUBLE AS total, true AS best_is_largest FROM part WHERE test",
+)
+def ensemble_sums(spark, folder):
+    """Each held-out row's probabilities sum to 1 and its confidence is the largest of them."""
+    model, predicted = C.train_ensemble(_features(spark, folder))
+    sums = model.votes(predicted).groupBy("recording_id").agg(F.sum("p").alias("total"), F.max("p").alias("top"))
+    return predicted.join(sums, "recording_id").select(
+        "recording_id", F.round("total", 9).alias("total"), (F.abs(F.col("top") - F.col("confidence")) < 1e-9).alias("best_is_largest")
+    )
+
+
+@query(
+    "kmeans_nearest_centre",
+    f"WITH {VEC} SELECT id AS recording_id, true AS nearest FROM vec",
+)
+def kmeans_nearest(spark, folder):
+    """Each row's cluster is the one with the nearest mean of its rows."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    rows = K.kmeans(scale.standardise(_features(spark, folder)), 5).select("recording_id", "cluster", "features")
+    mean = vector_to_array(Summarizer.mean(array_to_vector("features")))
+    means = rows.groupBy("cluster").agg(mean.alias("mean")).agg(F.collect_list(F.struct("cluster", "mean")).alias("means"))
+    square = lambda m: F.aggregate(
+        F.zip_with("features", m["mean"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x
+    )
+    off = F.transform("means", lambda m: F.struct(square(m).alias("d"), m["cluster"].alias("cluster")))
+    own = F.filter(off, lambda m: m["cluster"] == F.col("cluster"))[0]["d"]
+    # A centre moves by less than the tolerance of the fit in its last step.
+    return rows.join(means).select("recording_id", (own <= F.array_min(off)["d"] + 1e-2).alias("nearest"))
+
+
+@query(
+    "pca_variances",
+    "SELECT i::INTEGER AS a, j::INTEGER AS b, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0 END AS correlation FROM range(5) t(i), range(5) u(j)",
+)
+def pca_variances(spark, folder):
+    """Projected components are uncorrelated."""
+    rows, _, _ = projection.pca(scale.standardise(_features(spark, folder)), 5)
+    one = rows.select("recording_id", F.posexplode("projected").alias("a", "x"))
+    other = rows.select("recording_id", F.posexplode("projected").alias("b", "y"))
+    return one.join(other, "recording_id").groupBy("a", "b").agg(
+        (F.round(F.corr("x", "y"), 6) + 0.0).alias("correlation")
+    )
+
+
+@query(
+    "isolation_labelled_share",
+    "SELECT true AS close, count(*) AS n FROM embeddings",
+)
+def isolation_share(spark, folder):
+    """The labelled share is the contamination, up to rows that tie at the cut."""
+    rows = N.detect_anomalies(_features(spark, folder))
+    share = F.avg((F.col("label") == -1).cast("double"))
+    return rows.agg((F.abs(share - 0.1) <= 0.01).alias("close"), F.count(F.lit(1)).alias("n"))
+
+
 @query("class_probabilities")
 def probabilities(spark, folder):
     _, predicted = C.train(_features(spark, folder), "random_forest")
