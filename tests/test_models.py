@@ -104,7 +104,7 @@ def test_components_of_a_chain(spark):
 def test_kmeans_fixed_point_and_ward(spark):
     x, labels = blobs()
     df = table(spark, x, labels)
-    for clustered in (K.kmeans(df, 3, restarts=3), K.hierarchical(df, 3, micro=20), K.hierarchical(df, 3, method="bisecting")):
+    for clustered in (K.kmeans(df, 3, restarts=3), K.micro_cluster_ward(df, 3, micro=20), K.bisecting(df, 3)):
         rows = clustered.collect()
         assert len({(r.class_name, r.cluster) for r in rows}) == 3
     rows = K.kmeans(df, 3, restarts=2).collect()

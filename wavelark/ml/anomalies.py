@@ -115,7 +115,7 @@ def label_scores(scored: DataFrame, contamination: float = 0.1, threshold: float
 
 def fit_one_class_svm(
     df: DataFrame, nu: float = 0.1, gamma: float | None = None, width: int = 256, iters: int = 200, seed: int = 42,
-    tolerance: float = 1e-2,
+    tolerance: float = 5e-2,
 ) -> dict:
     """Approximate RBF one-class SVM on random Fourier features.
 

@@ -64,23 +64,28 @@ def ward(centres: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
     return np.searchsorted(alive, group)
 
 
-def hierarchical(df: DataFrame, k: int = 5, micro: int = 128, seed: int = 42, method: str = "ward") -> DataFrame:
-    """Hierarchical clustering into ``k`` groups.
+def micro_cluster_ward(df: DataFrame, k: int, micro: int, seed: int = 42) -> DataFrame:
+    """Ward's rule on ``micro`` k-means cells: exact for as many rows or fewer.
 
-    ``"ward"`` first forms at most ``micro`` small clusters on the executors and
-    merges those by Ward's rule; ``"bisecting"`` splits top-down.
+    ``lost`` is the share of the total variance that lies within the cells and
+    so took no part in the merging.
     """
-    if method == "bisecting":
-        data = _vectors(df)
-        model = BisectingKMeans(k=k, seed=seed, featuresCol="_vector", predictionCol="cluster").fit(data)
-        return model.transform(data).drop("_vector")
-    if method != "ward":
-        raise ValueError(f"unknown method {method!r}")
     data = _vectors(df)
     model = KMeans(k=micro, seed=seed, maxIter=50, featuresCol="_vector").fit(data)
     centres = np.array(model.clusterCenters())
     sizes = np.maximum(np.array(model.summary.clusterSizes, dtype=float), 1e-9)
-    return _assign(df, centres, ward(centres, sizes, k))
+    middle = np.average(centres, axis=0, weights=sizes)
+    between = float((sizes[:, None] * (centres - middle) ** 2).sum())
+    within = float(model.summary.trainingCost)
+    lost = within / (within + between) if within + between > 0 else 0.0
+    return _assign(df, centres, ward(centres, sizes, k)).withColumn("lost", F.lit(lost))
+
+
+def bisecting(df: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
+    """Hierarchical clustering into ``k`` groups by splitting top-down."""
+    data = _vectors(df)
+    model = BisectingKMeans(k=k, seed=seed, featuresCol="_vector", predictionCol="cluster").fit(data)
+    return model.transform(data).drop("_vector")
 
 
 def cluster_sizes(df: DataFrame) -> DataFrame:

@@ -258,12 +258,13 @@ def kmeans(spark, folder):
 
 @query("hierarchical_clusters")
 def hierarchical(spark, folder):
-    return K.hierarchical(scale.standardise(_features(spark, folder)), 5).select("recording_id", "cluster")
+    rows = K.micro_cluster_ward(scale.standardise(_features(spark, folder)), 5, micro=128)
+    return rows.select("recording_id", "cluster", F.round("lost", 4).alias("lost"))
 
 
 @query("bisecting_clusters")
 def bisecting(spark, folder):
-    rows = K.hierarchical(scale.standardise(_features(spark, folder)), 5, method="bisecting")
+    rows = K.bisecting(scale.standardise(_features(spark, folder)), 5)
     return rows.select("recording_id", "cluster")
 
 
