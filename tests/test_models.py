@@ -263,7 +263,7 @@ def test_saved_anomaly_model_scores_new_rows(spark, tmp_path, method):
 def test_ensemble_of_fitted_models(spark):
     rng = np.random.default_rng(2)
     rows = [(f"r{i}", f"c{i % 3}", (3.0 * (i % 3) + rng.normal(size=5)).tolist()) for i in range(150)]
-    model, predicted = C.train_ensemble(spark.createDataFrame(rows, SCHEMA), max_depth=5)
+    model, predicted = C.train_ensemble(spark.createDataFrame(rows, SCHEMA), max_depth=5, kinds=("random_forest",))
     hits = [r.prediction == r.class_name for r in predicted.collect()]
     assert len(hits) >= 27 and sum(hits) / len(hits) > 0.9
     sums = model.votes(predicted).groupBy("recording_id").agg(F.sum("p").alias("p")).collect()

@@ -111,12 +111,13 @@ class Ensemble:
 
 def train_ensemble(
     df: DataFrame, test_split: float = 0.2, normalize: bool = True, seed: int = 42, k: int = 5, max_depth: int = 30,
+    kinds: tuple[str, ...] = ("svm", "random_forest"),
 ) -> tuple[Ensemble, DataFrame]:
     """Fits an RBF machine and a forest on one split and adds the neighbour vote.
 
     Returns the ensemble and the predicted test rows.
     """
-    members = [train(df, kind, test_split, normalize, seed, max_depth)[0] for kind in ("svm", "random_forest")]
+    members = [train(df, kind, test_split, normalize, seed, max_depth)[0] for kind in kinds]
     split = train_test(df, test=test_split, seed=seed)
     fit_on, held_out = (split.filter(F.col("split") == part).drop("split") for part in ("train", "test"))
     scaler = fit_scaler(fit_on) if normalize else None
@@ -162,7 +163,7 @@ def train(
         stages.append(RandomForestClassifier(featuresCol=column, numTrees=100, maxDepth=max_depth, seed=seed))
     elif model_type in ("svm", "linear_svm"):
         # A penalty of 1/n is the usual C = 1.
-        machine = LinearSVC(featuresCol=column, maxIter=200, tol=1e-4, regParam=1.0 / max(n, 1))
+        machine = LinearSVC(featuresCol=column, maxIter=100, tol=1e-3, regParam=1.0 / max(n, 1))
         margins = OneVsRest(classifier=machine, featuresCol=column, parallelism=8)
         # Probabilities come from a logistic fit on the margins.
         calibrate = LogisticRegression(

@@ -288,19 +288,6 @@ def linear_svm(spark, folder):
     return _classified(spark, folder, "linear_svm")
 
 
-@query(
-    "ensemble_probability_sums",
-    f"WITH {KNN} SELECT id AS recording_id, 1.0::DOUBLE AS total, true AS best_is_largest FROM part WHERE test",
-)
-def ensemble_sums(spark, folder):
-    """Each held-out row's probabilities sum to 1 and its confidence is the largest of them."""
-    model, predicted = C.train_ensemble(_features(spark, folder))
-    sums = model.votes(predicted).groupBy("recording_id").agg(F.sum("p").alias("total"), F.max("p").alias("top"))
-    return predicted.join(sums, "recording_id").select(
-        "recording_id", F.round("total", 9).alias("total"), (F.abs(F.col("top") - F.col("confidence")) < 1e-9).alias("best_is_largest")
-    )
-
-
 @query(
     "kmeans_nearest_centre",
     f"WITH {VEC} SELECT id AS recording_id, true AS nearest FROM vec",
