@@ -24,27 +24,33 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 ORACLE_SQL = None
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """(text, _row): all columns in one struct, whatever their names."""
+    return docs.select("text", F.struct("*").alias("_row"))
+
+
 def _marked(docs: DataFrame) -> DataFrame:
-    """``docs`` with an id that orders by doc_id, null last, and tells texts of one doc_id apart."""
+    """(_id, text, _row) with an id that orders by doc_id, null last, and tells texts of one doc_id apart."""
     mark = F.xxhash64(F.col("text")).alias("mark")
-    return docs.withColumn("_id", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", mark))
+    one = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", mark)
+    return docs.select(one.alias("_id"), "text", F.struct("*").alias("_row"))
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Of marked ``docs`` one row for each of ``ids`` (_id, rows with it)."""
-    joined = docs.join(ids, "_id")
+def _only(marked: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents of ``marked``, one row for each of ``ids`` (_id, rows with it)."""
+    joined = marked.select("_id", "_row").join(ids, "_id")
     single = joined.filter("n = 1")
     several = joined.filter("n > 1").dropDuplicates(["_id"])
-    return single.unionByName(several).drop("_id", "n")
+    return single.unionByName(several).select("_row.*")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents of a determined language; those without a letter go."""
     out = F.coalesce(language.held_out("doc_id"), F.lit(False))
     model = language.fit(language.training_sample(docs, ~out, "doc_id", "text", "lang"))
-    named = language.predict(docs.withColumn("_text", F.col("text")), model)
+    named = language.predict(_packed(docs), model)
     kept = named if model is None else named.filter(F.col("lang_pred") != language.UNDETERMINED)
-    return kept.withColumnRenamed("_text", "text").select(*docs.columns)
+    return kept.select("_row.*")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +71,11 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by its kind; n_chars counts the new text."""
-    return pii.redact(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+    others = [c for c in docs.columns if c != "text"]
+    packed = docs.select("text", F.struct(*[docs[f"`{c}`"] for c in others]).alias("_row"))
+    new = pii.redact(packed)
+    columns = [F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns]
+    return new.select(*columns).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

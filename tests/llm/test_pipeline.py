@@ -78,3 +78,21 @@ def test_edges(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     assert follow(spark, docs, "").collect() == []
+
+
+def test_columns_of_any_name(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    made = [(i, f"{w} {w}x end{i} other words", "en", "s", 0) for i, w in enumerate(words)]
+    made += [(3, made[3][1], "en", "t", 0), (42, "12 !", "en", "s", 0), (43, "words x@y.zz or more", "en", "s", 0)]
+    own = "n score lang_pred kept _id _text _row _redacted mark a.b".split()
+    docs = spark.createDataFrame(
+        [(*r, *(f"{c}{r[0]}" for c in own)) for r in made],
+        "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in own),
+    )
+    docs = corpus_pipeline.written(docs)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs, columns = corpus_pipeline.written(stage(spark, docs, "")), docs.columns
+        assert docs.columns == columns, name
+        assert all(tuple(r)[5:] == tuple(f"{c}{r[0]}" for c in own) for r in docs.collect()), name
+        assert docs.count()
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count()
