@@ -128,3 +128,16 @@ def test_mel_db_is_relative_to_the_loudest(spark):
     rows = T.mel_db(make_signals(spark, {"a": tone(440, 1.0)}, chunk=16000)).collect()
     matrix = np.array([r.mel_db for r in rows])
     assert matrix.max() == 0 and matrix.min() >= -80
+
+
+def test_value_buckets_keep_the_order_of_all_doubles(spark):
+    from pyspark.sql import functions as F
+    from wavelark.operators.ordered import distinct_counts, counted, value_bucket
+
+    sizes = [5e-324, *(10.0**e for e in range(-300, 301, 5))]
+    values = sorted([0.0, *sizes, *(-x for x in sizes)])
+    df = spark.createDataFrame([(1, x) for x in values], "k int, x double")
+    rows = sorted(tuple(r) for r in df.select("x", value_bucket(F.col("x"))).collect())
+    assert [b for _, b in rows] == sorted(b for _, b in rows)
+    below = counted(distinct_counts(df, ["k"], "x"), ["k"], "x").orderBy("x").collect()
+    assert [r.below for r in below] == list(range(len(values)))

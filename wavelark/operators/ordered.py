@@ -102,8 +102,9 @@ def value_bucket(value: Column, steps: int = 1 << 14) -> Column:
 
     As many that values crowded into a tenth of an octave still fall into more
     than a thousand buckets.
+    The offset exceeds the 1075 octaves below 1 that doubles have.
     """
-    size = F.floor(F.log2(F.abs(value)) * steps) + F.lit(1 << 20)
+    size = F.floor(F.log2(F.abs(value)) * steps) + F.lit(1 << 25)
     return (
         F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0)).cast("long")
     )
