@@ -10,10 +10,11 @@ they share the block that holds the window's last word of the first half, and
 the words that all windows of this block have in common, its *core* (26 words
 or more).  Every document is indexed by the cores of its blocks.
 
-**Factors.**  A document is parsed block by block.  A block whose core no smaller
+**Factors.**  No factors with source and length are formed; grouping blocks
+stands for the greedy parse.  A document is read block by block.  A block whose core no smaller
 document has is a literal.  One whose core and whole context (all words that its
-windows cover) some smaller document has continues a factor: its windows are all
-duplicates.  Where only the core matches, a factor begins or ends here, and the
+windows cover) some smaller document has is wholly repeated: its windows are all
+duplicates.  Where only the core matches, the text is shared in part, and the
 block's windows are checked one by one against the windows of all documents
 with that core.  Equal contexts stand for each other there, so copies are
 looked at once.
