@@ -109,3 +109,87 @@ def personal_data(spark: SparkSession, folder: str) -> DataFrame:
     from wavelark.llm.pii import find_pii
 
     return find_pii(table(spark, folder, "documents"))
+
+
+@query("op11_refined_whitening")
+def whitening(spark: SparkSession, folder: str) -> DataFrame:
+    from wavelark.llm.whitening import whiten
+
+    return whiten(table(spark, folder, "embeddings"))
+
+
+MERKLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, text,
+    CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR) || ':' || doc_id END
+    || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END
+    || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END
+    || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(n_chars::VARCHAR) || ':' || n_chars END AS head,
+    CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END AS body,
+    CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':'
+      || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS low_body,
+    xor(list_reduce(
+      list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, len(doc_id::VARCHAR) + 1),
+        lambda i: [ascii((doc_id::VARCHAR)[i:i])::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END
+    ), 4294967295) % 5 = 0 AS tampered
+  FROM documents
+), l AS (
+  SELECT *, sha256(head || body) AS leaf, sha256(head || CASE WHEN tampered THEN low_body ELSE body END) AS given FROM d
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n FROM l
+), up AS (
+  SELECT source, 0 AS lvl, idx, leaf AS dig, n FROM r
+  UNION ALL
+  SELECT source, lvl + 1, idx // 16, sha256(string_agg(dig, '' ORDER BY idx)), (n + 15) // 16
+  FROM up WHERE n > 1 GROUP BY source, lvl, idx // 16, n
+), subs AS (
+  SELECT source, dig AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx, count(*) OVER () AS n
+  FROM up WHERE n = 1
+), above AS (
+  SELECT 0 AS lvl, idx, subroot AS dig, n FROM subs
+  UNION ALL
+  SELECT lvl + 1, idx // 16, sha256(string_agg(dig, '' ORDER BY idx)), (n + 15) // 16
+  FROM above WHERE n > 1 GROUP BY lvl, idx // 16, n
+), runs AS (
+  SELECT source, 0 AS part, lvl, idx // 16 AS run, list(dig ORDER BY idx) AS digs FROM up WHERE n > 1 GROUP BY ALL
+  UNION ALL
+  SELECT NULL, 1, lvl, idx // 16, list(dig ORDER BY idx) FROM above WHERE n > 1 GROUP BY ALL
+), steps AS (
+  SELECT r.source, r.doc_id, 0 AS part, u.lvl, r.idx // (16 ** u.lvl)::BIGINT % 16 AS pos, u.digs
+  FROM r JOIN runs u ON u.part = 0 AND u.source IS NOT DISTINCT FROM r.source
+    AND u.run = r.idx // (16 ** (u.lvl + 1))::BIGINT
+  UNION ALL
+  SELECT r.source, r.doc_id, 1, u.lvl, s.idx // (16 ** u.lvl)::BIGINT % 16, u.digs
+  FROM r JOIN subs s ON s.source IS NOT DISTINCT FROM r.source
+  JOIN runs u ON u.part = 1 AND u.run = s.idx // (16 ** (u.lvl + 1))::BIGINT
+), numbered AS (
+  SELECT doc_id, source, row_number() OVER (PARTITION BY source, doc_id ORDER BY part, lvl) AS step,
+    array_to_string(list_slice(digs, 1, pos), '') AS before,
+    array_to_string(list_slice(digs, pos + 2, len(digs)), '') AS after
+  FROM steps
+), fold AS (
+  SELECT doc_id, source, leaf, given AS acc, '' AS proof, 0 AS step FROM r
+  UNION ALL
+  SELECT f.doc_id, f.source, f.leaf, sha256(n.before || f.acc || n.after), f.proof || n.before || n.after, n.step
+  FROM fold f JOIN numbered n ON n.doc_id = f.doc_id AND n.source IS NOT DISTINCT FROM f.source AND n.step = f.step + 1
+), ends AS (
+  SELECT * FROM fold QUALIFY row_number() OVER (PARTITION BY source, doc_id ORDER BY step DESC) = 1
+), root AS (SELECT dig AS root FROM above WHERE n = 1)
+SELECT e.doc_id, e.leaf, s.subroot, root.root, sha256(e.proof) AS proof_sha256, e.acc AS folded_root, e.acc = root.root AS verified
+FROM ends e JOIN subs s ON s.source IS NOT DISTINCT FROM e.source CROSS JOIN root
+"""
+
+
+@query("op12_nested_interval_merkle", MERKLE_SQL)
+def merkle(spark: SparkSession, folder: str) -> DataFrame:
+    from wavelark.llm.merkle import manifest
+
+    return manifest(table(spark, folder, "documents")).drop("low", "n_steps")
+
+
+@query("op13_multiple_instance_toxicity")
+def toxic(spark: SparkSession, folder: str) -> DataFrame:
+    from wavelark.llm.toxicity import toxicity
+
+    return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
