@@ -130,7 +130,8 @@ def session_summary(events: DataFrame, gap: str = "30 minutes", sensor: str = "s
     Rows of a sensor within one stretch as long as the gap belong to one
     session, so they are first aggregated per stretch, map-side too.  Only the
     stretches, whose number depends on the time covered and not on the rows, are
-    ordered per sensor.  Streams use ``session_rollup``.
+    ordered per sensor.  Decimal latencies are added exactly, whatever the
+    grouping.  Streams use ``session_rollup``.
     """
     length = F.lit(int(pd.Timedelta(gap).total_seconds() * 1_000_000)).cast("long")
     kind = events.schema["ts"].dataType
@@ -145,7 +146,8 @@ def session_summary(events: DataFrame, gap: str = "30 minutes", sensor: str = "s
     return sessions.groupBy(sensor, "_session").agg(
         F.timestamp_micros(F.min("_first")).cast(kind).alias("started"),
         F.timestamp_micros(F.max("_last") + length).cast(kind).alias("ended"),
-        F.sum("processed").alias("processed"), (F.sum("_latency") / F.sum("_timed")).alias("mean_latency"),
+        F.sum("processed").alias("processed"),
+        (F.sum("_latency").cast("double") / F.sum("_timed")).alias("mean_latency"),
         F.sum("detections").alias("detections"),
     ).drop("_session")
 

@@ -213,16 +213,15 @@ def sensor_windows(spark, folder):
     coalesce(ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 hour, true)::INTEGER AS fresh FROM events),
   n AS (SELECT *, sum(fresh) OVER (PARTITION BY sensor_id ORDER BY ts) AS session FROM s)
   SELECT sensor_id, min(ts) AS started, max(ts) + INTERVAL 6 hour AS ended, count(*) AS processed,
-    round(avg(value), 4) AS mean_latency, count(*) FILTER (WHERE event_type = 'error') AS detections
+    sum(value::DECIMAL(18,4))::DOUBLE / count(value) AS mean_latency, count(*) FILTER (WHERE event_type = 'error') AS detections
   FROM n GROUP BY sensor_id, session""",
 )
 def sessions(spark, folder):
     events = A.table(spark, folder, "events").select(
-        F.col("user_id").cast("string").alias("sensor_id"), "ts", F.col("value").alias("latency"),
+        F.col("user_id").cast("string").alias("sensor_id"), "ts", F.col("value").cast("decimal(18,4)").alias("latency"),
         (F.col("event_type") == "error").alias("detected"),
     )
-    rows = R.session_summary(events, "6 hours")
-    return rows.withColumn("mean_latency", F.round("mean_latency", 4))
+    return R.session_summary(events, "6 hours")
 
 
 @query(
