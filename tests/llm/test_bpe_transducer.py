@@ -37,7 +37,8 @@ def test_random_texts(codec, library):
 
 @pytest.mark.parametrize("flush", [7, 64, 1 << 16])
 def test_long_runs(codec, library, monkeypatch, flush):
-    monkeypatch.setattr(B, "FLUSH", max(flush, 4 * codec.transducer.longest) if flush < 64 else flush)
+    monkeypatch.setattr(B, "FLUSH", flush)
+    codec = B.Codec(PATH, public_tokenizers.PATTERN)  # nothing kept from another flush
     rng = random.Random(flush)
     runs = ["a" * 5000, "ab" * 3000, " " * 3000, "\n" * 900, "é" * 700, "1" * 4000, "=-" * 2000]
     runs.append("".join(rng.choice("etaoinshr") for _ in range(20000)))
@@ -45,6 +46,35 @@ def test_long_runs(codec, library, monkeypatch, flush):
         assert ids_of(codec, text) == library.encode_ordinary(text)
 
 
+def test_pairs(codec):
+    """Side by side by spines is side by side by merging both, for pairs that occur and any others."""
+    rng, ranks = random.Random(9), codec.transducer.ranks
+    tokens = [t for t in ranks if len(t) < 9 and B.merged(t, ranks) == (ranks[t],)]
+    pairs = [(rng.choice(tokens), rng.choice(tokens)) for _ in range(4000)]
+    for word in rng.sample(tokens, 3000):
+        cut = rng.randrange(len(word))
+        pairs += [(word[:cut], word[cut:])] if cut and word[:cut] in ranks and word[cut:] in ranks else []
+    pairs += [(a, b) for a in (b"a", b"aa", b"aaaa", b" ", b"  ", b"=", b"==") for b in (b"a", b"aa", b"aaaa", b" ", b"==")]
+    sound = [p for p in pairs if all(t in ranks and B.merged(t, ranks) == (ranks[t],) for t in p)]
+    found = [codec.transducer._side_by_side(*p) for p in sound]
+    want = [B.merged(a + b, ranks) == (ranks[a], ranks[b]) for a, b in sound]
+    assert found == want and len(set(want)) == 2
+
+
+def test_bounds_within_one_piece(codec, library, monkeypatch):
+    """A single piece of 3 MB: states and settled tokens stay bounded, the result is the library's."""
+    monkeypatch.setattr(B, "STATES", 500)
+    rng = random.Random(11)
+    small = B.Codec(PATH, public_tokenizers.PATTERN)
+    word = "".join(rng.choice("abcdefgh") for _ in range(20_000))
+    assert ids_of(small, word) == library.encode_ordinary(word) and len(small.transducer.states) <= 500
+    text = ("".join(rng.choice("etaoin") for _ in range(3000)) * 1000)[: 3 << 20]
+    ids = codec.ids(text)
+    assert "".join(codec.decode(ids)) == text
+    part = text[:30_000]  # the library is quadratic in one piece
+    assert codec.ids(part)[:8000] == library.encode_ordinary(part)[:8000] == ids[:8000]
+
+
 def test_decoding_any_ids(codec):
     rng = random.Random(5)
     for _ in range(2000):

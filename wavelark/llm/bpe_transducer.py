@@ -10,14 +10,17 @@ token continues its bytes, so the lookahead is at most the longest token: what
 all live places agree on is settled and written.  States and their steps are
 made when first reached and kept.
 
-Which pairs are compatible follows from the merges alone: both tokens are
-merged from bytes, always the lowest rank first.
+Which pairs are compatible follows from the merges alone.  While a token is
+merged from bytes, lowest rank first, its outermost part grows; each such part
+touches the border from its own rank to the next one's.  Two tokens are
+compatible when no two parts that touch at one time merge first.
 
-**Decoding** reads ids one by one: a table of (state, id) carries a byte-wise
-UTF-8 state machine across tokens, so characters split between tokens come out
-whole and invalid bytes come out as U+FFFD.
+**Decoding** reads ids one by one: ids of whole characters come from a table;
+the others carry a byte-wise UTF-8 state machine across tokens, so characters
+split between tokens come out whole and invalid bytes come out as U+FFFD.
 
-Pieces repeat; what a piece encodes to is kept, at most ``KEPT`` of them.
+Segments and pieces repeat; what they encode to is kept, at most ``KEPT`` of
+each in two halves.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ from wavelark.llm.tables import Memo, kept_in_worker, map_text, slices, text_of
 KEPT = 200_000
 STATES = 200_000
 FLUSH = 1 << 16
+#: Later than any merge.
+LAST = 1 << 60
 
 #: A segment is white space and what follows up to the next white space.  Where
 #: something else meets white space every pattern match ends, so segments can be
@@ -50,15 +55,22 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-def merged(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
-    """BPE of a short piece by its definition: the lowest rank merges first, leftmost on ties."""
+def parts_of(piece: bytes, ranks: dict[bytes, int], least: int = 1) -> list[bytes]:
+    """BPE of a short piece by its definition, until ``least`` parts: the lowest rank merges first, leftmost on ties."""
     parts = [piece[i : i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
-        best = min(range(len(parts) - 1), key=lambda i: ranks.get(parts[i] + parts[i + 1], len(ranks) + 1))
-        if parts[best] + parts[best + 1] not in ranks:
+    none = len(ranks) + 1
+    while len(parts) > least:
+        found = [ranks.get(a + b, none) for a, b in zip(parts, parts[1:])]
+        lowest = min(found)
+        if lowest == none:
             break
+        best = found.index(lowest)
         parts[best : best + 2] = [parts[best] + parts[best + 1]]
-    return tuple(ranks[p] for p in parts)
+    return parts
+
+
+def merged(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
+    return tuple(ranks[p] for p in parts_of(piece, ranks))
 
 
 class Transducer:
@@ -66,7 +78,7 @@ class Transducer:
 
     A state is a dictionary from a byte to (next state, token that the bytes
     read so far end in); under ``PLACES`` it holds the places it stands for, each
-    as (bytes of a token begun there, token before it).
+    as (node of the trie of tokens for the bytes read since, token before it).
     """
 
     PLACES = -1
@@ -75,24 +87,35 @@ class Transducer:
         self.ranks = ranks
         self.bytes_of = {i: token for token, i in ranks.items()}
         self.longest = max(map(len, ranks))
-        self.prefixes = {token[:n] for token in ranks for n in range(1, len(token) + 1)}
-        self.sound: dict[bytes, int] = {}
+        #: Trie of tokens: (node, byte) as node * 256 + byte -> node; bytes of each node.
+        self.child: dict[int, int] = {}
+        self.read = [b""]
+        for token in ranks:
+            node = 0
+            for n, byte in enumerate(token, 1):
+                key = node << 8 | byte
+                node = self.child.get(key)
+                if node is None:
+                    node = self.child[key] = len(self.read)
+                    self.read.append(token[:n])
+        self.sound: dict[int, int] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.halves: dict[bytes, tuple[bytes, bytes] | None] = {}
+        self.spines: dict[tuple[bytes, bool], list[tuple[bytes, int]] | None] = {}
         self._reset()
 
     def _reset(self) -> None:
-        start = ((b"", -1),)
+        start = ((0, -1),)
         self.start = {self.PLACES: start}
         self.states = {start: self.start}
 
-    def _token(self, data: bytes) -> int:
-        """Id of a token that encodes to itself, or -1."""
-        found = self.sound.get(data)
-        if found is None:
-            found = self.ranks.get(data, -1)
-            if found >= 0 and merged(data, self.ranks) != (found,):
-                found = -1
-            self.sound[data] = found
+    def _token(self, node: int) -> int:
+        """Id of a node's token, if it encodes to itself, or -1."""
+        data = self.read[node]
+        found = self.ranks.get(data, -1)
+        if found >= 0 and merged(data, self.ranks) != (found,):
+            found = -1
+        self.sound[node] = found
         return found
 
     def _compatible(self, left: int, right: int) -> bool:
@@ -102,26 +125,67 @@ class Transducer:
         if pair not in self.pairs:
             if len(self.pairs) >= STATES:
                 self.pairs.clear()
-            self.pairs[pair] = merged(self.bytes_of[left] + self.bytes_of[right], self.ranks) == pair
+            self.pairs[pair] = self._side_by_side(self.bytes_of[left], self.bytes_of[right])
         return self.pairs[pair]
 
+    def _spine(self, token: bytes, right: bool) -> list[tuple[bytes, int]] | None:
+        """Outermost parts of a token on one side as it is merged, each with the rank that ends it.
+
+        None where a part doesn't rank below what it is merged into; time is then no rank.
+        """
+        key = token, right
+        if key not in self.spines:
+            if len(token) == 1:
+                self.spines[key] = [(token, LAST)]
+            else:
+                if token not in self.halves:
+                    self.halves[token] = tuple(parts_of(token, self.ranks, 2))
+                rank, halves = self.ranks[token], self.halves[token]
+                inner = self._spine(halves[right], right)
+                rising = all(len(h) == 1 or self.ranks[h] < rank for h in halves)
+                usable = inner is not None and rising
+                self.spines[key] = [*inner[:-1], (inner[-1][0], rank), (token, LAST)] if usable else None
+        return self.spines[key]
+
+    def _side_by_side(self, left: bytes, right: bytes) -> bool:
+        """Whether the border between two tokens survives when both are merged together."""
+        ranks = self.ranks
+        one, other = self._spine(left, True), self._spine(right, False)
+        if one is None or other is None:
+            return merged(left + right, ranks) == (ranks[left], ranks[right])
+        i = j = 0
+        while True:
+            (a, a_ends), (b, b_ends) = one[i], other[j]
+            rank = ranks.get(a + b)
+            # On equal ranks the leftmost merges first: the left token's own before the border's.
+            if rank is not None and rank < a_ends and rank <= b_ends:
+                return False
+            if a_ends == b_ends == LAST:
+                return True
+            if a_ends <= b_ends:
+                i += 1
+            else:
+                j += 1
+
     def _step(self, state: dict, byte: int) -> tuple[dict, int]:
         """What ``byte`` does in a state, made once."""
-        read, places, ends = bytes((byte,)), [], -1
+        child, sound, places, ends = self.child, self.sound, [], -1
         for begun, before in state[self.PLACES]:
-            data = begun + read
-            if data in self.prefixes:
-                places.append((data, before))
+            node = child.get(begun << 8 | byte)
+            if node is not None:
+                places.append((node, before))
                 if ends < 0:
-                    token = self._token(data)
+                    token = sound[node] if node in sound else self._token(node)
                     if token >= 0 and self._compatible(before, token):
                         ends = token
         if ends < 0:
             raise ValueError("a byte that is no token")
-        places.append((b"", ends))
+        places.append((0, ends))
         key = tuple(places)
         after = self.states.get(key)
         if after is None:
+            if len(self.states) >= STATES:
+                self._reset()
             after = self.states[key] = {self.PLACES: key}
         state[byte] = after, ends
         return state[byte]
@@ -139,7 +203,7 @@ class Transducer:
     def _settled(self, ends: list[int], state: dict) -> tuple[list[int], int]:
         """Tokens on which all live places agree, and the bytes they cover."""
         here = len(ends)
-        paths = [self._path(ends, here - len(begun)) for begun, _ in state[self.PLACES]]
+        paths = [self._path(ends, here - len(self.read[begun])) for begun, _ in state[self.PLACES]]
         agreed = []
         for tokens in zip(*paths, strict=False):
             if len(set(tokens)) > 1:
@@ -152,18 +216,17 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:  # a whole piece that is a token is that token
             return [whole]
-        if len(self.states) > STATES:
-            self._reset()
         out: list[int] = []
         ends: list[int] = []
         state, step = self.start, self._step
-        for byte in piece:
-            state, token = state.get(byte) or step(state, byte)
-            ends.append(token)
-            if len(ends) == FLUSH:
+        for at in range(0, len(piece), FLUSH):
+            if at:
                 written, covered = self._settled(ends, state)
                 out += written
                 del ends[:covered]
+            for byte in piece[at : at + FLUSH]:
+                state, token = state.get(byte) or step(state, byte)
+                ends.append(token)
         return out + self._path(ends, len(ends))
 
 
@@ -189,7 +252,13 @@ class Utf8Stream:
 
     def __init__(self, bytes_of: dict[int, bytes]):
         self.bytes_of = bytes_of
-        self.table: dict[bytes, dict[int, tuple[bytes, str]]] = {}
+        self.whole: dict[int, str] = {}
+        for i, data in bytes_of.items():
+            try:
+                self.whole[i] = data.decode("utf-8")
+            except UnicodeDecodeError:
+                continue
+        self.table: dict[tuple[bytes, int], tuple[bytes, str]] = {}
 
     @staticmethod
     def advance(pending: bytes, data: bytes) -> tuple[bytes, str]:
@@ -220,18 +289,26 @@ class Utf8Stream:
         return pending, "".join(text)
 
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
-        pending, table, bytes_of = b"", self.table, self.bytes_of
-        row = table.setdefault(pending, {})
+        pending, whole, table = b"", self.whole, self.table
         for i in ids:
-            found = row.get(i)
-            if found is None:
-                found = row[i] = self.advance(pending, bytes_of[i])
-            if found[0] != pending:
-                pending = found[0]
-                row = table.setdefault(pending, {})
-            yield found[1]
+            text = None if pending else whole.get(i)
+            if text is None:
+                key = pending, i
+                if key not in table:
+                    if len(table) >= STATES:
+                        table.clear()
+                    table[key] = self.advance(pending, self.bytes_of[i])
+                pending, text = table[key]
+            yield text
         if pending:
-            yield "�"
+            yield "\N{REPLACEMENT CHARACTER}"
+
+    def text(self, ids: list[int]) -> str:
+        """Text of all ids at once."""
+        try:
+            return "".join(map(self.whole.__getitem__, ids))
+        except KeyError:
+            return "".join(self.decode(ids))
 
 
 class Codec:
@@ -245,18 +322,26 @@ class Codec:
         # The library's white space has no 1C-1F; this module's may.
         own = pattern.replace(r"[^\s\p{L}", r"[^\p{White_Space}\p{L}")
         self.pieces = regex.compile(own.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-        self.kept = Memo(KEPT, lambda missing: list(map(self.digested, missing)))
+        self.encoded = Memo(KEPT, lambda missing: [self.transducer.encode(p.encode("utf-8", "replace")) for p in missing])
+        self.kept = Memo(KEPT, self.digested)
         self.decimal = [str(i) for i in range(max(self.stream.bytes_of) + 1)]
 
+    def all_ids(self, segments: list[str]) -> list[list[int]]:
+        """Ids of each segment."""
+        pieces = list(map(self.pieces.findall, segments))
+        found = iter(self.encoded.values([p for part in pieces for p in part]))
+        return [[i for _ in part for i in next(found)] for part in pieces]
+
     def ids(self, segment: str) -> list[int]:
-        encode = self.transducer.encode
-        return [i for piece in self.pieces.findall(segment) for i in encode(piece.encode("utf-8", "replace"))]
+        return self.all_ids([segment])[0]
 
-    def digested(self, segment: str) -> tuple[int, str, str]:
-        """(number of ids, ids in decimal, their decoded text) of a segment."""
-        ids, decimal = self.ids(segment), self.decimal
-        text = "".join(self.stream.decode(ids))
-        return len(ids), " ".join([decimal[i] for i in ids]), segment if text == segment else text
+    def digested(self, segments: list[str]) -> list[tuple[int, str, str]]:
+        """(number of ids, ids in decimal, their decoded text) of each segment."""
+        decimal, out = self.decimal, []
+        for segment, ids in zip(segments, self.all_ids(segments), strict=True):
+            text = self.stream.text(ids)
+            out.append((len(ids), " ".join([decimal[i] for i in ids]), segment if text == segment else text))
+        return out
 
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
         return self.stream.decode(ids)
@@ -284,7 +369,7 @@ def codec_digest(
 
 
 def _whole(codec: Codec, text: str) -> tuple:
-    ids = [i for s in slices(text, BORDER) for segment in SEGMENT.findall(text, *s) for i in codec.ids(segment)]
+    ids = [i for s in slices(text, BORDER) for own in codec.all_ids(SEGMENT.findall(text, *s)) for i in own]
     return ids, "".join(codec.decode(ids))
 
 
@@ -305,7 +390,11 @@ def _mapped(docs, path, pattern, id_col, text_col, added, work) -> DataFrame:
     width = added.count(", ") + 1
 
     def make():
+        import gc
+
         codec = kept_in_worker(("codec", path, pattern), lambda: Codec(path, pattern))
+        # States are many small objects that stay: looking through them for cycles costs more than it frees.
+        gc.set_threshold(100_000, 50, 100)
         return lambda texts: list(zip(*(work(codec, text) for text in texts), strict=True)) or [()] * width
 
     return map_text(source, make, added)
