@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("signal_queries", "quality_queries", "dataset_queries", "event_queries", "run_queries", "feature_queries", "model_queries")
+_MODULES = ("signal_queries", "quality_queries", "dataset_queries", "event_queries", "run_queries", "feature_queries", "model_queries", "source_queries")
 
 
 def all_queries() -> tuple[dict, dict]:
