@@ -129,7 +129,7 @@ def test_packet_loss_stream_equals_batch(spark, run_stream):
     rows[20] = (rows[20][0], rows[20][1], 1)  # late
     schema = "sensor_id string, ts timestamp, seq long"
     live = run_stream([rows[:25], rows[25:40], rows[40:]], schema, S.packet_loss_stream)
-    batch = P.packet_loss(spark.createDataFrame(rows, schema), F.unix_date(F.to_date("ts")), ["ts", "seq"])
+    batch = P.packet_loss(spark.createDataFrame(rows, schema), ["ts", "seq"])
     names = ["sensor_id", "ts", "seq", "late", "gap", "dropped"]
     assert sorted(map(tuple, live.select(names).collect())) == sorted(map(tuple, batch.select(names).collect()))
     assert sum(r.late for r in live.collect()) == 1
@@ -138,7 +138,7 @@ def test_packet_loss_stream_equals_batch(spark, run_stream):
 def test_gap_golden(spark):
     rows = [("s", T0 + dt.timedelta(seconds=i), s) for i, s in enumerate([0, 1, 2, 5, 6])]
     df = spark.createDataFrame(rows, "sensor_id string, ts timestamp, seq long")
-    out = sorted(P.packet_gaps(df, F.unix_date(F.to_date("ts")), ["ts"]).collect(), key=lambda r: r.seq)
+    out = sorted(P.packet_gaps(df, ["ts"]).collect(), key=lambda r: r.seq)
     assert [r.gap for r in out] == [0, 0, 0, 2, 0] and out[-1].dropped == 2
 
 

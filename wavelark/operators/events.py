@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from wavelark.functions.levels import energy
 from wavelark.operators.framing import sliding_windows
-from wavelark.operators.ordered import running
+from wavelark.operators.scan import prefix
+from wavelark.session import materialise
 
 KEY = ["recording_id", "channel"]
-BLOCK = 4096
 
 
 def scene_windows(signals: DataFrame, window_s: float = 1.0, inclusive: bool = False) -> DataFrame:
@@ -24,9 +24,10 @@ def scene_windows(signals: DataFrame, window_s: float = 1.0, inclusive: bool = F
 
 def energy_spikes(windows: DataFrame, window_s: float = 1.0, ratio: float = 2.0, floor: float = 0.01) -> DataFrame:
     """Windows louder than ``ratio`` times the mean of all windows before them."""
-    seen = running(
-        windows, KEY, F.floor(F.col("frame_idx") / BLOCK), ["frame_idx"],
-        {"_sum": F.col("rms"), "_n": F.lit(1).cast("long")}, write=True,
+    # Windows, small next to the audio they come from, are written once: sorting by ranges reads them twice.
+    seen = prefix(
+        materialise(windows), KEY, ["frame_idx"],
+        {"_sum": ("sum", F.col("rms")), "_n": ("sum", F.lit(1).cast("long"))},
     )
     loud = (F.col("_n") > 0) & (F.col("rms") * F.col("_n") > F.col("_sum") * ratio) & (F.col("rms") > floor)
     return seen.filter(loud).select(

@@ -123,27 +123,97 @@ def counted(distinct: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return running(distinct, keys, value_bucket(F.col(value)), [value], {"below": F.col("n")})
 
 
+#: Rows of a key whose quantile one aggregate may hold; values of more are bracketed first.
+FEW = 100_000
+#: A quantile sketch of this accuracy errs by at most a rank in this many.
+ACCURACY = 2000
+
+
+def _inside(rows: DataFrame, keys: list[str], value: str, brackets: DataFrame) -> DataFrame:
+    joined = rows.join(brackets, keys)
+    return joined.filter((F.col(value) >= F.col("low")) & (F.col(value) <= F.col("high")))
+
+
+def _narrowed(rows: DataFrame, keys: list[str], value: str, brackets: DataFrame) -> DataFrame:
+    """Brackets cut down by a sketch of the values inside, and checked by counting.
+
+    ``brackets``: keys, first and second (places sought, from 0, among all rows
+    of the key), low and high (values that hold both places between them), below
+    (rows less than low), n (rows from low to high).
+    """
+    grid = F.array(*[F.lit(i / ACCURACY) for i in range(ACCURACY + 1)])
+    sketched = _inside(rows, keys, value, brackets).groupBy(*keys).agg(
+        F.approx_percentile(value, grid, F.lit(10 * ACCURACY)).alias("_grid")
+    )
+    # The sketch errs by a tenth of a step of the grid: a step more on each side holds the places.
+    left = F.floor((F.col("first") - F.col("below")) / F.col("n") * ACCURACY) - 1
+    right = F.ceil((F.col("second") - F.col("below") + 1) / F.col("n") * ACCURACY) + 1
+    cut = brackets.join(sketched, keys).select(
+        *keys, "first", "second", F.col("low").alias("_low"), F.col("high").alias("_high"),
+        F.when(left > 0, F.get("_grid", left.cast("int"))).otherwise(F.col("low")).alias("low"),
+        F.when(right < ACCURACY, F.get("_grid", right.cast("int"))).otherwise(F.col("high")).alias("high"),
+        F.col("below").alias("_below"), F.col("n").alias("_n"),
+    )
+    at = F.col(value)
+    counted = rows.join(cut, keys).groupBy(*keys, "first", "second", "low", "high", "_low", "_high", "_below", "_n").agg(
+        F.count_if(at < F.col("low")).alias("below"),
+        F.count_if((at >= F.col("low")) & (at <= F.col("high"))).alias("n"),
+    )
+    holds = (F.col("below") <= F.col("first")) & (F.col("below") + F.col("n") > F.col("second"))
+    return materialise(
+        counted.select(*keys, "first", "second", *[F.when(holds, F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in ("low", "high", "below", "n")])
+    )
+
+
+#: Each round cuts the rows inside a bracket by hundreds; ties may keep them.
+ROUNDS = 6
+
+
+def _sought(rows: DataFrame, keys: list[str], value: str, brackets: DataFrame) -> DataFrame:
+    """(keys, _low, _high): the values at both places sought, for keys with many rows."""
+    for _ in range(ROUNDS):
+        brackets = _narrowed(rows, keys, value, brackets)
+        if brackets.filter((F.col("n") > FEW) & (F.col("low") < F.col("high"))).limit(1).count() == 0:
+            break
+    # Equal values count once, before anything is ordered.
+    inside = _inside(rows, keys, value, brackets)
+    distinct = inside.groupBy(*keys, "first", "second", "below", value).agg(F.count(F.lit(1)).alias("_own"))
+    upto = F.col("below") + F.sum("_own").over(Window.partitionBy(*keys).orderBy(value))
+    ranked = distinct.withColumn("_upto", upto)
+    at = lambda place: F.min(F.when(F.col("_upto") > F.col(place), F.col(value)))
+    return ranked.groupBy(*keys).agg(at("first").alias("_low"), at("second").alias("_high"))
+
+
 def exact_quantile(
     df: DataFrame, keys: Sequence[str], value: str, q: float, name: str = "quantile"
 ) -> DataFrame:
-    """Exact quantile with linear interpolation, one row per key."""
+    """Exact quantile with linear interpolation, one row per key.
+
+    Keys of at most ``FEW`` rows take one aggregate.  For the others a mergeable
+    sketch, aggregated before the shuffle, brackets the two places the quantile
+    lies between; a pass counts the rows below, and only rows inside the bracket
+    are ordered.  Nothing orders all values of a large key.
+    """
     named = list(keys)
     keys = named or ["_all"]
-    distinct = distinct_counts(df.select(*named, value, F.lit(0).alias("_all")), keys, value)
-    sizes = distinct.groupBy(*keys).agg(F.sum("n").alias("_rows"))
-    ranked = counted(distinct, keys, value).join(sizes, keys)
-    place = F.lit(float(q)) * (F.col("_rows") - 1)
-    low, high = F.floor(place), F.ceil(place)
-
-    def at(rank: Column) -> Column:
-        inside = (F.col("below") <= rank) & (rank < F.col("below") + F.col("n"))
-        return F.max(F.when(inside, F.col(value)))
-
-    return ranked.groupBy(*keys).agg(
-        at(low).alias("_low"), at(high).alias("_high"), F.max(place - low).alias("_share")
-    ).select(
-        *named, (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_share")).alias(name)
+    rows = df.filter(F.col(value).isNotNull()).select(*named, F.col(value).cast("double").alias(value), F.lit(0).alias("_all"))
+    rows = rows.select(*keys, value)
+    few = lambda table: table.groupBy(*keys).agg(F.percentile(value, F.lit(float(q))).alias(name))
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(value).alias("low"), F.max(value).alias("high"))
+    large = sizes.filter(F.col("_n") > FEW)
+    if large.limit(1).count() == 0:
+        return few(rows).select(*named, name)
+    place = F.lit(float(q)) * (F.col("_n") - 1)
+    large = materialise(
+        large.select(
+            *keys, F.floor(place).alias("first"), F.ceil(place).alias("second"), (place - F.floor(place)).alias("_share"),
+            "low", "high", F.lit(0).cast("long").alias("below"), F.col("_n").alias("n"),
+        )
     )
+    found = _sought(rows, keys, value, large.drop("_share")).join(large.select(*keys, "_share"), keys)
+    many = found.select(*keys, (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_share")).alias(name))
+    rest = rows.join(large.select(*keys), keys, "left_anti")
+    return few(rest).unionByName(many).select(*named, name)
 
 
 def top_k(

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavelark.operators.ordered import running
+from wavelark.operators.scan import prefix
 
 HEADER = 8
 
@@ -58,28 +58,29 @@ def packet_frames(decoded: DataFrame) -> DataFrame:
     return per_frame.select("*", F.posexplode("_values").alias("ch", "value")).drop("_values")
 
 
-def _running_loss(gaps: DataFrame, bucket: Column, order: list[str]) -> DataFrame:
-    lost = running(gaps, ["sensor_id"], bucket, order, {"_lost": F.col("gap")}, write=True)
-    return lost.withColumn("dropped", F.col("_lost") + F.col("gap")).drop("_lost")
-
-
-def packet_gaps(packets: DataFrame, bucket: Column, order: list[str]) -> DataFrame:
+def packet_gaps(packets: DataFrame, order: list[str]) -> DataFrame:
     """Gap before every packet as a plain difference to the packet before it.
 
-    ``bucket`` is non-decreasing along ``order`` (a day, an hour) and bounds the
-    rows one task orders.  A late packet gives a negative gap.
+    A late packet gives a negative gap.  Summed gaps telescope, so one scan
+    gives the packet before, the first packet and how many there were.
     """
-    paired = running(packets, ["sensor_id"], bucket, order, {"_prev": F.col("seq")}, how="last")
-    gap = F.coalesce(F.col("seq") - F.col("_prev") - 1, F.lit(0)).cast("long")
-    return _running_loss(paired.withColumn("gap", gap).drop("_prev"), bucket, order)
+    seq, one = F.col("seq"), F.lit(1).cast("long")
+    seen = prefix(
+        packets, ["sensor_id"], order, {"_prev": ("last", seq), "_first": ("first", seq), "_n": ("sum", one)}
+    )
+    gap = F.coalesce(seq - F.col("_prev") - 1, F.lit(0)).cast("long")
+    lost = F.coalesce(seq - F.col("_first") - F.col("_n"), F.lit(0)).cast("long")
+    return seen.withColumns({"gap": gap, "dropped": lost}).drop("_prev", "_first", "_n")
 
 
-def packet_loss(packets: DataFrame, bucket: Column, order: list[str]) -> DataFrame:
+def packet_loss(packets: DataFrame, order: list[str]) -> DataFrame:
     """Gap and running losses against the highest sequence seen so far.
 
     A packet at or below that number is ``late`` and changes nothing.
     """
-    seen = running(packets, ["sensor_id"], bucket, order, {"_top": F.col("seq")}, how="max")
+    seen = prefix(packets, ["sensor_id"], order, {"_top": ("max", F.col("seq"))})
     late = F.coalesce(F.col("seq") <= F.col("_top"), F.lit(False))
     gap = F.when(late | F.col("_top").isNull(), 0).otherwise(F.col("seq") - F.col("_top") - 1).cast("long")
-    return _running_loss(seen.withColumn("late", late).withColumn("gap", gap).drop("_top"), bucket, order)
+    gaps = seen.withColumn("late", late).withColumn("gap", gap).drop("_top")
+    lost = prefix(gaps, ["sensor_id"], order, {"_lost": ("sum", F.col("gap"))})
+    return lost.withColumn("dropped", F.col("_lost") + F.col("gap")).drop("_lost")

@@ -165,7 +165,7 @@ PKT = """pk AS (SELECT user_id::VARCHAR AS sensor_id, event_id, ts,
     sum(gap) OVER (PARTITION BY sensor_id ORDER BY ts, event_id)::BIGINT AS dropped FROM g""",
 )
 def gaps(spark, folder):
-    rows = P.packet_gaps(_packets(spark, folder), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60_000_000), ["ts", "event_id"])
+    rows = P.packet_gaps(_packets(spark, folder), ["ts", "event_id"])
     return rows.select("sensor_id", "event_id", "seq", "gap", "dropped")
 
 
@@ -178,7 +178,7 @@ def gaps(spark, folder):
   SELECT sensor_id, event_id, late, gap, sum(gap) OVER (PARTITION BY sensor_id ORDER BY ts, event_id)::BIGINT AS dropped FROM g""",
 )
 def losses(spark, folder):
-    rows = P.packet_loss(_packets(spark, folder), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60_000_000), ["ts", "event_id"])
+    rows = P.packet_loss(_packets(spark, folder), ["ts", "event_id"])
     return rows.select("sensor_id", "event_id", "late", "gap", "dropped")
 
 
@@ -266,6 +266,28 @@ def decoded_packets(spark, folder):
     )
 
 
+@query(
+    "raw_float_decoding",
+    """SELECT event_id, 1 + ((event_id * 31) % 8388608) / 8388608.0::DOUBLE AS first,
+    1 + ((event_id * 31 + 7) % 8388608) / 8388608.0::DOUBLE AS second FROM events""",
+)
+def raw_floats(spark, folder):
+    """Floats from 1 to 2: sign and exponent are fixed, the 23 low bits count."""
+    from wavelark.functions.sql import decode_float32
+
+    event = F.col("event_id")
+
+    def low_first(bits):
+        word = F.lpad(F.hex(bits), 8, "0")
+        return F.concat(*[F.substring(word, at, 2) for at in (7, 5, 3, 1)])
+
+    body = F.concat(*[low_first((event * 31 + j * 7) % 8388608 + 0x3F800000) for j in range(2)])
+    rows = A.table(spark, folder, "events").select("event_id", decode_float32(F.unhex(body)).alias("s"))
+    return rows.select(
+        "event_id", F.col("s")[0].cast("double").alias("first"), F.col("s")[1].cast("double").alias("second")
+    )
+
+
 @query(
     "raw_chunk_decoding",
     """SELECT event_id, ((event_id * 31) % 65536 - 32768) / 32768.0::DOUBLE AS first,

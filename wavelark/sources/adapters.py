@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavelark.operators.ordered import row_index
+from wavelark.operators.scan import index
 from wavelark.session import materialise
 
 
@@ -44,8 +44,7 @@ def samples_from_events(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events").select(
         F.col("user_id").cast("string").alias("recording_id"), "ts", "event_id", "value", "event_type"
     )
-    minute = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60_000_000)
-    indexed = row_index(events, ["recording_id"], minute, ["ts", "event_id"])
+    indexed = index(events, ["recording_id"], ["ts", "event_id"])
     return indexed.select(
         "recording_id", F.lit(0).alias("channel"), F.lit(1).alias("sr"), "idx", "value", "ts", "event_type"
     )

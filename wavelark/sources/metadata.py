@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavelark.operators.ordered import row_index
+from wavelark.operators.scan import index
 
 # Metadata files tried below a dataset's folder, in this order.
 METADATA_FILES = ("UrbanSound8K.csv", "esc50.csv", "meta.csv", "metadata.csv", "meta/esc50.csv")
@@ -43,6 +43,5 @@ def url_list(spark: SparkSession, path: str) -> DataFrame:
     """URLs of a text file, one per line."""
     base = path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
     lines = spark.read.text(path).withColumn("_place", F.monotonically_increasing_id())
-    split = F.shiftright("_place", 33)  # the upper bits number the file split
-    numbered = row_index(lines, [], split, ["_place"], "line_no")
+    numbered = index(lines, [], ["_place"], "line_no")
     return numbered_urls(numbered.withColumn("line_no", F.col("line_no") + 1), base)
