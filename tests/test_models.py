@@ -212,6 +212,15 @@ def test_projections(spark):
     names = np.array([r.class_name for r in flat.collect()])
     inside = np.mean([z[names == c].var(axis=0).sum() for c in "012"])
     assert z.var(axis=0).sum() > 10 * inside and len(axes) == 2
+    # The axes solve the eigenproblem: between = power * within along each of them.
+    means = np.array([x[np.array(labels) == c].mean(axis=0) for c in sorted(set(labels))])
+    count = np.array([np.sum(np.array(labels) == c) for c in sorted(set(labels))], dtype=float)
+    within = x.T @ x - (means * count[:, None]).T @ means
+    apart = means - x.mean(axis=0)
+    between = (apart * count[:, None]).T @ apart
+    for axis in np.array(axes):
+        power = axis @ between @ axis / (axis @ within @ axis)
+        assert np.allclose(between @ axis, power * (within @ axis), atol=1e-6 * np.abs(between @ axis).max())
 
 
 def test_feature_table_and_model_registry(spark, tmp_path):

@@ -48,6 +48,50 @@ def test_stretch_changes_length_not_pitch(spark, rate):
     assert abs(np.sqrt(np.mean(inner**2)) / np.sqrt(np.mean(x**2)) - 1) < 0.15  # a vocoder loses some phase coherence
 
 
+def _slow_vocoder(x, rate, n_fft, hop):
+    """Phase vocoder of a whole signal, one frame after the other."""
+    n, half = len(x), n_fft // 2
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n_fft) / n_fft)
+    padded = np.concatenate([np.zeros(half), x, np.zeros(n_fft + hop)])
+    spectra = [np.fft.rfft(window * padded[f * hop : f * hop + n_fft]) for f in range(n // hop + 1)]
+    spectra.append(np.zeros(half + 1, dtype=complex))
+    bins = 2 * np.pi * hop * np.arange(half + 1) / n_fft
+    phase, size = np.angle(spectra[0]), round(n / rate)
+    total, weight = np.zeros(size + 4 * n_fft), np.zeros(size + 4 * n_fft)
+    t = 0
+    while t * rate < len(spectra) - 1:
+        low = int(np.floor(t * rate))
+        share = t * rate - low
+        magnitude = (1 - share) * np.abs(spectra[low]) + share * np.abs(spectra[low + 1])
+        frame = np.fft.irfft(magnitude * np.exp(1j * phase), n=n_fft) * window
+        for j in range(n_fft):
+            if 0 <= t * hop - half + j < size:
+                total[t * hop - half + j] += frame[j]
+                weight[t * hop - half + j] += window[j] ** 2
+        turn = np.angle(spectra[low + 1]) - np.angle(spectra[low]) - bins
+        phase = phase + bins + turn - 2 * np.pi * np.round(turn / (2 * np.pi))
+        t += 1
+    return np.where(weight > 1e-8, total / np.maximum(weight, 1e-8), total)[:size]
+
+
+@pytest.mark.parametrize("rate", [0.8, 1.3])
+def test_stretch_frame_by_frame(spark, rate):
+    """The blocks' phases, summed along the recording, give the samples of a plain vocoder."""
+    rng = np.random.default_rng(3)
+    signals = {"long": rng.normal(size=1500), "short": rng.normal(size=9), "tone": tone(50, 1.0, 700)}
+    out = V.time_stretch(make_signals(spark, signals, sr=700, chunk=400, halo=400), rate, 16, 4)
+    for name, x in signals.items():
+        assert np.allclose(assemble(out, name), _slow_vocoder(x, rate, 16, 4), atol=1e-6), name
+
+
+def test_shift_frame_by_frame(spark):
+    x = np.random.default_rng(4).normal(size=900)
+    out = assemble(V.pitch_shift(make_signals(spark, {"a": x}, sr=700, chunk=400, halo=400), 2.0, 16, 4), "a")
+    rate = 2.0 ** (-2.0 / 12)
+    slow = _slow_vocoder(x, rate, 16, 4)
+    assert np.allclose(out, np.interp(np.arange(len(x)) / rate, np.arange(len(slow)), slow), atol=1e-6)
+
+
 @pytest.mark.parametrize("semitones", [-2.0, 1.0])
 def test_pitch_shift_keeps_length(spark, semitones):
     x = tone(1000, 6.0)

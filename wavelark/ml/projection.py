@@ -23,37 +23,45 @@ def pca(df: DataFrame, k: int) -> tuple[DataFrame, list[float], list[list[float]
 def lda(df: DataFrame, k: int) -> tuple[DataFrame, list[list[float]]]:
     """Project onto the directions that separate classes best.
 
-    Counts, sums and products per class are added up on the executors; the
-    driver solves one eigenproblem of the size of the feature vector.
+    Counts and means per class and one product matrix of all rows are added up
+    on the executors, the matrix row by row; the driver solves one eigenproblem
+    of the size of the feature vector.
     """
 
     def partial(batches):
+        products = None
         for batch in batches:
+            x = matrix(batch["features"])
+            products = x.T @ x if products is None else products + x.T @ x
             for name, part in batch.groupby("class_name"):
-                x = matrix(part["features"])
-                yield pd.DataFrame(
-                    {"class_name": [name], "n": [len(x)], "s": [x.sum(axis=0)], "q": [(x.T @ x).ravel()]}
-                )
+                own = matrix(part["features"])
+                yield pd.DataFrame({"class_name": [name], "i": [-1], "n": [len(own)], "v": [own.sum(axis=0)]})
+        if products is not None:
+            i = np.arange(len(products))
+            yield pd.DataFrame({"class_name": None, "i": i, "n": 0, "v": list(products)})
 
-    sums = df.select("class_name", "features").mapInPandas(
-        partial, "class_name string, n long, s array<double>, q array<double>"
-    )
-    long = sums.select("class_name", "n", F.posexplode(F.concat("s", "q")).alias("pos", "v"))
-    per_class = long.groupBy("class_name", "pos").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
-    table = per_class.groupBy("class_name").agg(
+    known = df.filter(F.col("class_name").isNotNull()).select("class_name", "features")
+    sums = known.mapInPandas(partial, "class_name string, i int, n long, v array<double>")
+    long = sums.select("class_name", "i", "n", F.posexplode("v").alias("pos", "v"))
+    added = long.groupBy("class_name", "i", "pos").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+    table = added.groupBy("class_name", "i").agg(
         F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("v"), F.max("n").alias("n")
-    ).collect()  # per class: one sum vector and one product matrix
-    dim = int((-1 + np.sqrt(1 + 4 * len(table[0]["v"]))) / 2)
-    n = np.array([r["n"] for r in table], dtype=float)
-    values = np.array([[e["v"] for e in r["v"]] for r in table])
-    means = values[:, :dim] / n[:, None]
-    within = sum(v[dim:].reshape(dim, dim) - c * np.outer(m, m) for v, c, m in zip(values, n, means))
-    middle = (values[:, :dim].sum(axis=0)) / n.sum()
-    between = sum(c * np.outer(m - middle, m - middle) for c, m in zip(n, means))
+    ).collect()  # a mean per class and a row per feature
+    classes = sorted((r for r in table if r.i < 0), key=lambda r: r.class_name)
+    n = np.array([r.n for r in classes], dtype=float)
+    values = np.array([[e["v"] for e in r.v] for r in classes])
+    products = np.array([[e["v"] for e in r.v] for r in sorted((r for r in table if r.i >= 0), key=lambda r: r.i)])
+    dim = len(products)
+    means = values / n[:, None]
+    within = products - (means * n[:, None]).T @ means
+    within = (within + within.T) / 2
+    middle = values.sum(axis=0) / n.sum()
+    apart = means - middle
+    between = (apart * n[:, None]).T @ apart
     ridge = within + np.eye(dim) * 1e-9 * max(np.trace(within) / dim, 1e-12)
     root = np.linalg.inv(np.linalg.cholesky(ridge))
     power, directions = np.linalg.eigh(root @ between @ root.T)
-    axes = root.T @ directions[:, np.argsort(power)[::-1][: min(k, len(table) - 1)]]
+    axes = root.T @ directions[:, np.argsort(power)[::-1][: min(k, len(classes) - 1)]]
 
     @F.pandas_udf("array<double>")
     def project(features: pd.Series) -> pd.Series:

@@ -290,6 +290,43 @@ def open_gate(spark, folder):
     return _values(X.reduce_noise(signals, prop_decrease=0.0, n_fft=16, hop=4))
 
 
+# Centred frames of 16 with hop 4, periodic Hann, nine bins; direct Fourier sums both ways.
+EV_GATE = """WITH s AS (SELECT user_id::VARCHAR AS r, value AS x, count(*) OVER (PARTITION BY user_id) AS n,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events),
+fr AS (SELECT r, i, x, (i + 8) // 4 - d AS f, i - 4 * ((i + 8) // 4 - d) + 8 AS j FROM s, range(4) t(d)
+  WHERE (i + 8) // 4 - d BETWEEN 0 AND n // 4),
+win AS (SELECT *, 0.5 - 0.5 * cos(2 * pi() * j / 16) AS w FROM fr),
+sp AS (SELECT r, f, k, sum(x * w * cos(2 * pi() * k * j / 16)) AS re, -sum(x * w * sin(2 * pi() * k * j / 16)) AS im
+  FROM win, range(9) t(k) GROUP BY ALL),
+db AS (SELECT *, 20 * log10(sqrt(re * re + im * im) + 1e-10) AS level FROM sp),
+lim AS (SELECT r, k, avg(level) + 1.5 * sqrt(greatest(avg(level * level) - avg(level) * avg(level), 0)) AS usual FROM db GROUP BY ALL),
+loud AS (SELECT r, f, k, CASE WHEN level > usual THEN re ELSE 0 END AS re, CASE WHEN level > usual THEN im ELSE 0 END AS im
+  FROM db JOIN lim USING (r, k)),
+back AS (SELECT r, i, f, any_value(w) AS w, sum(CASE WHEN k IN (0, 8) THEN re * cos(2 * pi() * k * j / 16)
+  ELSE 2 * (re * cos(2 * pi() * k * j / 16) - im * sin(2 * pi() * k * j / 16)) END) / 16 AS y
+  FROM win JOIN loud USING (r, f) GROUP BY r, i, f)
+SELECT r AS recording_id, i AS idx, round(CASE WHEN sum(w * w) > 1e-8 THEN sum(y * w) / sum(w * w) ELSE sum(y * w) END, 5) + 0.0 AS value
+FROM back GROUP BY r, i"""
+
+
+@query("noise_gate_closed", EV_GATE)
+def closed_gate(spark, folder):
+    """The gate at its defaults: bins not above their usual level are taken away."""
+    return _values(X.reduce_noise(A.signals_from_events(spark, folder, 4096, 2048), n_fft=16, hop=4))
+
+
+@query("time_stretched")
+def stretched_values(spark, folder):
+    """Samples at rate 0.8; tests/test_transforms.py follows the vocoder frame by frame."""
+    return _values(V.time_stretch(A.signals_from_events(spark, folder, 4096, 2048), 0.8, 16, 4))
+
+
+@query("pitch_shifted")
+def shifted_values(spark, folder):
+    """Samples two semitones up; tested as ``time_stretched``."""
+    return _values(V.pitch_shift(A.signals_from_events(spark, folder, 4096, 2048), 2.0, 16, 4))
+
+
 def _recursion(sr: float, low: float, high: float, order: int, n: int) -> list[float]:
     """Impulse response of a Butterworth band-pass by its difference equation."""
     w1, w2 = (np.tan(np.pi * f / sr) for f in (low, high))
