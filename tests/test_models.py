@@ -116,6 +116,33 @@ def test_kmeans_fixed_point_and_ward(spark):
     assert K.clusters_found(clustered).first().n_clusters == 3
 
 
+@pytest.mark.parametrize("side", [7, 4096])
+def test_euclidean_silhouette_matches_pairs(spark, monkeypatch, side):
+    from wavelark.ml import silhouettes as S
+    from wavelark.ml import tiles
+
+    monkeypatch.setattr(tiles.compare, "__defaults__", ("recording_id", side))
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 4)) * 6
+    x = np.concatenate([c + rng.normal(size=(n, 4)) for c, n in zip(centres, [1, 2, 5, 9, 14, 3, 8, 20, 4, 6, 7, 11])] + [np.repeat(centres[:1], 3, axis=0) + 9])
+    cluster = np.concatenate([np.repeat(np.arange(12), [1, 2, 5, 9, 14, 3, 8, 20, 4, 6, 7, 11]), [-1, -1, -1]])
+    rows = [(str(i), [float(v) for v in r], int(c)) for i, (r, c) in enumerate(zip(x, cluster))]
+    df = spark.createDataFrame(rows, "recording_id string, features array<double>, cluster int").repartition(3)
+    apart = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    want = {}
+    for i, c in enumerate(cluster):
+        own = (cluster == c) & (np.arange(len(x)) != i)
+        a = apart[i, own].mean() if own.any() else 0.0
+        b = min(apart[i, cluster == o].mean() for o in set(cluster) if o != c)
+        want[str(i)] = (b - a) / max(a, b) if own.any() else 0.0
+    got = {r.recording_id: r.silhouette for r in S.silhouette_euclidean(df).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-7 for k in want)
+    assert {r.silhouette for r in S.silhouette_euclidean(df.withColumn("cluster", F.lit(1))).collect()} == {0.0}
+    plain = df.select(F.monotonically_increasing_id().alias("_id"), "cluster", "features").cache()
+    kept = S.nearest_candidates(plain, S._moments(plain)).count()
+    assert kept < 0.5 * len(x) * 12  # most clusters are excluded by their bounds
+
+
 def test_silhouette_matches_pairs(spark):
     x, labels = blobs(20, 3, spread=1.5)
     df = table(spark, x).withColumn("cluster", (F.substring("recording_id", 2, 5).cast("int") / 20).cast("int"))

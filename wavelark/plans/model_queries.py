@@ -230,6 +230,21 @@ def silhouette(spark, folder):
     return K.silhouette(rows).select("recording_id", rounded("silhouette").alias("silhouette"))
 
 
+@query(
+    "silhouette_euclidean",
+    f"""WITH {VEC}, d AS (SELECT a.id, a.class_name AS own, b.class_name AS other, b.id AS bid, sqrt(sum(pow(a.x - b.x, 2))) AS d
+    FROM flat a JOIN flat b ON a.i = b.i AND a.id <> b.id GROUP BY ALL),
+  m AS (SELECT id, own, other, avg(d) AS d FROM d GROUP BY ALL),
+  s AS (SELECT id, max(d) FILTER (WHERE own = other) AS a, min(d) FILTER (WHERE own <> other) AS b FROM m GROUP BY id)
+  SELECT id AS recording_id, round((b - a) / greatest(a, b), 6) + 0.0 AS silhouette FROM s""",
+)
+def silhouette_plain(spark, folder):
+    from wavelark.ml.silhouettes import silhouette_euclidean
+
+    rows = _features(spark, folder).withColumn("cluster", F.substring("class_name", 7, 4).cast("int"))
+    return silhouette_euclidean(rows).select("recording_id", rounded("silhouette").alias("silhouette"))
+
+
 EPS, LEAST = 1.15, 4
 
 
