@@ -162,7 +162,8 @@ def prefix(
 
     ``totals`` names new columns as (fold, value) with folds ``sum`` (0 at the
     start), ``max``, ``last`` and ``first`` (null at the start); values are whole
-    numbers or doubles.  Null values add nothing to a sum or a maximum.
+    numbers or doubles.  Null values add nothing to a sum or a maximum.  Names
+    that begin with ``_scan_`` are the scan's own.
     """
     keys, order, names = list(keys), list(order), list(totals)
     folds = [(name, totals[name][0]) for name in names]
@@ -170,22 +171,25 @@ def prefix(
     spread = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
     value = {n: rows.schema[f"_v_{n}"].dataType.simpleString() for n in names}
     more = [f"`_l_{n}` {value[n]}" for n in names] + [f"`_a_{n}` {value[n]}" for n in names]
-    schema = StructType([*rows.schema, *StructType.fromDDL(", ".join([*more, "_part int", "_place long", "_head boolean", "_end boolean"]))])
+    more += ["_scan_part int", "_scan_place long", "_scan_head boolean", "_scan_end boolean"]
+    schema = StructType([*rows.schema, *StructType.fromDDL(", ".join(more))])
     placed = materialise(spread.mapInArrow(_local(keys, folds, schema.names), schema))
 
     # A first and a last row per partition reach the driver.
-    ends = placed.filter((F.col("_place") == 0) | F.col("_end")).select(*keys, *[f"_a_{n}" for n in names], "_part", "_place", "_head", "_end")
+    ends = placed.filter((F.col("_scan_place") == 0) | F.col("_scan_end")).select(
+        *keys, *[f"_a_{n}" for n in names], "_scan_part", "_scan_place", "_scan_head", "_scan_end"
+    )
     offsets, behind, total = [], None, {}
-    for row in sorted(ends.collect(), key=lambda r: (r._part, r._place)):
+    for row in sorted(ends.collect(), key=lambda r: (r._scan_part, r._scan_place)):
         key = tuple(row[k] for k in keys)
-        if row._place == 0:
+        if row._scan_place == 0:
             carried = total if behind == key else {n: FOLDS[how] for n, how in folds}
             goes_on = behind == key
-            offsets.append((row._part, *[carried[n] for n in names], goes_on))
-        if row._end:
+            offsets.append((row._scan_part, *[carried[n] for n in names], goes_on))
+        if row._scan_end:
             own = {n: row[f"_a_{n}"] for n in names}
             # A partition of a single key passes on what came into it.
-            through = row._head and goes_on
+            through = row._scan_head and goes_on
             total = {n: _joined(how, carried[n], own[n]) for n, how in folds} if through else own
             behind = key
     import pyarrow as pa
@@ -193,13 +197,13 @@ def prefix(
     types = [pa.int32(), *[pa.float64() if value[n] == "double" else pa.int64() for n in names], pa.bool_()]
     columns = zip(*offsets, strict=True) if offsets else [[] for _ in types]
     arrays = [pa.array(list(c), t) for c, t in zip(columns, types, strict=True)]
-    carried = df.sparkSession.createDataFrame(pa.table(arrays, names=["_part", *[f"_o_{n}" for n in names], "_on"]))
-    joined = placed.join(F.broadcast(carried), "_part", "left")  # a row per partition
-    into = F.col("_head") & F.col("_on")
+    carried = df.sparkSession.createDataFrame(pa.table(arrays, names=["_scan_part", *[f"_o_{n}" for n in names], "_scan_on"]))
+    joined = placed.join(F.broadcast(carried), "_scan_part", "left")  # a row per partition
+    into = F.col("_scan_head") & F.col("_scan_on")
 
     def whole(name: str, how: str) -> Column:
         here, earlier = F.col(f"_l_{name}"), F.col(f"_o_{name}")
-        at_start = into & (F.col("_place") == 0)
+        at_start = into & (F.col("_scan_place") == 0)
         if how == "sum":
             return F.when(into, here + earlier).otherwise(here)
         if how == "max":

@@ -314,14 +314,15 @@ def kmeans_nearest(spark, folder):
 
     rows = K.kmeans(scale.standardise(_features(spark, folder)), 5).select("recording_id", "cluster", "features")
     mean = vector_to_array(Summarizer.mean(array_to_vector("features")))
-    means = rows.groupBy("cluster").agg(mean.alias("mean")).agg(F.collect_list(F.struct("cluster", "mean")).alias("means"))
+    found = rows.groupBy("cluster").agg(mean.alias("mean")).collect()  # five
+    means = F.array(*[F.struct(F.lit(r.cluster).alias("cluster"), F.array(*map(F.lit, r["mean"])).alias("mean")) for r in found])
     square = lambda m: F.aggregate(
         F.zip_with("features", m["mean"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x
     )
-    off = F.transform("means", lambda m: F.struct(square(m).alias("d"), m["cluster"].alias("cluster")))
+    off = F.transform(means, lambda m: F.struct(square(m).alias("d"), m["cluster"].alias("cluster")))
     own = F.filter(off, lambda m: m["cluster"] == F.col("cluster"))[0]["d"]
     # A centre moves by less than the tolerance of the fit in its last step.
-    return rows.join(means).select("recording_id", (own <= F.array_min(off)["d"] + 1e-2).alias("nearest"))
+    return rows.select("recording_id", (own <= F.array_min(off)["d"] + 1e-2).alias("nearest"))
 
 
 @query(
