@@ -5,6 +5,7 @@ import public_tokenizers
 import test_packing
 import test_pii
 import test_simhash
+from pyspark.sql import functions as F
 from wavelark.llm import packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -80,6 +81,27 @@ def test_empty_table(spark):
     assert follow(spark, docs, "").collect() == []
 
 
+def test_language_stage_uses_the_language(spark):
+    """Most mislabelled texts go; rightly labelled, unlabelled ones and those of labels not learnt stay."""
+    folder = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    long = docs.filter("char_length(text) between 300 and 3000 and lang in ('en', 'fr')").orderBy("doc_id").limit(40).collect()
+    made = []
+    for i, r in enumerate(long):
+        # One text alone has the label xx, so the other half can't learn it.
+        for j, lang in enumerate((r.lang, {"en": "fr", "fr": "en"}[r.lang], None, "xx")[: 3 + (i == 0)]):
+            made.append({**r.asDict(), "doc_id": 10**6 + 5 * i + j, "lang": lang})
+    more = spark.createDataFrame(made, docs.schema)
+    got = {r.doc_id for r in corpus_pipeline.language_stage(spark, docs.unionByName(more), folder).collect()}
+    wrong = {r["doc_id"] for r in made if (r["doc_id"] - 10**6) % 5 == 1}
+    assert len(wrong) == 40 and len(wrong & got) < 20
+    assert {r["doc_id"] for r in made} - wrong <= got
+    letters = {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+    assert letters <= got
+    bare = docs.limit(20).withColumn("lang", F.lit(None).cast("string")).union(spark.createDataFrame([made[0] | {"text": "12 !", "lang": None}], docs.schema))
+    assert corpus_pipeline.language_stage(spark, bare, folder).count() == sum(any(c.isalpha() for c in r.text or "") for r in bare.collect())
+
+
 def test_columns_of_any_name(spark):
     words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
     made = [(i, f"{w} {w}x end{i} other words", "en", "s", 0) for i, w in enumerate(words)]

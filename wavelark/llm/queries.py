@@ -83,14 +83,40 @@ def languages(spark: SparkSession, folder: str) -> DataFrame:
     return language_id(table(spark, folder, "documents"))
 
 
-@query("op10_seekable_warc")
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+d AS (SELECT *, sha1(payload) AS hex, min(page_id) OVER (PARTITION BY payload) AS first FROM p)
+SELECT page_id, octet_length(encode(payload)) AS payload_bytes,
+  list_aggregate([list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + (('0x' || substr(hex, 1 + 5 * g, 5))::BIGINT >> (15 - 5 * k) & 31)::INTEGER, 1) FOR k IN range(4)], 'string_agg', '')
+    FOR g IN range(8)], 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+"""
+
+
+@query("op10_seekable_warc", WARC_SQL)
 def archives(spark: SparkSession, folder: str) -> DataFrame:
     from wavelark.llm.warc import warc_round_trip
 
     return warc_round_trip(table(spark, folder, "pages")).drop("url", "record_id")
 
 
-@query("op6_relative_lempel_ziv_dedup")
+REPEATS_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM t),
+windows AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY array_to_string(w[i : i + 49], ' ')) AS first FROM starts),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM windows WHERE first < doc_id),
+words AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM t),
+kept AS (SELECT words.doc_id, string_agg(x, ' ' ORDER BY words.p) AS text, count(*) AS n
+  FROM words ANTI JOIN gone ON words.doc_id = gone.doc_id AND words.p = gone.p GROUP BY 1)
+SELECT t.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM t LEFT JOIN kept ON t.doc_id = kept.doc_id
+"""
+
+
+@query("op6_relative_lempel_ziv_dedup", REPEATS_SQL)
 def substrings(spark: SparkSession, folder: str) -> DataFrame:
     from wavelark.llm.substring_dedup import substring_dedup
 

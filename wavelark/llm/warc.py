@@ -96,7 +96,7 @@ def parse_record(record: bytes) -> tuple:
 
 
 def _store(address: str):
-    """(file system, path) of an address; a plain path is a local one."""
+    """(file system, path) of an address; a path without a scheme is local, see ``qualified``."""
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(address) if ":/" in address else (fs.LocalFileSystem(), address)
@@ -162,6 +162,7 @@ class BundleReader:
         (length,) = struct.unpack("<I", self._at(end - 4, 4))
         lines = self._unpacked(self._at(end - 4 - length, length)).decode().splitlines()
         self.places = [(own, int(f), int(o), int(s)) for own, f, o, s in (line.split("\t") for line in lines)]
+        self.place_of = {own: place for own, *place in reversed(self.places)}  # the first of equal ids
 
     def _at(self, start: int, length: int) -> bytes:
         self.file.seek(start)
@@ -179,10 +180,8 @@ class BundleReader:
 
     def record(self, own: str) -> bytes:
         """The record with an id, from the one frame that holds it."""
-        for found, number, offset, length in self.places:
-            if found == own:
-                return self.frame(number)[offset : offset + length]
-        raise KeyError(own)
+        number, offset, length = self.place_of[own]
+        return self.frame(number)[offset : offset + length]
 
     def records(self) -> Iterator[bytes]:
         last, data = -1, b""
@@ -192,10 +191,21 @@ class BundleReader:
             yield data[offset : offset + length]
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` on the file system that Spark writes it to, learnt from one written file; local ones stay plain."""
+    if ":/" in folder:
+        return folder
+    place = f"{folder}/place"
+    spark.range(1).coalesce(1).write.mode("overwrite").parquet(place)
+    address = spark.read.parquet(place).inputFiles()[0]
+    return folder if address.startswith("file:") else address[: address.rindex("/place/")]
+
+
 def write_bundles(
     pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0
 ) -> DataFrame:
     """Writes a record per row; (address, frames, records) of every bundle."""
+    folder = qualified(pages.sparkSession, folder)
     payload = text_of(payload_col).cast("binary")
     base = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"),
