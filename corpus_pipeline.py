@@ -7,6 +7,7 @@ the columns of ``documents``; the last returns the packed pieces.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,9 @@ from wavelark.llm import language_id as language
 from wavelark.llm import packing, pii, simhash
 from wavelark.llm.tables import table, written
 
+#: Score from which a predicted language outweighs the label.
+CERTAIN = 0.95
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: Language identification, boosted trees and packing are beyond SQL;
@@ -45,12 +49,27 @@ def _only(marked: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents of a determined language; those without a letter go."""
-    out = F.coalesce(language.held_out("doc_id"), F.lit(False))
-    model = language.fit(language.training_sample(docs, ~out, "doc_id", "text", "lang"))
-    named = language.predict(_packed(docs), model)
-    kept = named if model is None else named.filter(F.col("lang_pred") != language.UNDETERMINED)
-    return kept.select("_row.*")
+    """Drops texts without a letter and texts surely of another learnt language than their label.
+
+    Texts fall by hash into two halves, and each is judged by the model fitted
+    on the other, so no label speaks for itself or for its copies.  Surely means
+    a score of ``CERTAIN`` or more.  Texts without a label, or with one that was
+    not learnt, can't contradict it and stay.
+    """
+    return reduce(DataFrame.unionByName, [_agreeing(docs, half) for half in (0, 1)])
+
+
+def _agreeing(docs: DataFrame, half: int) -> DataFrame:
+    """The rows of one half that the other half's model lets stay."""
+    own = F.pmod(F.xxhash64("text"), F.lit(2)) == half
+    model = language.fit(language.training_sample(docs, ~own, "doc_id", "text", "lang"))
+    if model is None:
+        return docs.filter(own & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    named = language.predict(_packed(docs.filter(own)), model)
+    label = F.col("_row.lang").cast("string")
+    other = label.isin(model.languages) & (F.col("lang_pred") != label) & (F.col("score") >= CERTAIN)
+    kept = (F.col("lang_pred") != language.UNDETERMINED) & ~F.coalesce(other, F.lit(False))
+    return named.filter(kept).select("_row.*")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
