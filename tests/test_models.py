@@ -304,3 +304,76 @@ def test_ensemble_of_fitted_models(spark):
     assert len(hits) >= 27 and sum(hits) / len(hits) > 0.9
     sums = model.votes(predicted).groupBy("recording_id").agg(F.sum("p").alias("p")).collect()
     assert all(r.p == pytest.approx(1) for r in sums)
+
+
+def _replay(x, merges):
+    """Cheapest and paid cost of each merge, replayed one by one over all pairs."""
+    at = {name: (1, p) for name, p in x.items()}
+    for m in merges:
+        names = list(at)
+        n = np.array([at[c][0] for c in names], dtype=float)
+        c = np.array([at[c][1] for c in names])
+        cost = ((c[:, None] - c[None]) ** 2).sum(axis=2) * n[:, None] * n[None] / (n[:, None] + n[None])
+        np.fill_diagonal(cost, np.inf)
+        yield cost.min(), cost[names.index(m.left), names.index(m.right)]
+        (a, p), (b, q) = at[m.left], at.pop(m.right)
+        at[m.left] = (a + b, (a * p + b * q) / (a + b))
+    assert len(at) == min(len(x), 1)
+
+
+@pytest.mark.parametrize("finish, side", [(8, 40), (60, 4096)])
+def test_ward_merges_are_the_cheapest_ones_with_ties_and_copies(spark, finish, side):
+    from wavelark.ml.hierarchy import ward_merges
+
+    grid = np.array([(i, j) for i in range(9) for j in range(9)], dtype=float)
+    x = np.vstack([grid, np.repeat(grid[:1], 20, axis=0), np.random.default_rng(3).normal(5, 3, size=(30, 2))])
+    df = table(spark, x)
+    merges = sorted(ward_merges(df, finish, side).collect(), key=lambda m: (m.height, m.step, m.left, m.right))
+    assert len(merges) == len(x) - 1 and len({m.right for m in merges}) == len(merges)
+    points = {r.recording_id: np.array(r.features) for r in df.collect()}
+    for least, paid in _replay(points, merges):
+        assert paid <= least + 1e-9
+    assert sum(m.cost for m in merges) == pytest.approx(((x - x.mean(axis=0)) ** 2).sum())
+
+
+def test_ward_partition_equals_brute_force(spark):
+    from wavelark.ml.hierarchy import ward_clusters, ward_merges
+
+    x = np.random.default_rng(8).normal(size=(500, 6))
+    df = table(spark, x)
+    for k, finish in ((2, 2048), (20, 150)):
+        got = {r.recording_id: r.cluster for r in ward_clusters(df, k, finish, 200).collect()}
+        want = K.ward(x, np.ones(len(x)), k)
+        assert len(set(got.values())) == k
+        assert len({(got[f"r{i:05d}"], w) for i, w in enumerate(want)}) == k
+    one = table(spark, x[:1])
+    assert ward_merges(one).count() == 0 and ward_merges(one.limit(0)).count() == 0
+    assert [r.cluster for r in ward_clusters(one, 3).collect()] == [0]
+    assert ward_clusters(one.limit(0), 3).count() == 0
+
+
+def test_one_class_fit_ends_by_its_gap_and_agrees_with_an_exact_solver(spark):
+    rng = np.random.default_rng(11)
+    x = np.vstack([rng.normal(size=(380, 3)), rng.normal(scale=4, size=(20, 3))])
+    nu = 0.1
+    model = N.fit_one_class_svm(table(spark, x), nu=nu, tolerance=1e-4)
+    assert model["gap"] <= 1e-4
+    z = N._fourier(x, model)
+    gram, cap = z @ z.T, 1 / (nu * len(x))
+    a = np.full(len(x), 1 / len(x))
+    for _ in range(200000):  # moves of weight between the two worst placed rows
+        m = gram @ a if _ % 1000 == 0 else m
+        i = np.where(a < cap - 1e-15, m, np.inf).argmin()
+        j = np.where(a > 1e-15, m, -np.inf).argmax()
+        if m[j] - m[i] < 1e-9:
+            break
+        step = min((m[j] - m[i]) / max(gram[i, i] + gram[j, j] - 2 * gram[i, j], 1e-12), cap - a[i], a[j])
+        a[i], a[j] = a[i] + step, a[j] - step
+        m = m + step * (gram[:, i] - gram[:, j])
+    exact = a @ gram @ a
+    length = model["weights"] @ model["weights"]
+    assert exact <= length * (1 + 1e-9) and length - exact <= 1.1e-4 * length
+    ours = z @ model["weights"] < model["rho"]
+    margin = gram @ a
+    theirs = margin < np.quantile(margin, nu)
+    assert (ours != theirs).mean() <= 0.01

@@ -277,6 +277,29 @@ def hierarchical(spark, folder):
     return rows.select("recording_id", "cluster", F.round("lost", 4).alias("lost"))
 
 
+@query("ward_clusters")
+def ward_exact(spark, folder):
+    from wavelark.ml.hierarchy import ward_clusters
+
+    return ward_clusters(scale.standardise(_features(spark, folder)), 5).select("recording_id", "cluster")
+
+
+@query(
+    "ward_merge_totals",
+    f"""WITH {VEC}, near AS (SELECT a.id, min(d) AS d FROM (SELECT a.id, b.id AS other, sum(pow(a.x - b.x, 2)) / 2 AS d
+    FROM flat a JOIN flat b ON a.i = b.i AND a.id < b.id GROUP BY ALL) a GROUP BY a.id)
+  SELECT (SELECT count(*) - 1 FROM vec) AS merges, (SELECT round(min(d), 6) FROM near) AS least,
+    (SELECT round(sum(s), 6) FROM (SELECT var_pop(x) * count(*) AS s FROM flat GROUP BY i)) AS total""",
+)
+def ward_totals(spark, folder):
+    """All merges together cost the whole sum of squares; the cheapest joins the two nearest rows."""
+    from wavelark.ml.hierarchy import ward_merges
+
+    return ward_merges(_features(spark, folder)).agg(
+        F.count(F.lit(1)).alias("merges"), F.round(F.min("cost"), 6).alias("least"), F.round(F.sum("cost"), 6).alias("total")
+    )
+
+
 @query("bisecting_clusters")
 def bisecting(spark, folder):
     rows = K.bisecting(scale.standardise(_features(spark, folder)), 5)
