@@ -375,5 +375,6 @@ def test_one_class_fit_ends_by_its_gap_and_agrees_with_an_exact_solver(spark):
     assert exact <= length * (1 + 1e-9) and length - exact <= 1.1e-4 * length
     ours = z @ model["weights"] < model["rho"]
     margin = gram @ a
-    theirs = margin < np.quantile(margin, nu)
-    assert (ours != theirs).mean() <= 0.01
+    free = (a > 1e-9) & (a < cap - 1e-9)  # these lie on the boundary itself, on neither side
+    theirs = margin < margin[free].mean()
+    assert not ((ours != theirs) & ~free).any()
