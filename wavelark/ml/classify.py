@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavelark.ml import metrics as M
+from wavelark.ml.forest import SMALL, fit_forest
 from wavelark.ml.knn import knn_classify, knn_votes
 from wavelark.ml.scale import Scaler, fit_scaler
 from wavelark.ml.tiles import matrix
@@ -173,11 +174,18 @@ def train(
         stages += [margins, calibrate]
     else:
         raise ValueError(f"unknown model type {model_type!r}")
-    data = data.select("class_name", "vector").persist()  # read by every iteration
+    deep = model_type == "random_forest" and n > SMALL
+    data = data.select("class_name", "vector", *["recording_id"] * deep).persist()  # read by every iteration
     try:
         labels_first = Pipeline(stages=stages[:1]).fit(data)
         labels = list(labels_first.stages[0].labels)
-        fitted = Pipeline(stages=stages[1:]).fit(labels_first.transform(data))
+        labelled = labels_first.transform(data)
+        if deep and len(labels) > 1:
+            before = Pipeline(stages=stages[1:-1]).fit(labelled)
+            forest = fit_forest(before.transform(labelled), stages[-1], len(labels))
+            fitted = PipelineModel([*before.stages, forest])
+        else:
+            fitted = Pipeline(stages=stages[1:]).fit(labelled)
     finally:
         data.unpersist()
     model = Classifier(fitted, labels, kernel)
