@@ -81,6 +81,26 @@ def _components(close: np.ndarray) -> np.ndarray:
     return label
 
 
+def _spanning(edges: pd.DataFrame) -> pd.DataFrame:
+    """One edge from each name to the least of its component, in place of many."""
+    if len(edges) == 0:
+        return edges
+    names, place = np.unique(np.concatenate([edges["a"], edges["b"]]).astype(str), return_inverse=True)
+    a, b = place.reshape(2, -1)
+    least = np.arange(len(names))
+    while True:
+        before = least.copy()
+        low = np.minimum(least[a], least[b])
+        for end in (a, b):
+            np.minimum.at(least, least[end], low)
+            np.minimum.at(least, end, low)
+        least = least[least]
+        if (least == before).all():
+            break
+    moved = least != np.arange(len(names))
+    return pd.DataFrame({"a": names[moved].astype(object), "b": names[least[moved]].astype(object)})
+
+
 def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Smallest node id of every node's component (columns id, root).
 
@@ -139,7 +159,8 @@ def dbscan(df: DataFrame, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
         return pd.DataFrame({"recording_id": a["recording_id"], "n": near})
 
     counts = compare(
-        _home(points, axes, eps), _visiting(points, axes, eps), weigh, "recording_id string, n long"
+        _home(points, axes, eps), _visiting(points, axes, eps), weigh, "recording_id string, n long",
+        merge=lambda found: found.groupby("recording_id", as_index=False)["n"].sum(),
     ).groupBy("recording_id").agg(F.sum("n").alias("n"))
     flagged = materialise(points.join(counts, "recording_id").withColumn("core", F.col("n") >= min_samples))
     cores = flagged.filter("core").select("recording_id", "features")
@@ -154,7 +175,7 @@ def dbscan(df: DataFrame, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
         part["b"] = part.groupby("c")["a"].transform("min")
         return part.loc[part["a"] != part["b"], ["a", "b"]]
 
-    edges = compare(_home(cores, axes, eps), _visiting(cores, axes, eps), span, "a string, b string")
+    edges = compare(_home(cores, axes, eps), _visiting(cores, axes, eps), span, "a string, b string", merge=_spanning)
     roots = connected_components(edges, cores.select(F.col("recording_id").alias("id")))
     firsts = roots.select("root").distinct()
     # Range partitions of the roots are buckets whatever the ids look like; written, as their borders are sampled.
@@ -173,7 +194,8 @@ def dbscan(df: DataFrame, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
         return pd.DataFrame({"recording_id": a["recording_id"][found], "cluster": near[found]})
 
     borders = compare(
-        _home(others, axes, eps), _visiting(core_points, axes, eps), attach, "recording_id string, cluster long"
+        _home(others, axes, eps), _visiting(core_points, axes, eps), attach, "recording_id string, cluster long",
+        merge=lambda found: found.groupby("recording_id", as_index=False)["cluster"].min(),
     ).groupBy("recording_id").agg(F.min("cluster").alias("cluster"))
     assigned = labelled.unionByName(borders).join(flagged.select("recording_id", "features", "core"), "recording_id", "right")
     by_value = assigned.select(

@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavelark.ml.dbscan import connected_components
-from wavelark.ml.tiles import SIDE, compare, matrix, squares_with_error
+from wavelark.ml.tiles import SIDE, compare, matrix
 from wavelark.session import materialise
 
 #: Rows of a tile whose candidates are ranked together.
-STRIP = 256
+STRIP = 64
 #: Odd multiplier that spreads the hash of a pair.
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 MERGE = "step int, left string, right string, size long, cost double, height double"
@@ -48,21 +48,33 @@ def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
     own, their = a["id"].to_numpy(), b["id"].to_numpy()
     hash_a, hash_b = a["h"].to_numpy().view(np.uint64), b["h"].to_numpy().view(np.uint64)
     n, m = a["n"].to_numpy(dtype=float), b["n"].to_numpy(dtype=float)
+    middle = other.mean(axis=0)
+    x, y = mine - middle, other - middle
+    square_x, square_y = (x**2).sum(axis=1), (y**2).sum(axis=1)
+    # One product gives all squared distances, each off by at most ``error``.
+    error = 8 * np.finfo(float).eps * (x.shape[1] + 6) * (square_x + square_y.max())
+    x = np.column_stack([-2 * x, square_x, np.ones(len(x))])
+    y = np.column_stack([y, np.ones(len(y)), square_y]).T.copy()
+    mutual = np.isin(hash_a, hash_b)
+    paid, inverse = np.empty((STRIP, len(b))), np.empty((STRIP, len(b)))
     for at in range(0, len(a), STRIP):
         part = slice(at, at + STRIP)
-        square, error = squares_with_error(mine[part], other)
-        weight = n[part, None] * m[None, :] / (n[part, None] + m[None, :])
-        low, high = weight * (square - error[:, None]), weight * (square + error[:, None])
-        same = np.nonzero(hash_a[part, None] == hash_b[None, :])
-        self = own[part][same[0]] == their[same[1]]
-        low[same[0][self], same[1][self]] = high[same[0][self], same[1][self]] = np.inf
-        least = high.min(axis=1, keepdims=True)
-        row, column = np.nonzero((low <= least) & np.isfinite(low))
+        size = len(n[part])
+        cost = np.matmul(x[part], y, out=paid[:size])
+        cost /= np.add.outer(1 / n[part], 1 / m, out=inverse[:size])
+        for line in np.flatnonzero(mutual[part]):
+            same = np.flatnonzero(hash_b == hash_a[at + line])
+            cost[line, same[their[same] == own[at + line]]] = np.inf
+        # A weight is at most the row's own size.
+        least = cost.min(axis=1)
+        least = least + 2 * error[part] * n[part] + 1e-14 * np.abs(least)
+        row, column = np.nonzero((cost <= least[:, None]) & np.isfinite(cost) if mutual[part].any() else cost <= least[:, None])
+        weight = n[part][row] * m[column] / (n[part][row] + m[column])
         gap = np.concatenate([
             ((mine[part][row[i : i + 65536]] - other[column[i : i + 65536]]) ** 2).sum(axis=1)
             for i in range(0, len(row), 65536)
         ]) if len(row) else np.zeros(0)
-        cost = gap * weight[row, column]
+        cost = gap * weight
         tie = (((hash_a[part][row] ^ hash_b[column]) * SPREAD) >> np.uint64(1)).astype(np.int64)
         order = np.lexsort((tie, cost, row))
         order = order[np.unique(row[order], return_index=True)[1]]
@@ -72,10 +84,17 @@ def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(found[1:], ignore_index=True)
 
 
+def _cheapest(found: pd.DataFrame) -> pd.DataFrame:
+    """The best row of ``nearest`` for each id, in the order of ``_round``."""
+    ends = np.sort(found[["id", "other"]].to_numpy(dtype=str), axis=1)
+    order = np.lexsort((ends[:, 1], ends[:, 0], found["tie"].astype(np.int64), found["cost"].astype(float)))
+    return found.iloc[order].drop_duplicates("id")
+
+
 def _round(state: DataFrame, side: int) -> DataFrame:
     """The clusters after merging all reciprocal pairs; ``right`` and ``cost`` tell what was merged."""
     cells = state.select("id", F.xxhash64("id").alias("h"), "n", "centre", F.lit(0).alias("cell"))
-    near = compare(cells, cells, nearest, "id string, other string, cost double, tie long", key="id", side=side)
+    near = compare(cells, cells, nearest, "id string, other string, cost double, tie long", key="id", side=side, merge=_cheapest)
     best = near.groupBy("id").agg(F.min(F.struct("cost", "tie", F.least("id", "other"), F.greatest("id", "other"))).alias("p"))
     pairs = best.groupBy(F.col("p.col3").alias("left"), F.col("p.col4").alias("other")).agg(
         F.count(F.lit(1)).alias("sides"), F.min("p.cost").alias("cost")

@@ -20,6 +20,8 @@ from wavelark.session import materialise
 
 # Pivots grow with the square root of the training rows between these.
 PIVOTS, MOST_PIVOTS = 64, 1024
+#: Cells a training row may visit on average; beyond that the pivots don't separate and all rows share one cell.
+VISITS = 16
 
 
 def choose_pivots(train: DataFrame, n: int = PIVOTS, seed: int = 42) -> np.ndarray:
@@ -28,16 +30,14 @@ def choose_pivots(train: DataFrame, n: int = PIVOTS, seed: int = 42) -> np.ndarr
     return np.array([r["features"] for r in rows.select("features").collect()], dtype=float)
 
 
-def with_pivot(df: DataFrame, pivots: np.ndarray, all_distances: bool = False) -> DataFrame:
-    """Add the nearest pivot, the distance to it and, if asked, to every pivot."""
+def with_pivot(df: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Add the nearest pivot and the distance to it."""
 
-    @F.pandas_udf("pivot int, to_pivot double, to_all array<double>")
+    @F.pandas_udf("pivot int, to_pivot double")
     def nearest(features: pd.Series) -> pd.DataFrame:
         d = exact_distances(matrix(features), pivots)
         best = d.argmin(axis=1)
-        return pd.DataFrame(
-            {"pivot": best, "to_pivot": d[np.arange(len(d)), best], "to_all": list(d) if all_distances else [None] * len(d)}
-        )
+        return pd.DataFrame({"pivot": best, "to_pivot": d[np.arange(len(d)), best]})
 
     return df.withColumn("_p", nearest("features")).select("*", "_p.*").drop("_p")
 
@@ -51,7 +51,7 @@ def neighbours(train: DataFrame, test: DataFrame, k: int = 5) -> DataFrame:
     # Read several times and dear to make: written once.
     train = materialise(train.select("recording_id", "class_name", "features"))
     pivots = choose_pivots(train, int(min(MOST_PIVOTS, max(PIVOTS, train.count() ** 0.5))))
-    near_train = materialise(with_pivot(train, pivots, True))
+    near_train = materialise(with_pivot(train, pivots))
     near_test = materialise(with_pivot(test.select("recording_id", "features"), pivots))
 
     # Bounds: at most k distances per pivot and one radius per test cell.
@@ -66,12 +66,18 @@ def neighbours(train: DataFrame, test: DataFrame, k: int = 5) -> DataFrame:
         for i in range(len(pivots))
     ]
     # A little slack keeps rounding from excluding a neighbour on the border.
-    limits = F.array(*[F.lit(float(x) * (1 + 1e-9) + 1e-9) if x >= 0 else F.lit(-1.0) for x in reach])
-    cells = F.filter(
-        F.transform("to_all", lambda d, i: F.when(d <= F.get(limits, i), i)), lambda i: i.isNotNull()
-    )
-    right = near_train.select("recording_id", "class_name", "features", F.explode(cells).alias("cell"))
-    left = near_test.select("recording_id", "features", F.col("pivot").alias("cell"))
+    limits = np.array([x * (1 + 1e-9) + 1e-9 if x >= 0 else -1.0 for x in reach])
+
+    @F.pandas_udf("array<int>")
+    def reached(features: pd.Series) -> pd.Series:
+        within = exact_distances(matrix(features), pivots) <= limits
+        return pd.Series([np.flatnonzero(row).astype(np.int32) for row in within])
+
+    rows = near_train.select("recording_id", "class_name", "features")
+    visits, n = near_train.agg(F.sum(F.size(reached("features"))), F.count(F.lit(1))).first()
+    apart = (visits or 0) <= VISITS * n
+    right = rows.withColumn("cell", F.explode(reached("features")) if apart else F.lit(0))
+    left = near_test.select("recording_id", "features", (F.col("pivot") if apart else F.lit(0)).alias("cell"))
 
     def closest_in_tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         names = ["recording_id", "neighbour", "class_name", "distance"]
@@ -92,8 +98,11 @@ def neighbours(train: DataFrame, test: DataFrame, k: int = 5) -> DataFrame:
         ids, other = a["recording_id"].to_numpy(), b["recording_id"].to_numpy()
         return pd.DataFrame(dict(zip(names, (ids[rows], other[columns], b["class_name"].to_numpy()[columns], d))))
 
+    def closest(found: pd.DataFrame) -> pd.DataFrame:
+        return found.sort_values(["recording_id", "distance", "neighbour"]).groupby("recording_id", sort=False).head(k)
+
     found = compare(
-        left, right, closest_in_tile, "recording_id string, neighbour string, class_name string, distance double"
+        left, right, closest_in_tile, "recording_id string, neighbour string, class_name string, distance double", merge=closest
     )
     order = Window.partitionBy("recording_id").orderBy("distance", "neighbour")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

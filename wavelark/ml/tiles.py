@@ -1,8 +1,11 @@
 """Compare two tables tile by tile inside matching cells.
 
 Every cell is cut into tiles of bounded size on both sides, so a cell holding a
-third of the data becomes many tasks.  A tile function sees the rows of both
-sides as arrays and returns per-row results, never pairs.
+third of the data becomes many tasks.  Tiles grow with the work until there are
+about ``GROUPS`` of them, up to ``LARGEST`` rows a side, so that the copies of a
+row that are shuffled don't grow with the table; a tile is then compared block by
+block.  A tile function sees the rows of both sides as arrays and returns per-row
+results, never pairs.
 """
 
 from __future__ import annotations
@@ -14,7 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SIDE = 4096
+#: Rows a side of a block compared at once; tiles aimed at; rows a side of the largest tile.
+SIDE, GROUPS, LARGEST = 4096, 128, 1 << 17
 
 
 def _sides(df: DataFrame, counts: DataFrame, other: DataFrame, mine: str, theirs: str, key: str) -> DataFrame:
@@ -30,24 +34,41 @@ def _sides(df: DataFrame, counts: DataFrame, other: DataFrame, mine: str, theirs
 
 def compare(
     left: DataFrame, right: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str,
-    key: str = "recording_id", side: int = SIDE,
+    key: str = "recording_id", side: int = SIDE, merge: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
 ) -> DataFrame:
-    """Apply ``run(left_rows, right_rows)`` to every tile of every shared cell.
+    """Apply ``run(left_rows, right_rows)`` to every block of every tile of every shared cell.
 
     Both tables have a ``cell``.  ``run`` must return a frame matching
-    ``schema``; results of several tiles are combined by the caller.
+    ``schema``; results of several blocks are combined by the caller.  ``merge``
+    may combine those of some left rows within a tile beforehand.
     """
 
-    def parts(df: DataFrame, name: str) -> DataFrame:
-        size = F.ceil(F.count(F.lit(1)) / side).cast("long")
-        return df.groupBy("cell").agg(size.alias(f"_n_{name}"))
+    def sizes(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("cell").agg(F.count(F.lit(1)).alias(f"_n_{name}"))
 
-    in_left, in_right = parts(left, "l"), parts(right, "r")
+    def parts(counted: DataFrame, name: str) -> DataFrame:
+        return counted.withColumn(f"_n_{name}", F.ceil(F.col(f"_n_{name}") / extent).cast("long"))
+
+    in_left, in_right = sizes(left, "l"), sizes(right, "r")
+    pairs = in_left.join(in_right, "cell").agg(F.sum(F.col("_n_l").cast("double") * F.col("_n_r")).alias("n")).first()["n"]
+    extent = int(max(side, min(LARGEST, ((pairs or 0) / GROUPS) ** 0.5)))
+    in_left, in_right = parts(in_left, "l"), parts(in_right, "r")
     a = _sides(left, in_left, in_right, "l", "r", key)
     b = _sides(right, in_right, in_left, "r", "l", key)
     b = b.select(*[F.col(c).alias(c) for c in b.columns])  # own identity, should both sides share a table
     keys = ["cell", "_l", "_r"]
-    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(run, schema)
+
+    def blocks(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if len(a) <= side and len(b) <= side:
+            return run(a, b)
+        cut = lambda df: [df.iloc[at : at + side].reset_index(drop=True) for at in range(0, len(df), side)] or [df]
+        found, right_blocks = [], cut(b)
+        for x in cut(a):
+            own = pd.concat([run(x, y) for y in right_blocks], ignore_index=True)
+            found.append(own if merge is None else merge(own))
+        return pd.concat(found, ignore_index=True)
+
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(blocks, schema)
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
