@@ -152,6 +152,10 @@ def reduce_noise(
     return overlap_add(gated.select(*KEY, "class_name", "sr", "n_total", "start", "g.*"))
 
 
+#: Numbers of spectra held together.
+STACKED = 1 << 21
+
+
 def _activations(magnitude: np.ndarray, history: list[np.ndarray]) -> np.ndarray:
     """Row weights after one multiplicative step per dictionary in ``history``.
 
@@ -164,6 +168,24 @@ def _activations(magnitude: np.ndarray, history: list[np.ndarray]) -> np.ndarray
     return weights
 
 
+def _stacked(
+    samples: pd.Series, block: pd.Series, n_total: pd.Series, n_fft: int, hop: int
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(spectra of some blocks' frames, one below the other; frames of each block), up to ``STACKED`` numbers at a time."""
+    if not len(samples):
+        return
+    per_block = (len(samples.iloc[0]) - n_fft) // hop + 1
+    step = max(1, STACKED // (per_block * (n_fft // 2 + 1)))
+    for at in range(0, len(samples), step):
+        part = slice(at, at + step)
+        x = np.stack(samples.iloc[part].to_list())
+        left = n_total.iloc[part].to_numpy() // hop + 1 - block.iloc[part].to_numpy() * per_block
+        count = np.clip(left, 0, per_block).astype(np.int64)
+        cut = np.lib.stride_tricks.sliding_window_view(x, n_fft, axis=1)[:, ::hop]
+        frames = cut[np.arange(per_block)[None, :] < count[:, None]]
+        yield np.fft.rfft(frames * stft.hann(n_fft), axis=1), count
+
+
 def fit_dictionary(
     signals: DataFrame, n_components: int = 2, iters: int = 50, seed: int = 42, n_fft: int = 2048, hop: int = 512,
     tolerance: float = 1e-4,
@@ -188,9 +210,8 @@ def fit_dictionary(
         def partial(batches: Iterator[pd.DataFrame], steps=steps) -> Iterator[pd.DataFrame]:
             cross, gram, loss = np.zeros((bins, n_components)), np.zeros((n_components, n_components)), 0.0
             for batch in batches:
-                for x, b, n in zip(batch["samples"], batch["block"], batch["n_total"]):
-                    spectra = np.abs(stft.transform(np.asarray(x), n_fft, hop))
-                    v = spectra[: max(0, n // hop + 1 - b * len(spectra))]
+                for spectra, _ in _stacked(batch["samples"], batch["block"], batch["n_total"], n_fft, hop):
+                    v = np.abs(spectra)
                     h = _activations(v, steps)
                     cross += v.T @ h
                     gram += h.T @ h
@@ -226,17 +247,18 @@ def separate(
     @F.pandas_udf("array<struct<source int, samples array<double>, weight array<double>>>")
     def split(samples: pd.Series, block: pd.Series, n_total: pd.Series) -> pd.Series:
         out = []
-        for x, b, n in zip(samples, block, n_total):
-            spectra = stft.transform(np.asarray(x), n_fft, hop)
-            spectra = spectra[: max(0, n // hop + 1 - b * len(spectra))]
+        for spectra, count in _stacked(samples, block, n_total, n_fft, hop):
             magnitude = np.abs(spectra)
             phase = spectra / np.maximum(magnitude, 1e-12)
             h = _activations(magnitude, history)
-            row = []
-            for place, c in enumerate([order] if together else order[:, None]):
-                part, weight = stft.inverse(h[:, c] @ w[:, c].T * phase, n_fft, hop)
-                row.append({"source": place, "samples": part, "weight": weight})
-            out.append(row)
+            end = np.cumsum(count)
+            for at, n in zip(end - count, count):
+                own = slice(at, at + n)
+                row = []
+                for place, c in enumerate([order] if together else order[:, None]):
+                    part, weight = stft.inverse(h[own, c] @ w[:, c].T * phase[own], n_fft, hop)
+                    row.append({"source": place, "samples": part, "weight": weight})
+                out.append(row)
         return pd.Series(out)
 
     assert k == len(order)
