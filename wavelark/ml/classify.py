@@ -175,7 +175,11 @@ def train(
     else:
         raise ValueError(f"unknown model type {model_type!r}")
     deep = model_type == "random_forest" and n > SMALL
-    data = data.select("class_name", "vector", *["recording_id"] * deep).persist()  # read by every iteration
+    data = data.select("class_name", "vector", *["recording_id"] * deep)
+    if model_type != "random_forest":
+        # Read by every iteration, each of whose tasks reports to the driver: as many parts as run at once.
+        data = data.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism))
+    data = data.persist()
     try:
         labels_first = Pipeline(stages=stages[:1]).fit(data)
         labels = list(labels_first.stages[0].labels)
