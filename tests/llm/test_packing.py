@@ -67,6 +67,39 @@ def test_table(spark, monkeypatch, ranked):
     check(got, [(i, t) for i, t, _ in rows], 32)
 
 
+def test_words_by_pieces_are_the_librarys():
+    library, encoder = Tokenizer.from_file(PATH), K._encoder(PATH)
+    rng = random.Random(3)
+    every = "".join(map(chr, range(0x21, 0x100)))
+    words = [c for c in every] + ["'S", "l'été", "'ll've'd", "<|endoftext|>x", "STRASSE'Tß", "ªºµ", "×÷", "e\u0301", "İI", "ſ'ſ", "a" * 3000]
+    words += ["".join(rng.choice(rng.choice((every, "aeÉß'stld19", "e'İ\u0301ʼnΣ中"))) for _ in range(rng.randint(1, 12))) for _ in range(20_000)]
+    words = sorted({w for w in words if len(w.split()) == 1 and w.split()[0] == w})
+    want = [np.array(f.ids, dtype="<u4").tobytes() for f in library.encode_batch_fast(words, add_special_tokens=False)]
+    assert encoder.make(words) == want
+
+
+def test_new_plain_words_do_not_pass_the_whole_library(monkeypatch):
+    passed = []
+
+    class Counting:
+        def __init__(self, inner):
+            self.inner, self.model = inner, inner.model
+
+        @classmethod
+        def from_file(cls, path):
+            return cls(Tokenizer.from_file(path))
+
+        def encode_batch_fast(self, words, **options):
+            passed.extend(words)
+            return self.inner.encode_batch_fast(words, **options)
+
+    monkeypatch.setattr("tokenizers.Tokenizer", Counting)
+    monkeypatch.setattr(K, "kept_in_worker", lambda key, make: make())
+    encoder = K._encoder(PATH)
+    encoder.values([f"Wörter{i}." for i in range(100)] + ["<|a|>", "中"])
+    assert sorted(passed) == ["<|a|>", "中"]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert K.best_fit_packing(docs, PATH).collect() == []

@@ -11,7 +11,10 @@ within its length, in groups of bounded size, and finds its sequence and place
 in the plan.
 
 Words between white space are tokenized apart, as no token of this kind of
-tokenizer spans white space; ids of words are kept in bounded room.
+tokenizer spans white space; ids of words are kept in bounded room.  If the file
+splits words as ``SPLIT`` does, a new word of plain Latin-1 characters is lowered
+and split here, and only pieces not seen before go through the library's model;
+all other words go through the whole library.
 
 Defined results: null counts as empty, an empty text is the end id alone,
 repeated rows are packed one by one, an empty table gives an empty result.
@@ -19,8 +22,10 @@ repeated rows are packed one by one, an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 from itertools import chain
 from zlib import crc32
 
@@ -33,7 +38,7 @@ from wavelark.llm.tables import Memo, kept_in_worker, map_text, slices, text_of,
 
 #: Ids in a sequence, id that ends a document.
 CAPACITY, END = 2048, 0
-#: Words a worker keeps (twice as many at most); rows ranked in one group.
+#: Words a worker keeps (twice as many at most), as many pieces of them; rows ranked in one group.
 KEPT, RANKED = 250_000, 20_000
 
 #: What the tokenizer doesn't take for white space; Python also counts 1C-1F as such.
@@ -41,11 +46,64 @@ WORD = re.compile(r"[\S\x1c-\x1f]+")
 ODD = re.compile(r"[\x1c-\x1f]")
 BLANK = re.compile(r"[^\S\x1c-\x1f]")
 
+#: How the tokenizer's file normalises and splits a word, for ``_pieces`` to apply.
+SPLIT = {
+    "normalizer": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    "pre_tokenizer": [
+        {
+            "type": "Split", "behavior": "Removed", "invert": True,
+            "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: Words without the "<" of added tokens that NFC leaves alone and whose capitals have one small letter each.
+PLAIN = re.compile("[!-;=-~À-ÖØ-öø-ÿ]+")
+#: ``SPLIT``'s pattern on such words, lowered.
+PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
 
 def _words(text: str, start: int, end: int, odd: bool) -> list[str]:
     return WORD.findall(text, start, end) if odd else text[start:end].split()
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def _splits_plainly(path: str) -> bool:
+    """Whether ``PLAIN`` words of the file's tokenizer split into ``PIECE`` matches, each with its own ids."""
+    with open(path, encoding="utf-8") as file:
+        made = json.load(file)
+    steps = {
+        name: (made.get(name) or {}).get(part) for name, part in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))
+    }
+    model = made["model"]
+    plain = model["type"] == "BPE" and not model["dropout"] and not made.get("post_processor")
+    return plain and steps == SPLIT and all("<" in token["content"] for token in made["added_tokens"])
+
+
+def _pieces(tokenizer) -> Callable[[str], bytes]:
+    """Ids of a ``PLAIN`` word by the library's model, piece by piece; pieces are kept in bounded room."""
+    from tokenizers import pre_tokenizers
+
+    level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    letters = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
+    tokenize = tokenizer.model.tokenize
+
+    class Ids(dict):
+        def __missing__(self, piece: str) -> bytes:
+            if len(self) >= KEPT:
+                self.clear()
+            ids = _packed([t.id for t in tokenize(piece if piece.isascii() else piece.translate(letters))])
+            if len(piece) <= 64:
+                self[piece] = ids
+            return ids
+
+    ids, found = Ids(), PIECE.findall
+    return lambda word: b"".join(map(ids.__getitem__, found(word.lower())))
+
+
 def _encoder(path: str) -> Memo:
     """Ids of words as little-endian unsigned 32-bit integers."""
     import os
@@ -55,10 +113,13 @@ def _encoder(path: str) -> Memo:
 
     def make() -> Memo:
         tokenizer = Tokenizer.from_file(path)
+        plain = PLAIN.fullmatch if _splits_plainly(path) else lambda word: None
+        joined = _pieces(tokenizer)
 
         def encode(words: list[str]) -> list[bytes]:
-            found = tokenizer.encode_batch_fast(words, add_special_tokens=False)
-            return [np.array(f.ids, dtype="<u4").tobytes() for f in found]
+            odd = [w for w in words if not plain(w)]
+            others = iter(tokenizer.encode_batch_fast(odd, add_special_tokens=False) if odd else ())
+            return [joined(w) if plain(w) else _packed(next(others).ids) for w in words]
 
         return Memo(KEPT, encode)
 
