@@ -191,3 +191,73 @@ def test_quality_on_unseen_texts(spark):
     for name in P.KINDS:
         true, precision, recall = found[name]
         assert true >= 50 and precision > 0.97 and recall > 0.8, found
+
+
+def test_the_fit_counts_every_example_of_every_text(spark, monkeypatch):
+    monkeypatch.setattr(P, "DOCUMENTS", 20)
+    monkeypatch.setattr(P, "ROWS", 50)
+    texts = [f"mail u{i}@host{i}.example.org or 10.0.{i % 256}.{i // 256}, by 2019-03-{i % 28 + 1:02d} 1030" for i in range(300)]
+    texts.append(" ".join(f"{i:04d}-{i % 12 + 1:02d}-11 v{i}" for i in range(9000)))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:40])], "doc_id long, text string").repartition(5)
+    want = {}
+    for text in texts:  # equal texts count once
+        for kind, label, *words in P._examples(text):
+            bins = np.searchsorted(P.EDGES, P.features(kind, *words)).astype(np.uint8).tobytes()
+            want[kind, label, bins] = want.get((kind, label, bins), 0) + 1
+    (rows,) = P.collected(docs)
+    got = {}
+    for r in rows.collect():
+        key = (r.kind, r.label, bytes(r.bins))
+        got[key] = got.get(key, 0) + r.n
+    assert got == want
+    # One text weighs PER_TEXT at most; where it has fewer examples, each weighs 1.
+    phones = sum(r.mass for r in rows.filter("kind = 3 and label = 0").collect()) / P.UNIT
+    others = sum(n for (k, label, _), n in want.items() if (k, label) == (3, 0.0)) - 9000
+    assert phones == pytest.approx(P.PER_TEXT + others, rel=1e-3)
+
+
+def test_trees_grow_from_sums_over_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(P, "TREES", 6)
+    rng = np.random.default_rng(6)
+    columns = len(P.features(0, "", "", ""))
+    bins = rng.integers(0, P.BINS, (600, columns)).astype(np.uint8)
+    kinds, n = rng.integers(0, 4, 600), rng.integers(1, 9, 600)
+    labels = ((bins[:, 7] > 12) ^ (rng.random(600) < 0.1)).astype(float)
+    rows = [
+        (i % P.PARTS, int(k), float(y), b.tobytes(), int(m) * P.UNIT, int(m))
+        for i, (k, y, b, m) in enumerate(zip(kinds, labels, bins, n, strict=True))
+    ]
+    made = spark.createDataFrame(rows, "part int, kind int, label double, bins binary, mass long, n long")
+    one, many = (P.boost(P.written(made.repartition(n))) for n in (1, 3))
+    assert len(one.trees) == P.TREES and one.thresholds == many.thresholds
+    assert all(np.array_equal(a, b) for s, t in zip(one.trees, many.trees, strict=True) for a, b in zip(s, t, strict=True))
+    fitted = np.arange(600) % P.PARTS != P.HELD
+    x, y, w = bins[fitted], labels[fitted], n[fitted].astype(float)
+    p = 1 / (1 + np.exp(-one.start))
+    assert p == pytest.approx((w * y).sum() / w.sum())
+
+    def gain(at):
+        g, h = (w * (y - p))[at].sum(), (w * p * (1 - p))[at].sum()
+        return g * g / (h + 1)
+
+    def best(at):
+        cuts = [(gain(at & (x[:, c] <= k)) + gain(at & (x[:, c] > k)), c, P.EDGES[k]) for c in range(columns) for k in range(P.BINS - 1)]
+        return max(cuts, key=lambda cut: cut[0])
+
+    column, cut, value = one.trees[0]
+    everything = np.ones(len(x), dtype=bool)
+    assert best(everything)[1:] == (column[0], cut[0])
+    node = x[:, column[0]] > np.searchsorted(P.EDGES, cut[0])
+    for child, at in ((1, ~node), (2, node)):
+        assert best(at)[1:] == (column[child], cut[child])
+    leaf = P._walk(column, cut, P.VALUES[x], P.DEPTH) - len(column)
+    for k in range(2**P.DEPTH):
+        at = leaf == k
+        assert value[k] == pytest.approx(P.STEP * (w * (y - p))[at].sum() / ((w * p * (1 - p))[at].sum() + 1))
+
+
+def test_no_part_of_a_rare_kind_is_left_out(spark):
+    docs = [(i, f"card 4799 1346 8104 4206 no {i}") for i in range(10)] + [(100 + i, f"write a{i}@b.cc") for i in range(10)]
+    (rows,) = P.collected(spark.createDataFrame(docs, "doc_id long, text string"))
+    for kind in (0, 2):
+        assert {r.part for r in rows.filter(f"kind = {kind} and label = 1").collect()} == set(range(P.PARTS))

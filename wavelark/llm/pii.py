@@ -12,14 +12,17 @@ calibrated share of ``PRECISION`` selects spans (``quality`` measures precision
 and recall on further texts).  Of
 overlapping ones the best stays; none may overlap a base span.
 
-**Fit.**  Base spans are found in all texts first.  For each kind at most
-``DOCUMENTS`` texts that hold one, those with the smallest hash, and as many of
-any text are read; of their candidates at most ``PER_TEXT`` of a text and
-``ROWS`` in all for each kind and label.  Base spans and
+**Fit.**  Every text is read, equal ones once.  Base spans and
 rewritings of them in other formats (the disguises above) are positive; base
 matches that fail their check, implausible candidates beside base spans, and
 base spans damaged beyond their check, cut short or run into neighbours are
-negative.  A kind with base spans in fewer than two texts adds none.
+negative.  All of them count.  Features become bins with fixed edges, rows with
+the same bins are one row with their weight, and each level of a tree is grown
+from sums per bin over all rows, which Spark adds up; the driver sees only these
+sums.  A text's rows of one kind and label weigh at most ``PER_TEXT`` together
+and all rows of one kind and label at most ``ROWS``, so that neither long texts
+nor common kinds crowd others out.  A kind with base spans in fewer than two
+texts adds none.
 
 Defined results: null counts as empty, an empty text has no spans, repeated rows
 are rows, an empty table gives an empty result.  Offsets are code points.
@@ -29,25 +32,30 @@ from __future__ import annotations
 
 import hashlib
 import re
-import zlib
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 from itertools import batched
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavelark.llm.tables import map_text, text_of, written
 
 KINDS = ("email", "ip", "card", "phone")
-#: Texts per kind and candidate rows per kind and label to fit on, those of one text; wanted precision; characters of context.
-DOCUMENTS, ROWS, PER_TEXT, PRECISION, AROUND = 3000, 3000, 32, 0.99, 40
-#: Parts of the sampled texts: one calibrates, another may measure.
-PARTS = 5
-#: Trees, their depth, step and value bins.
-TREES, DEPTH, STEP, BINS = 40, 3, 0.3, 32
+#: Weight of the rows of a kind and label, of one text and in all; wanted precision; characters of context.
+PER_TEXT, ROWS, PRECISION, AROUND = 32, 3000, 0.99, 40
+#: Parts of the texts: one calibrates, another may measure.  Kinds in no more texts than this have them dealt out one by one.
+PARTS, HELD, UNSEEN, DOCUMENTS = 5, 1, 3, 3000
+#: Trees, their depth and step; edges of the value bins: features are counts, told apart up to 19.
+TREES, DEPTH, STEP = 40, 3, 0.3
+EDGES = np.array([*range(20), 21, 23, 25, 28, 32, 40, 48, 64, 96, 128, 256], dtype=float)
+BINS = len(EDGES) + 1
+#: Summed rows of a task.
+SUMMED = 20_000
+#: A value of each bin; the unit of summed weights and of summed slopes, whole numbers that add up exactly; steps of scores.
+VALUES, UNIT, FINE, STEPS = np.append(EDGES, np.inf), 1 << 20, 2.0**36, 256
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -220,17 +228,22 @@ def features(kind: int, span: str, before: str, after: str) -> list[float]:
     return [*_form(kind, span), *_left(before), *_right(after)]
 
 
-def _table(text: str, spans: list[Span]) -> np.ndarray:
-    """``features`` of spans of a text; equal forms and beginnings are read once."""
+def _read(words: Sequence[tuple[int, str, str, str]]) -> np.ndarray:
+    """``features`` of each (kind, span, before, after); equal forms and surroundings are read once."""
     forms, lefts, rights = {}, {}, {}
-    form = [forms.setdefault((kind, text[start:end]), len(forms)) for kind, start, end in spans]
-    left = [lefts.setdefault(text[max(0, start - AROUND) : start], len(lefts)) for _, start, _ in spans]
-    right = [rights.setdefault(text[end : end + AROUND], len(rights)) for _, _, end in spans]
+    form = [forms.setdefault((kind, span), len(forms)) for kind, span, _, _ in words]
+    left = [lefts.setdefault(before, len(lefts)) for _, _, before, _ in words]
+    right = [rights.setdefault(after, len(rights)) for *_, after in words]
     made = np.array([_form(*f) for f in forms], dtype=float)[form]
     begun = np.array([_left(before) for before in lefts], dtype=float)[left]
     return np.hstack([made, begun, np.array([_right(after) for after in rights], dtype=float)[right]])
 
 
+def _table(text: str, spans: list[Span]) -> np.ndarray:
+    """``features`` of spans of a text."""
+    return _read([(k, text[a:b], text[max(0, a - AROUND) : a], text[b : b + AROUND]) for k, a, b in spans])
+
+
 def _rewritten(kind: int, span: str) -> list[tuple[int, float, str, str, str]]:
     """A base span in other formats (label 1), and damaged, cut or run into its neighbours (label 0).
 
@@ -304,16 +317,16 @@ def _examples(text: str) -> Iterator[tuple[int, float, str, str, str]]:
                 yield kind, 0.0, *around(start, end)
 
 
-def labelled(text: str) -> list[tuple[int, float, list[float]]]:
-    """(kind, label, features) of a text's training rows, at most ``PER_TEXT`` per kind and label, by least hash."""
-    best: dict[tuple[int, float], list] = {}
-    for kind, label, *words in _examples(text):
-        rows = best.setdefault((kind, label), [])
-        rows.append((zlib.crc32("\0".join(words).encode("utf-8", "replace")), words))
-        if len(rows) > 8 * PER_TEXT:
-            rows.sort()
-            del rows[PER_TEXT:]
-    return [(kind, label, features(kind, *words)) for (kind, label), rows in best.items() for _, words in sorted(rows)[:PER_TEXT]]
+def labelled(texts: Sequence[str]) -> list[dict[tuple[int, float], Counter]]:
+    """For each text and (kind, label), how many training rows have which bins."""
+    found: list[dict[tuple[int, float], Counter]] = [{} for _ in texts]
+    every = ((i, *example) for i, text in enumerate(texts) for example in _examples(text))
+    for block in batched(every, BLOCK):
+        bins = np.searchsorted(EDGES, _read([(kind, *words) for _, kind, _, *words in block])).astype(np.uint8)
+        data, width = bins.tobytes(), bins.shape[1]
+        for n, (i, kind, label, *_) in enumerate(block):
+            found[i].setdefault((kind, label), Counter())[data[n * width : (n + 1) * width]] += 1
+    return found
 
 
 def _plausible(kind: int, span: str) -> bool:
@@ -344,35 +357,74 @@ class Boosted:
 def _apply(tree: tuple[np.ndarray, np.ndarray, np.ndarray], rows: np.ndarray) -> np.ndarray:
     """Values of a complete binary tree: inner nodes (column, cut), then leaves."""
     column, cut, value = tree
+    return value[_walk(column, cut, rows, DEPTH) - len(column)]
+
+
+def _walk(column: np.ndarray, cut: np.ndarray, rows: np.ndarray, levels: int) -> np.ndarray:
+    """The node each row has reached after some levels."""
     node = np.zeros(len(rows), dtype=np.int64)
-    for _ in range(DEPTH):
+    for _ in range(levels):
         node = 2 * node + 1 + (rows[np.arange(len(rows)), column[node]] > cut[node])
-    return value[node - len(column)]
+    return node
+
 
+def _unpacked(batch) -> tuple[np.ndarray, ...]:
+    """(kinds, labels, masses, numbers, bins) of a batch of summed rows."""
+    kinds, labels, masses, numbers = (batch.column(c).to_numpy() for c in ("kind", "label", "mass", "n"))
+    bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), dtype=np.uint8)
+    return kinds, labels, masses, numbers, bins.reshape(batch.num_rows, -1)
 
-def _grow(rows: np.ndarray, cuts: list[np.ndarray], slope: np.ndarray, weight: np.ndarray):
+
+def _sums(rows: DataFrame, model: Boosted, tree: tuple, level: int, scale: np.ndarray, columns: int) -> np.ndarray:
+    """Sums of slope and weight over all rows by node of a level of the tree, column and bin."""
+    import pyarrow as pa
+
+    column, cut = tree
+    nodes = 2**level
+
+    def run(batches):
+        total = np.zeros((2, nodes * columns * BINS))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kinds, labels, masses, _, bins = _unpacked(batch)
+            values = VALUES[bins]
+            p = 1 / (1 + np.exp(-model.odds(values)))
+            weight = masses * scale[kinds, (labels > 0).astype(int)]
+            at = _walk(column, cut, values, level) - (nodes - 1)
+            slots = ((at[:, None] * columns + np.arange(columns)) * BINS + bins).ravel()
+            for sums, each in zip(total, (weight * (labels - p), weight * p * (1 - p)), strict=True):
+                sums += np.bincount(slots, np.repeat(np.rint(each * FINE), columns), len(sums))
+        yield pa.RecordBatch.from_pydict({"sums": [total.tobytes()]})
+
+    total = np.zeros(2 * nodes * columns * BINS)
+    for r in rows.mapInArrow(run, "sums binary").collect():
+        total += np.frombuffer(r["sums"])
+    return total.reshape(2, nodes, columns, BINS) / FINE
+
+
+def _grow(rows: DataFrame, model: Boosted, scale: np.ndarray, columns: int):
     """One tree by Newton gain; a node that can't be cut sends all rows left."""
     inner = 2**DEPTH - 1
     column, cut = np.zeros(inner, dtype=np.int64), np.full(inner, np.inf)
-    node = np.zeros(len(rows), dtype=np.int64)
-    for n in range(inner):
-        at = np.flatnonzero(node == n)
-        best = 1e-6
-        g, h = slope[at], weight[at]
-        whole = g.sum() ** 2 / (h.sum() + 1.0)
-        for c, edges in enumerate(cuts):
-            if not len(edges) or len(at) < 2:
-                continue
-            place = np.searchsorted(edges, rows[at, c], side="left")
-            gl = np.cumsum(np.bincount(place, g, len(edges) + 1))[:-1]
-            hl = np.cumsum(np.bincount(place, h, len(edges) + 1))[:-1]
-            gain = gl**2 / (hl + 1.0) + (g.sum() - gl) ** 2 / (h.sum() - hl + 1.0) - whole
-            k = int(gain.argmax())
-            if gain[k] > best:
-                best, column[n], cut[n] = gain[k], c, edges[k]
-        node[at] = 2 * n + 1 + (rows[at, column[n]] > cut[n])
-    leaves = node - inner
-    total, mass = np.bincount(leaves, slope, inner + 1), np.bincount(leaves, weight, inner + 1)
+    sums, going = np.zeros((2, 2 * inner + 1)), True  # slope and weight of each node
+    for level in range(DEPTH):
+        # Where no node of a level is cut, none below is.
+        found = _sums(rows, model, (column, cut), level, scale, columns) if going else None
+        going = False
+        for i in range(2**level):
+            n = 2**level - 1 + i
+            whole = sums[:, n] if found is None or n else found[:, 0, 0].sum(axis=1)
+            left = whole
+            if found is not None:
+                gl, hl = np.cumsum(found[:, i], axis=2)[:, :, :-1]
+                g, h = whole
+                gain = gl**2 / (hl + 1.0) + (g - gl) ** 2 / (h - hl + 1.0) - g**2 / (h + 1.0)
+                c, k = np.unravel_index(int(gain.argmax()), gain.shape)
+                if gain[c, k] > 1e-6:
+                    column[n], cut[n], left, going = c, EDGES[k], np.array([gl[c, k], hl[c, k]]), True
+            sums[:, 2 * n + 1], sums[:, 2 * n + 2] = left, whole - left
+    total, mass = sums[:, inner:]
     return column, cut, STEP * total / (mass + 1.0)
 
 
@@ -389,10 +441,11 @@ def text_parts(kinds: np.ndarray, labels: np.ndarray, texts: np.ndarray) -> np.n
     return np.array([part[key] for key in texts.tolist()], dtype=np.int64)
 
 
-def calibrated(score: np.ndarray, truth: np.ndarray) -> np.ndarray:
+def calibrated(score: np.ndarray, truth: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
     """Rising share of true rows by score (isotonic regression); rows of one score share a value."""
+    weight = np.ones(len(score)) if weight is None else weight
     steps, place = np.unique(score, return_inverse=True)
-    mass, hits = np.bincount(place, minlength=len(steps)).astype(float), np.bincount(place, truth, len(steps))
+    mass, hits = np.bincount(place, weight, len(steps)), np.bincount(place, truth * weight, len(steps))
     pools: list[list[float]] = []  # hits, mass, steps
     for pool in zip(hits.tolist(), mass.tolist(), [1] * len(steps), strict=True):
         pools.append(list(pool))
@@ -401,90 +454,130 @@ def calibrated(score: np.ndarray, truth: np.ndarray) -> np.ndarray:
     return np.repeat([h / m for h, m, _ in pools], [int(n) for *_, n in pools])[place]
 
 
-def boost(rows: np.ndarray, labels: np.ndarray, kinds: np.ndarray, texts: np.ndarray) -> Boosted:
-    """Trees on four fifths of the texts; thresholds from the rest.
+def _scales(rows: DataFrame) -> tuple[np.ndarray, list]:
+    """Weight of a unit of mass by kind and label, and (part, kind, label, mass) of the rows."""
+    found = rows.groupBy("part", "kind", "label").agg(F.sum("mass").alias("mass")).collect()
+    total = np.zeros((len(KINDS), 2))
+    for r in found:
+        total[r["kind"], int(r["label"])] += r["mass"] / UNIT
+    return np.minimum(1.0, ROWS / np.maximum(total, 1.0)) / UNIT, found
+
+
+def _scored(rows: DataFrame, model: Boosted) -> list:
+    """(kind, label, step, mass, n): rows summed by their score, in steps of 1 / ``STEPS``."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                kinds, labels, masses, numbers, bins = _unpacked(batch)
+                step = np.floor(np.clip(model.odds(VALUES[bins]), -16, 16) * STEPS).astype(np.int64)
+                arrays = [pa.array(a) for a in (kinds, labels, step, masses, numbers)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["kind", "label", "step", "mass", "n"])
+
+    each = rows.mapInArrow(run, "kind int, label double, step long, mass long, n long")
+    return each.groupBy("kind", "label", "step").agg(F.sum("mass").alias("mass"), F.sum("n").alias("n")).collect()
+
+
+def boost(rows: DataFrame, parts: Sequence[int] = tuple(range(PARTS))) -> Boosted:
+    """Trees on all summed rows of the parts but the held one; thresholds from that one.
 
     Per kind the threshold is the least positive score whose calibrated share of
     true spans on the held-out texts reaches ``PRECISION``.
     """
     model = Boosted()
-    if not len(rows) or labels.min() == labels.max():
+    scale, found = _scales(rows.filter(F.col("part").isin(*parts)))
+    weight = {True: [0.0, 0.0], False: [0.0, 0.0]}
+    for r in sorted(found):
+        weight[r["part"] == HELD][int(r["label"])] += r["mass"] * scale[r["kind"], int(r["label"])]
+    if not sum(weight[True]) or not all(weight[False]):
         return model
-    held = text_parts(kinds, labels, texts) == 1
-    if held.all() or not held.any() or labels[~held].min() == labels[~held].max():
-        return model
-    x, y = rows[~held], labels[~held]
-    cuts = [np.unique(np.quantile(c, np.linspace(0, 1, BINS)[1:-1], method="lower")) for c in x.T]
-    cuts = [e[e < c.max()] for e, c in zip(cuts, x.T, strict=True)]
-    share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+    fitted = rows.filter(F.col("part").isin(*(p for p in parts if p != HELD)))
+    columns = len(features(0, "", "", ""))
+    share = np.clip(weight[False][1] / sum(weight[False]), 1e-3, 1 - 1e-3)
     model.start = float(np.log(share / (1 - share)))
-    odds = np.full(len(x), model.start)
     for _ in range(TREES):
-        p = 1 / (1 + np.exp(-odds))
-        tree = _grow(x, cuts, y - p, p * (1 - p))
-        model.trees.append(tree)
-        odds += _apply(tree, x)
-    odds, truth = model.odds(rows[held]), labels[held]
+        model.trees.append(_grow(fitted, model, scale, columns))
+    held = sorted(_scored(rows.filter(F.col("part") == HELD), model))
     for k in range(len(KINDS)):
-        own = kinds[held] == k
-        score = odds[own]
-        fine = score[(calibrated(score, truth[own]) >= PRECISION) & (score > 0)]
+        own = [r for r in held if r["kind"] == k]
+        score, truth = np.array([r["step"] / STEPS for r in own]), np.array([r["label"] for r in own])
+        mass = np.array([r["mass"] * scale[k, int(r["label"])] for r in own])
+        fine = score[(calibrated(score, truth, mass) >= PRECISION) & (score > 0)]
         if len(fine):
             model.thresholds[k] = float(fine.min())
     return model
 
 
-def quality(rows: np.ndarray, labels: np.ndarray, kinds: np.ndarray, texts: np.ndarray) -> dict[str, tuple[int, float, float]]:
+def quality(rows: DataFrame) -> dict[str, tuple[int, float, float]]:
     """Per kind (true spans, precision, recall) on a fifth of the texts that neither trees nor thresholds saw."""
-    unseen = text_parts(kinds, labels, texts) == 3
-    model = boost(rows[~unseen], labels[~unseen], kinds[~unseen], texts[~unseen])
-    taken = model.odds(rows[unseen]) >= np.array(model.thresholds)[kinds[unseen]]
-    out = {}
-    for k, name in enumerate(KINDS):
-        own = kinds[unseen] == k
-        true, found, right = labels[unseen][own].sum(), taken[own].sum(), labels[unseen][own][taken[own]].sum()
-        out[name] = (int(true), float(right / max(found, 1)), float(right / max(true, 1)))
-    return out
-
-
-def _sample(texts: DataFrame) -> DataFrame:
-    """(key) of ``DOCUMENTS`` texts with the smallest hash that hold a checked span, for each kind, and of any text."""
-
-    def make():
-        return lambda chosen: [[sorted({s[0] for s in base_spans(t)} | {-1}) for t in chosen]]
-
-    held = map_text(texts, make, "kinds array<int>").select("key", F.explode("kinds").alias("kind"))
-    held = written(held.distinct())
-    # Only keys are ordered; DOCUMENTS of them a kind, 8 bytes each, are sent back to the texts.
-    least = [held.filter(F.col("kind") == k).select("key").orderBy("key").limit(DOCUMENTS) for k in range(-1, len(KINDS))]
-    return written(reduce(DataFrame.union, least).distinct())
+    model = boost(rows, [p for p in range(PARTS) if p != UNSEEN])
+    scale, _ = _scales(rows)
+    true, count = np.zeros(len(KINDS)), np.zeros(len(KINDS), dtype=np.int64)
+    found, right = np.zeros(len(KINDS)), np.zeros(len(KINDS))
+    for r in _scored(rows.filter(F.col("part") == UNSEEN), model):
+        k, weight = r["kind"], r["mass"] * scale[r["kind"], int(r["label"])]
+        taken = r["step"] / STEPS >= model.thresholds[k]
+        true[k] += weight * r["label"]
+        count[k] += r["n"] * int(r["label"])
+        found[k] += weight * taken
+        right[k] += weight * taken * r["label"]
+    return {
+        name: (int(count[k]), float(right[k] / (found[k] or 1)), float(right[k] / (true[k] or 1))) for k, name in enumerate(KINDS)
+    }
 
 
 def training_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(kind, label, features, order, key): at most ``ROWS`` for each kind and label, by least hash."""
+    """(key, kind, label, n, rows): of every text, how many examples of a kind and label, and their bins with numbers.
+
+    Equal texts count once.
+    """
     texts = docs.select(text_of(text_col).alias("text")).filter(F.col("text").rlike(r"[0-9@]| (?i:at) |[\[({](?i:at)[\])}]"))
-    texts = texts.withColumn("key", F.xxhash64("text"))
-    sample = texts.join(F.broadcast(_sample(texts)), "key", "left_semi").dropDuplicates(["key"]).select("text", "key")
 
     def make():
-        names = ("kind", "label", "features")
-        return lambda chosen: [[[dict(zip(names, r, strict=True)) for r in labelled(t)] for t in chosen]]
-
-    rows = map_text(sample, make, "rows array<struct<kind:int,label:double,features:array<double>>>")
-    flat = rows.select("key", F.inline("rows")).withColumn("order", F.xxhash64("key", "kind", "label", "features"))
-    place = F.row_number().over(Window.partitionBy("kind", "label").orderBy("order", "key"))
-    return flat.withColumn("place", place).filter(F.col("place") <= ROWS)
-
-
-def collected(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(features, labels, kinds, text keys) of the bounded training rows, in a fixed order."""
-    found = sorted(training_rows(docs, text_col).collect(), key=lambda r: (r.place, r.kind, r.label))
-    rows = np.array([r.features for r in found])
-    return rows, np.array([r.label for r in found]), np.array([r.kind for r in found]), np.array([r.key for r in found])
+        def work(chosen: list[str]):
+            return [
+                [
+                    {"kind": kind, "label": label, "n": own.total(), "rows": [{"bins": b, "n": n} for b, n in own.items()]}
+                    for (kind, label), own in found.items()
+                ]
+                for found in labelled(chosen)
+            ]
+
+        return lambda chosen: [work(chosen)]
+
+    found = "array<struct<kind:int,label:double,n:long,rows:array<struct<bins:binary,n:long>>>>"
+    made = map_text(texts.withColumn("key", F.xxhash64("text")), make, f"found {found}")
+    return made.select("key", F.inline("found")).dropDuplicates(["key", "kind", "label"])
+
+
+def _parted(rows: DataFrame) -> DataFrame:
+    """``rows`` with the part of their text: by its key, but for the texts of rare kinds, which are dealt out."""
+    true = rows.filter(F.col("label") > 0).select("kind", "key")
+    rare = [r["kind"] for r in true.groupBy("kind").count().filter(F.col("count") <= DOCUMENTS).collect()]
+    own = sorted(true.filter(F.col("kind").isin(*rare)).collect()) if rare else []
+    if not own:
+        return rows.withColumn("part", F.pmod("key", F.lit(PARTS)).cast("int"))
+    kinds, keys = np.array([r["kind"] for r in own]), np.array([r["key"] for r in own], dtype=np.int64)
+    dealt = sorted(set(zip(keys.tolist(), text_parts(kinds, np.ones(len(own)), keys).tolist(), strict=True)))
+    parts = rows.sparkSession.createDataFrame(dealt, "key long, part int")
+    joined = rows.join(F.broadcast(parts), "key", "left")
+    return joined.withColumn("part", F.coalesce("part", F.pmod("key", F.lit(PARTS)).cast("int")))
+
+
+def collected(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame]:
+    """What ``boost`` and ``quality`` take: all training rows, summed by (part, kind, label, bins), with mass and number."""
+    rows = _parted(written(training_rows(docs, text_col)))
+    unit = F.least(F.lit(1.0), F.lit(float(PER_TEXT)) / F.col("n")) * UNIT
+    flat = rows.withColumn("unit", unit).drop("n").select("part", "kind", "label", "unit", F.inline("rows"))
+    mass = F.sum(F.round(F.col("unit") * F.col("n")).cast("long"))
+    summed = written(flat.groupBy("part", "kind", "label", "bins").agg(mass.alias("mass"), F.sum("n").alias("n")))
+    # Each level of each tree is one pass over these rows: no more tasks than they are worth.
+    return (summed.coalesce(summed.count() // SUMMED + 1),)
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> Boosted:
-    """Fits on a sample bounded for each kind and label."""
+    """Fits on the base spans and candidates of all texts."""
     return boost(*collected(docs, text_col))
 
 
