@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 
 from wavelark.ml import classify as C
@@ -69,3 +70,29 @@ def test_no_level_wise_fit_of_many_rows(spark, monkeypatch, local):
     assert len(trees) == 100
     assert all(t.depth > 0 for t in trees)
     assert abs(sum(model.pipeline.stages[-1].featureImportances.toArray()) - 1) < 1e-6
+
+
+def test_no_node_reaches_the_driver(spark, monkeypatch, tmp_path):
+    """Fitting, predicting, ranking features, saving and loading never load Spark's model, and agree with it."""
+    monkeypatch.setattr(forest, "LOCAL", 40)
+    monkeypatch.setattr(C, "SMALL", 100)
+    monkeypatch.setattr(forest, "BLOCK", 7)
+    loaded, plain = [], forest.RandomForestClassificationModel.load
+    monkeypatch.setattr(forest.RandomForestClassificationModel, "load", lambda path: (loaded.append(path), plain(path))[1])
+    rng = np.random.default_rng(3)
+    rows = [(f"r{i // 2}", f"c{i % 3}", (rng.normal(size=5) + (i % 3)).tolist()) for i in range(300)]
+    rows += rows[:40]  # copies with their ids
+    df = spark.createDataFrame(rows, "recording_id string, class_name string, features array<double>")
+    model, predicted = C.train(df)
+    model.save(str(tmp_path / "m"))
+    again = C.Classifier.load(spark, str(tmp_path / "m"))
+    key = lambda found: sorted((r.recording_id, r.features, r.prediction, r.confidence, tuple(r.probabilities.items())) for r in found.collect())
+    got, importance = key(predicted), model.pipeline.stages[-1].featureImportances.toArray()
+    whole = df.select("recording_id", "class_name", "features")
+    assert key(again.classify(whole)) == key(model.classify(whole))
+    assert not loaded
+    native = model.pipeline.stages[-1].native()
+    same = C.Classifier(PipelineModel([*model.pipeline.stages[:-1], native]), model.labels)
+    assert key(same.classify(whole)) == key(model.classify(whole)) and len(key(model.classify(whole))) == 340
+    assert key(same.classify(predicted.select("recording_id", "class_name", "features"))) == got
+    assert np.allclose(native.featureImportances.toArray(), importance, rtol=1e-12)

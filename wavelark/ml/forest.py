@@ -7,20 +7,29 @@ smaller node are sent to one group, packed as bins of a byte, and its subtree is
 grown there.  Bootstrap weights are hashes of row and tree, so no bag is stored.
 Splits follow Spark's rules: Gini gain above zero, the square root of the
 features at each node, at most ``BINS`` bins of a feature, thresholds half way
-between values.  The result is Spark's own model, loaded from its file format.
+between values.
+
+The grown nodes stay a table, one row per subtree: a deep forest has about as
+many nodes as trees times rows, which no driver holds.  ``Forest`` sends the
+rows to predict to their subtrees in the same way and sums the trees' votes.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import uuid
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
+from pyspark.ml import Model
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import DenseVector, Vectors
+from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavelark.session import materialise, shared_folder
@@ -32,6 +41,10 @@ CHUNK = 256
 #: Chances of a Poisson weight (mean 1) of at most 0, 1, ...
 CHANCES = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
 GOLDEN = 0x9E3779B97F4A7C15
+#: Rows of a block that are sent to a subtree together, and numbers that the votes on a block may be.
+BLOCK, VOTES = 256, 1 << 22
+#: A subtree: its nodes as bytes (``_form``) and what its splits add to the importance of each feature.
+SUBTREE = "tree int, root int, nodes binary, gains array<double>"
 NODE = "tree int, root int, id int, feature int, threshold double, left int, right int, gain double, raw long, counts array<double>"
 
 
@@ -225,15 +238,254 @@ def _tops(rows: DataFrame, n: int, trees: int, depth: int, classes: int, width:
     return tops
 
 
-def _model(estimator: RandomForestClassifier, nodes: DataFrame, classes: int, width: int) -> RandomForestClassificationModel:
+def _form(classes: int) -> np.dtype:
+    """A node in the bytes of a subtree; its right child is the one after its left."""
+    return np.dtype([("feature", "<i4"), ("cut", "u1"), ("left", "<i4"), ("gain", "<f8"), ("raw", "<i4"), ("counts", "<i4", (classes,))])
+
+
+def _packed(found: dict, classes: int) -> bytes:
+    nodes = np.zeros(len(found["feature"]), dtype=_form(classes))
+    for k in nodes.dtype.names:
+        nodes[k] = found[k]
+    return nodes.tobytes()
+
+
+def _unpacked(nodes: bytes, classes: int) -> dict[str, np.ndarray]:
+    found = np.frombuffer(nodes, dtype=_form(classes))
+    out = {k: np.ascontiguousarray(found[k]) for k in found.dtype.names}
+    return out | {"right": np.where(out["left"] >= 0, out["left"] + 1, -1)}
+
+
+def _gains(found: dict, width: int) -> np.ndarray:
+    """Gain times rows of the splits by each feature."""
+    inner = np.asarray(found["feature"]) >= 0
+    total = np.array([np.sum(c) for c in found["counts"]])[inner] if len(inner) else np.zeros(0)
+    return np.bincount(np.asarray(found["feature"])[inner], np.asarray(found["gain"])[inner] * total, width)
+
+
+def _coded(column: Column, edges: list[np.ndarray]) -> Column:
+    """Bins of an array column, a byte each."""
+
+    @F.pandas_udf("binary")
+    def coded(x: pd.Series) -> pd.Series:
+        values = np.stack(x.to_list())
+        codes = np.stack([np.searchsorted(e, v, side="left") for e, v in zip(edges, values.T, strict=True)], axis=1)
+        return pd.Series([row.tobytes() for row in codes.astype(np.uint8)])
+
+    return coded(column)
+
+
+class Forest(Model, MLWritable, MLReadable):
+    """A fitted forest whose nodes stay in a table: columns and votes as Spark's own model has them.
+
+    ``folder`` holds the subtrees and a Spark model of single leaves, whose
+    metadata ``native`` needs; ``tops`` and ``edges`` are small.
+    """
+
+    def __init__(self, folder: str, column: str, classes: int, edges: list[np.ndarray], tops: list[dict]):
+        super().__init__()
+        self.folder, self.column, self.classes, self.edges, self.tops = folder, column, classes, edges, tops
+
+    @property
+    def numClasses(self) -> int:  # noqa: N802
+        return self.classes
+
+    @property
+    def numFeatures(self) -> int:  # noqa: N802
+        return len(self.edges)
+
+    @property
+    def getNumTrees(self) -> int:  # noqa: N802
+        return len(self.tops)
+
+    @property
+    def trees(self) -> list:
+        """Spark's trees, whole on the driver."""
+        return self.native().trees
+
+    @property
+    def featureImportances(self) -> DenseVector:  # noqa: N802
+        """Each tree's shares of gain times rows, summed: the subtrees' sums meet per tree, no node reaches the driver."""
+        width = len(self.edges)
+
+        def add(part: pd.DataFrame) -> pd.DataFrame:
+            total = np.stack(part.sort_values("root")["gains"].to_list()).sum(axis=0)
+            return pd.DataFrame({"tree": [int(part["tree"].iloc[0])], "gains": [total]})
+
+        below = self._subtrees().select("tree", "root", "gains").groupBy("tree").applyInPandas(add, "tree int, gains array<double>")
+        found = {r.tree: np.array(r.gains) for r in below.collect()}  # one row per tree
+        total = np.zeros(width)
+        for tree, top in enumerate(self.tops):
+            own = found.get(tree, 0) + _gains({**top, "counts": [c if c is not None else 0 for c in top["counts"]]}, width)
+            if own.sum() > 0:
+                total += own / own.sum()
+        return Vectors.dense(total / total.sum() if total.sum() > 0 else total)
+
+    def native(self) -> RandomForestClassificationModel:
+        """Spark's model of these nodes; it lives whole on the driver."""
+        return _model(self.folder, self._nodes())
+
+    def _subtrees(self) -> DataFrame:
+        return SparkSession.getActiveSession().read.schema(SUBTREE).parquet(f"{self.folder}/subtrees")
+
+    def _nodes(self) -> DataFrame:
+        """All nodes as rows, numbered within their trees."""
+        classes, edges, names = self.classes, self.edges, [f.split()[0] for f in NODE.split(", ")]
+        spark, form = SparkSession.getActiveSession(), _form(classes)
+        below = self._subtrees()
+        sizes = {(r.tree, r.root): r.n // form.itemsize for r in below.select("tree", "root", F.length("nodes").alias("n")).collect()}
+        base, above = [], []
+        for tree, top in enumerate(self.tops):
+            made = len(top["feature"])
+            for root in range(made):
+                if top["feature"][root] >= 0 or top["done"][root]:
+                    f, c = int(top["feature"][root]), int(top["cut"][root])
+                    above.append((
+                        tree, root, root, f, float(edges[f][c]) if f >= 0 else 0.0, int(top["left"][root]), int(top["right"][root]),
+                        float(top["gain"][root]), int(top["n"][root]), [float(v) for v in top["counts"][root]],
+                    ))
+                elif (tree, root) in sizes:
+                    base.append((tree, root, made - 1))
+                    made += sizes[tree, root] - 1
+
+        def spread(batches):
+            for batch in batches:
+                for tree, root, base, nodes in batch[["tree", "root", "base", "nodes"]].itertuples(index=False):
+                    found = _unpacked(nodes, classes)
+                    line = np.arange(len(found["feature"]))
+                    moved = {k: np.where(found[k] >= 0, found[k] + base, -1) for k in ("left", "right")}
+                    threshold = [float(edges[f][c]) if f >= 0 else 0.0 for f, c in zip(found["feature"], found["cut"], strict=True)]
+                    yield pd.DataFrame({
+                        "tree": tree, "root": root, "id": np.where(line == 0, root, line + base), "feature": found["feature"],
+                        "threshold": threshold, **moved, "gain": found["gain"], "raw": found["raw"], "counts": list(found["counts"].astype(float)),
+                    })[names]
+
+        placed = below.join(F.broadcast(spark.createDataFrame(base, "tree int, root int, base int")), ["tree", "root"])
+        return placed.mapInPandas(spread, NODE).unionByName(spark.createDataFrame(above, NODE))
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        if dataset.isStreaming:  # groups of a stream can't wait for each other
+            return self.native().transform(dataset)
+        coded = dataset.withColumn("_codes", _coded(vector_to_array(self.column), self.edges))
+        rows = coded.join(self._votes(coded.select(F.col("_codes").alias("codes"))), F.col("_codes") == F.col("codes"))
+        total = F.aggregate("votes", F.lit(0.0), lambda a, x: a + x)
+        return rows.select(
+            *[dataset[c] for c in dataset.columns], array_to_vector("votes").alias("rawPrediction"),
+            array_to_vector(F.transform("votes", lambda x: x / total)).alias("probability"),
+            (F.array_position("votes", F.array_max("votes")) - 1).cast("double").alias("prediction"),
+        )
+
+    def _votes(self, rows: DataFrame) -> DataFrame:
+        """The trees' votes on each distinct value of ``codes``."""
+        tops, classes, width = self.tops, self.classes, len(self.edges)
+        size = max(1, min(BLOCK, VOTES // (len(tops) * classes)))
+
+        def dealt(batches):
+            block = TaskContext.get().partitionId() << 32
+            for batch in batches:
+                codes = np.frombuffer(b"".join(batch["codes"]), dtype=np.uint8).reshape(-1, width)
+                out = []
+                for at in range(0, len(codes), size):
+                    part, block = codes[at : at + size], block + 1
+                    for tree, top in enumerate(tops):
+                        place = _route(top, part)
+                        for root in np.unique(place):
+                            own = np.flatnonzero(place == root)
+                            out.append((tree, int(root), block, own.astype("<u2").tobytes() + part[own].tobytes()))
+                yield pd.DataFrame(out, columns=["tree", "root", "block", "body"])
+
+        def walk(batches):
+            """The votes of one subtree after the other; block 0 is the subtree itself."""
+            nodes = None
+            for batch in batches:
+                out = []
+                for (tree, _), some in groupby(batch[["tree", "root", "block", "body"]].itertuples(index=False), key=lambda r: (r.tree, r.root)):
+                    some = list(some)
+                    if some[0].block == 0:
+                        nodes = _unpacked(some.pop(0).body, classes)
+                    if not some:
+                        continue
+                    n = [len(r.body) // (width + 2) for r in some]
+                    codes = [np.frombuffer(r.body, dtype=np.uint8, offset=2 * k).reshape(k, width) for r, k in zip(some, n, strict=True)]
+                    counts = nodes["counts"][_route(nodes, np.concatenate(codes))].astype(float)
+                    share = np.split(counts / counts.sum(axis=1, keepdims=True), np.cumsum(n)[:-1])
+                    for r, k, x, p in zip(some, n, codes, share, strict=True):
+                        out.append((r.block, tree, r.body[: 2 * k], p.tobytes(), x.tobytes() if tree == 0 else None))
+                yield pd.DataFrame(out, columns=["block", "tree", "place", "share", "codes"])
+
+        def add(part: pd.DataFrame) -> pd.DataFrame:
+            n = sum(map(len, part["place"])) // (2 * len(tops))
+            votes, codes = np.zeros((n, classes)), np.zeros((n, width), dtype=np.uint8)
+            for r in part.sort_values("tree").itertuples(index=False):
+                own = np.frombuffer(r.place, dtype="<u2")
+                votes[own] += np.frombuffer(r.share).reshape(-1, classes)
+                if r.tree == 0:
+                    codes[own] = np.frombuffer(r.codes, dtype=np.uint8).reshape(-1, width)
+            return pd.DataFrame({"codes": [x.tobytes() for x in codes], "votes": list(votes)})
+
+        spark = rows.sparkSession
+        leaves = [
+            (t, int(root), 0, _packed({k: [v] for k, v in (("feature", -1), ("cut", 0), ("left", -1), ("gain", -1.0), ("raw", top["n"][root]), ("counts", top["counts"][root]))}, classes))
+            for t, top in enumerate(tops) for root in np.flatnonzero(top["done"])
+        ]
+        shape = "tree int, root int, block long, body binary"
+        below = self._subtrees().select("tree", "root", F.lit(0).cast("long").alias("block"), F.col("nodes").alias("body"))
+        # Sorted, so that a task that runs again makes the same blocks.
+        blocks = rows.distinct().sortWithinPartitions("codes").mapInPandas(dealt, shape)
+        met = below.unionByName(spark.createDataFrame(leaves, shape)).unionByName(blocks)
+        met = met.repartition(len(tops), "tree", "root").sortWithinPartitions("tree", "root", "block")
+        walked = met.mapInPandas(walk, "block long, tree int, place binary, share binary, codes binary")
+        return walked.groupBy("block").applyInPandas(add, "codes binary, votes array<double>")
+
+    def write(self) -> MLWriter:
+        return ForestWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return ForestReader()
+
+
+def _copy(spark: SparkSession, old: str, new: str) -> None:
+    spark.read.schema(SUBTREE).parquet(f"{old}/subtrees").write.parquet(f"{new}/subtrees")
+    spark.read.text(f"{old}/stub/metadata").coalesce(1).write.text(f"{new}/stub/metadata")
+    for part in ("treesMetadata", "data"):
+        spark.read.parquet(f"{old}/stub/{part}").write.parquet(f"{new}/stub/{part}")
+
+
+class ForestWriter(MLWriter):
+    def __init__(self, forest: Forest):
+        super().__init__()
+        self.forest = forest
+
+    def saveImpl(self, path: str) -> None:  # noqa: N802
+        spark, forest = self.sparkSession, self.forest
+        DefaultParamsWriter.saveMetadata(forest, path, spark)
+        tops = [{k: [None if x is None else np.asarray(x).tolist() for x in v] for k, v in top.items()} for top in forest.tops]
+        about = {"column": forest.column, "classes": forest.classes, "edges": [e.tolist() for e in forest.edges], "tops": tops}
+        spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.text(f"{path}/about")
+        _copy(spark, forest.folder, path)
+
+
+class ForestReader(MLReader):
+    def load(self, path: str) -> Forest:
+        spark = self.sparkSession
+        about = json.loads(spark.read.text(f"{path}/about").first()["value"])
+        tops = [
+            {k: [None if x is None else np.array(x) for x in v] if k == "counts" else np.array(v) for k, v in top.items()}
+            for top in about["tops"]
+        ]
+        folder = f"{shared_folder(spark)}/forest-{uuid.uuid4().hex}"
+        _copy(spark, path, folder)  # what lies at ``path`` may be overwritten
+        forest = Forest(folder, about["column"], about["classes"], [np.array(e, dtype=float) for e in about["edges"]], tops)
+        return forest._resetUid(DefaultParamsReader.loadMetadata(path, spark)["uid"])
+
+
+def _model(folder: str, nodes: DataFrame) -> RandomForestClassificationModel:
     """Spark's model of these nodes: the files of a model of single leaves, with its tree data replaced."""
     spark = nodes.sparkSession
-    column = estimator.getFeaturesCol()
-    stub = spark.createDataFrame([(float(i), Vectors.dense([0.0] * width)) for i in range(classes)], ["label", column])
-    folder = f"{shared_folder(spark)}/forest-{uuid.uuid4().hex}"
-    estimator.fit(stub).write().save(f"{folder}/stub")
-    spark.read.text(f"{folder}/stub/metadata").coalesce(1).write.text(f"{folder}/model/metadata")
-    spark.read.parquet(f"{folder}/stub/treesMetadata").write.parquet(f"{folder}/model/treesMetadata")
+    to = f"{shared_folder(spark)}/forest-{uuid.uuid4().hex}"
+    spark.read.text(f"{folder}/stub/metadata").coalesce(1).write.text(f"{to}/metadata")
+    spark.read.parquet(f"{folder}/stub/treesMetadata").write.parquet(f"{to}/treesMetadata")
     form = spark.read.parquet(f"{folder}/stub/data").schema
     total = F.aggregate("counts", F.lit(0.0), lambda a, x: a + x)
     squares = F.aggregate("counts", F.lit(0.0), lambda a, x: a + x * x)
@@ -248,28 +500,23 @@ def _model(estimator: RandomForestClassifier, nodes: DataFrame, classes: int, wi
         (1 - squares / (total * total)).alias("impurity"), F.col("counts").alias("impurityStats"), F.col("raw").alias("rawCount"),
         "gain", F.col("left").alias("leftChild"), F.col("right").alias("rightChild"), split.alias("split"),
     )
-    nodes.select(F.col("tree").alias("treeID"), data.cast(form["nodeData"].dataType).alias("nodeData")).write.parquet(f"{folder}/model/data")
-    return RandomForestClassificationModel.load(f"{folder}/model")
+    nodes.select(F.col("tree").alias("treeID"), data.cast(form["nodeData"].dataType).alias("nodeData")).write.parquet(f"{to}/data")
+    return RandomForestClassificationModel.load(to)
 
 
-def fit_forest(data: DataFrame, estimator: RandomForestClassifier, classes: int) -> RandomForestClassificationModel:
+def fit_forest(data: DataFrame, estimator: RandomForestClassifier, classes: int) -> Forest:
     """``estimator`` fitted on ``data`` (recording_id, label and its features column)."""
-    rows = data.select("recording_id", F.col("label").cast("int").alias("label"), vector_to_array(estimator.getFeaturesCol()).alias("x"))
+    spark, column = data.sparkSession, estimator.getFeaturesCol()
+    rows = data.select("recording_id", F.col("label").cast("int").alias("label"), vector_to_array(column).alias("x"))
     rows = materialise(rows)
     n, trees, depth, seed = rows.count(), estimator.getNumTrees(), estimator.getMaxDepth(), estimator.getSeed()
     width = len(rows.first()["x"])
     edges = cuts(rows, width)
     picked = math.ceil(math.sqrt(width))
-
-    @F.pandas_udf("binary")
-    def coded(x: pd.Series) -> pd.Series:
-        values = np.stack(x.to_list())
-        codes = np.stack([np.searchsorted(e, v, side="left") for e, v in zip(edges, values.T, strict=True)], axis=1)
-        return pd.Series([row.tobytes() for row in codes.astype(np.uint8)])
-
     # Repeated rows are rows: each gets a number of its own.
     key = F.xxhash64("recording_id", "label", "codes", F.monotonically_increasing_id())
-    rows = materialise(rows.select("recording_id", "label", coded("x").alias("codes")).select(key.alias("key"), "label", "codes"))
+    rows = rows.select("recording_id", "label", _coded(F.col("x"), edges).alias("codes"))
+    rows = materialise(rows.select(key.alias("key"), "label", "codes"))
     tops = _tops(rows, n, trees, depth, classes, width, picked, seed)
 
     def dealt(batches):
@@ -293,32 +540,11 @@ def fit_forest(data: DataFrame, estimator: RandomForestClassifier, classes: int)
         left = depth - int(tops[tree]["level"][root])
         rng = np.random.default_rng([seed, tree, root])
         found = grow(block[:, :width], label, block[:, width].astype(float), classes, left, picked, rng)
-        threshold = [float(edges[f][c]) if f >= 0 else 0.0 for f, c in zip(found["feature"], found["cut"], strict=True)]
-        columns = {k: found[k] for k in ("feature", "left", "right", "gain", "raw")}
-        return pd.DataFrame({
-            "tree": tree, "root": root, "id": np.arange(len(threshold)), "threshold": threshold, **columns, "counts": list(found["counts"]),
-        })[[f.split()[0] for f in NODE.split(", ")]]
+        return pd.DataFrame({"tree": [tree], "root": [root], "nodes": [_packed(found, classes)], "gains": [_gains(found, width)]})
 
+    folder = f"{shared_folder(spark)}/forest-{uuid.uuid4().hex}"
     packed = rows.mapInPandas(dealt, "tree int, root int, block binary")
-    below = materialise(packed.repartition(trees, "tree", "root").groupBy("tree", "root").applyInPandas(finish, NODE))
-    sizes = {(r["tree"], r["root"]): r["n"] for r in below.groupBy("tree", "root").agg(F.count("*").alias("n")).collect()}
-    base, above = [], []
-    for tree, top in enumerate(tops):
-        made = len(top["feature"])
-        for root in range(made):
-            if top["feature"][root] >= 0 or top["done"][root]:
-                f, c = int(top["feature"][root]), int(top["cut"][root])
-                above.append((
-                    tree, root, root, f, float(edges[f][c]) if f >= 0 else 0.0, int(top["left"][root]), int(top["right"][root]),
-                    float(top["gain"][root]), int(top["n"][root]), [float(v) for v in top["counts"][root]],
-                ))
-            elif (tree, root) in sizes:
-                base.append((tree, root, made - 1))
-                made += sizes[tree, root] - 1
-    spark = data.sparkSession
-    moved = below.join(F.broadcast(spark.createDataFrame(base, "tree int, root int, base int")), ["tree", "root"])
-    shift = {k: F.when(F.col(k) >= 0, F.col(k) + F.col("base")).otherwise(-1).cast("int").alias(k) for k in ("left", "right")}
-    number = F.when(F.col("id") == 0, F.col("root")).otherwise(F.col("id") + F.col("base")).cast("int").alias("id")
-    names = [f.split()[0] for f in NODE.split(", ")]
-    nodes = moved.select(*[number if k == "id" else shift.get(k, F.col(k)) for k in names])
-    return _model(estimator, nodes.unionByName(spark.createDataFrame(above, NODE)), classes, width)
+    packed.repartition(trees, "tree", "root").groupBy("tree", "root").applyInPandas(finish, SUBTREE).write.parquet(f"{folder}/subtrees")
+    stub = spark.createDataFrame([(float(i), Vectors.dense([0.0] * width)) for i in range(classes)], ["label", column])
+    estimator.fit(stub).write().save(f"{folder}/stub")
+    return Forest(folder, column, classes, edges, tops)
