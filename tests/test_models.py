@@ -94,6 +94,23 @@ def test_dbscan_matches_brute_force(spark, eps, least):
     assert [out[f"r{i:05d}"] for i in range(len(x))] == brute_dbscan(x, eps, least).tolist()
 
 
+@pytest.mark.parametrize("few", [0, 3])
+def test_dbscan_compares_dense_points_with_few(spark, monkeypatch, few):
+    """Points meet a share of the table each; clusters, borders and noise are those of brute force."""
+    from wavelark.ml import dbscan as D
+
+    monkeypatch.setattr(D, "PROBE", 30)
+    monkeypatch.setattr(D, "FEW", few)
+    asked, plain = [], D.compare
+    monkeypatch.setattr(D, "compare", lambda a, b, *args, **kw: (asked.append(a.count() * b.select("recording_id").distinct().count()), plain(a, b, *args, **kw))[1])
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(scale=0.3, size=(1500, 2)), np.column_stack([np.arange(60) * 0.45 + 2, np.zeros(60)]),
+                   rng.normal(scale=0.1, size=(40, 2)) + 30, rng.uniform(-40, 40, size=(20, 2))])
+    out = {r.recording_id: r.cluster for r in D.dbscan(table(spark, x), 0.5, 3).collect()}
+    assert [out[f"r{i:05d}"] for i in range(len(x))] == brute_dbscan(x, 0.5, 3).tolist()
+    assert sum(asked) < len(x) ** 2
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(f"{i:04d}", f"{i + 1:04d}") for i in range(200) if i != 120], "a string, b string")
     nodes = spark.createDataFrame([(f"{i:04d}",) for i in range(202)], "id string")

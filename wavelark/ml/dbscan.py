@@ -5,10 +5,18 @@ largest spread; a feature difference never exceeds the distance, so all
 neighbours of a point are in its cell or the eight around it.  Tiles return
 counts, spanning edges and labels, one row per point, however dense a cell is.
 Identical points are one row with a weight from the start.
+
+Points meet the table share by share, the first share ``PROBE`` points and each
+further one ``GROWTH`` times as many.  A point that has found enough neighbours
+is a core whatever follows, and cores already linked to the first large cluster
+need no more edges: any edge that joins another cluster has an end outside of
+it.  So dense data are compared with few shares, and only rare points with all.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -21,6 +29,10 @@ from wavelark.operators.ordered import running
 from wavelark.session import materialise
 
 
+#: Points of the first share; growth of the shares; open points that may meet all that is left at once, in ``PROBE``.
+PROBE, GROWTH, FEW = 4096, 16, 1
+
+
 def widest(df: DataFrame, n: int = 2) -> list[int]:
     """Positions of the features with the largest variance."""
     summary = Summarizer.variance(array_to_vector("features"))
@@ -138,6 +150,17 @@ def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
+def _shares(n: int) -> tuple[Column, int]:
+    """The share of each of ``n`` points, by a hash of its id, and how many shares there are."""
+    size, ends = PROBE / max(n, 1), []
+    while size < 0.25:
+        ends.append(size)
+        size *= GROWTH
+    place = F.pmod(F.xxhash64(F.lit("share"), "recording_id"), F.lit(1 << 30)) / (1 << 30)
+    share = sum([(place >= end).cast("int") for end in ends], F.lit(0))
+    return share, len(ends) + 1
+
+
 def dbscan(df: DataFrame, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
     """Cluster per row, -1 for noise.
 
@@ -151,6 +174,7 @@ def dbscan(df: DataFrame, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
         )
     )
     axes = widest(points)
+    share, shares = _shares(points.count())
 
     def weigh(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if len(a) == 0 or len(b) == 0:
@@ -158,10 +182,22 @@ def dbscan(df: DataFrame, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
         near = _close(a, b, eps) @ b["weight"].to_numpy(dtype=np.int64)
         return pd.DataFrame({"recording_id": a["recording_id"], "n": near})
 
-    counts = compare(
-        _home(points, axes, eps), _visiting(points, axes, eps), weigh, "recording_id string, n long",
-        merge=lambda found: found.groupby("recording_id", as_index=False)["n"].sum(),
-    ).groupBy("recording_id").agg(F.sum("n").alias("n"))
+    at, known = 0, []
+    open_ = points.select("recording_id", F.lit(0).cast("long").alias("n")).distinct()
+    while True:
+        asked = points.join(open_.select("recording_id"), "recording_id")
+        end = at + 1 if at == 0 or open_.count() > FEW * PROBE else shares
+        counts = compare(
+            _home(asked, axes, eps), _visiting(points.filter(share.between(at, end - 1)), axes, eps), weigh,
+            "recording_id string, n long", merge=lambda found: found.groupby("recording_id", as_index=False)["n"].sum(),
+        ).groupBy("recording_id").agg(F.sum("n").alias("more"))
+        counted = open_.join(counts, "recording_id", "left")
+        counted = materialise(counted.select("recording_id", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")))
+        known.append(counted if end == shares else counted.filter(F.col("n") >= min_samples))
+        open_, at = counted.filter(F.col("n") < min_samples), end
+        if at == shares or open_.isEmpty():
+            break
+    counts = reduce(DataFrame.unionByName, known)
     flagged = materialise(points.join(counts, "recording_id").withColumn("core", F.col("n") >= min_samples))
     cores = flagged.filter("core").select("recording_id", "features")
 
@@ -175,8 +211,24 @@ def dbscan(df: DataFrame, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
         part["b"] = part.groupby("c")["a"].transform("min")
         return part.loc[part["a"] != part["b"], ["a", "b"]]
 
-    edges = compare(_home(cores, axes, eps), _visiting(cores, axes, eps), span, "a string, b string", merge=_spanning)
-    roots = connected_components(edges, cores.select(F.col("recording_id").alias("id")))
+    names, at, left, asked = cores.select(F.col("recording_id").alias("id")), 0, None, cores
+    edges, largest = None, None
+    while True:
+        end = shares if left is not None and left <= FEW * PROBE else at + 1
+        met = _visiting(cores.filter(share.between(at, end - 1)), axes, eps)
+        found = compare(_home(asked, axes, eps), met, span, "a string, b string", merge=_spanning)
+        roots = materialise(connected_components(found if edges is None else edges.unionByName(found), names))
+        at = end
+        if largest is None:
+            first = roots.groupBy("root").count().orderBy(F.desc("count"), "root").first()
+            largest = first and first["root"]
+        own = roots.filter(F.col("id") == largest).first()
+        outside = roots.filter(F.col("root") != (own and own["root"]))
+        left = outside.select("id").distinct().count()
+        if at == shares or left == 0:
+            break
+        edges = roots.select(F.col("id").alias("a"), F.col("root").alias("b"))
+        asked = cores.join(outside.select(F.col("id").alias("recording_id")).distinct(), "recording_id")
     firsts = roots.select("root").distinct()
     # Range partitions of the roots are buckets whatever the ids look like; written, as their borders are sampled.
     ranged = materialise(firsts.repartitionByRange("root").withColumn("_part", F.spark_partition_id()))
