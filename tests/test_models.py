@@ -353,6 +353,28 @@ def test_ward_merges_are_the_cheapest_ones_with_ties_and_copies(spark, finish, s
     assert sum(m.cost for m in merges) == pytest.approx(((x - x.mean(axis=0)) ** 2).sum())
 
 
+@pytest.mark.parametrize("shift,scale", [(0.0, 1.0), (1e6, 1e-3), (0.0, 1e25)])
+def test_ward_clusters_meet_once_for_both(monkeypatch, shift, scale):
+    """One meeting of two tables gives every row of both its cheapest partner, also where single precision can't tell."""
+    import pandas as pd
+
+    from wavelark.ml import hierarchy as H
+
+    monkeypatch.setattr(H, "STRIP", 16)
+    rng = np.random.default_rng(4)
+    x, n = shift + scale * rng.integers(0, 9, size=(150, 3)) + scale * 1e-3 * rng.normal(size=(150, 3)), rng.integers(1, 5, 150)
+    rows = pd.DataFrame({"id": [f"r{i:03d}" for i in range(150)], "h": rng.integers(-(2**62), 2**62, 150), "n": n, "centre": list(x)})
+    cost = ((x[:, None] - x[None]) ** 2).sum(axis=2) * np.outer(n, n) / np.add.outer(n, n)
+    np.fill_diagonal(cost, np.inf)
+    parted = cost.copy()
+    parted[:60, :60] = parted[60:, 60:] = np.inf
+    for found, want in ((H.nearest(rows, side=40), cost), (H.nearest(rows[:60].reset_index(drop=True), rows[60:].reset_index(drop=True), 40), parted)):
+        assert sorted(found["id"]) == rows["id"].tolist()
+        for r in found.itertuples():
+            i, j = int(r.id[1:]), int(r.other[1:])
+            assert want[i, j] == pytest.approx(want[i].min(), rel=1e-12) and r.cost == pytest.approx(want[i].min(), rel=1e-12)
+
+
 def test_ward_partition_equals_brute_force(spark):
     from wavelark.ml.hierarchy import ward_clusters, ward_merges
 

@@ -8,7 +8,7 @@ a hash of the pair, which leaves many pairs to merge in a round even where all
 distances are equal.
 
 A round compares all clusters tile by tile (one row per cluster and tile, never
-pairs), as the rule needs: its work is quadratic in the clusters left, whose
+pairs; each two clusters meet once), as the rule needs: its work is quadratic in the clusters left, whose
 number falls by about a third a round.  ``clusters.micro_cluster_ward`` is the
 form for tables too large for that.  Identical rows are one weighted row.  The
 last ``finish`` clusters are merged on the driver in the same way.
@@ -24,77 +24,140 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavelark.ml.dbscan import connected_components
-from wavelark.ml.tiles import SIDE, compare, matrix
+from wavelark.ml.tiles import GROUPS, LARGEST, SIDE, matrix
 from wavelark.session import materialise
 
 #: Rows of a tile whose candidates are ranked together.
-STRIP = 64
+STRIP = 256
 #: Odd multiplier that spreads the hash of a pair.
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 MERGE = "step int, left string, right string, size long, cost double, height double"
 
 
-def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-    """(id, other, cost, tie): for every row of ``a`` the cheapest row of ``b`` to merge with.
+class _Best:
+    """The cheapest partner of each row so far."""
 
-    Both hold id, h, n, centre.  Costs found by the fast formula choose
-    candidates; these are ranked by differences, which give both partners the
-    same number.
+    def __init__(self, n: int):
+        self.cost, self.tie, self.at = np.full(n, np.inf), np.zeros(n, dtype=np.int64), np.full(n, -1)
+
+    def update(self, row: np.ndarray, partner: np.ndarray, cost: np.ndarray, tie: np.ndarray) -> None:
+        order = np.lexsort((tie, cost, row))
+        order = order[np.unique(row[order], return_index=True)[1]]
+        row, partner, cost, tie = row[order], partner[order], cost[order], tie[order]
+        won = (cost < self.cost[row]) | ((cost == self.cost[row]) & (tie < self.tie[row])) | (self.at[row] < 0)
+        row = row[won]
+        self.cost[row], self.tie[row], self.at[row] = cost[won], tie[won], partner[won]
+
+
+def nearest(a: pd.DataFrame, b: pd.DataFrame | None = None, side: int = SIDE) -> pd.DataFrame:
+    """(id, other, cost, tie): for every row of both tables the cheapest row of the other one to merge with.
+
+    Both hold id, h, n, centre; without ``b`` the rows of ``a`` meet each other.
+    Each pair is met once, for both of its rows.  Costs found by the fast formula
+    in single precision choose candidates (in double precision once single leaves
+    too many); these are ranked by differences, which give both partners the same
+    number.
     """
-    found = [pd.DataFrame({"id": [], "other": [], "cost": [], "tie": []})]
+    alone = b is None
+    b = a if alone else b
     if len(a) == 0 or len(b) == 0:
-        return found[0]
-    mine, other = matrix(a["centre"]), matrix(b["centre"])
-    own, their = a["id"].to_numpy(), b["id"].to_numpy()
+        return pd.DataFrame({"id": [], "other": [], "cost": [], "tie": []})
+    mine = matrix(a["centre"])
+    other = mine if alone else matrix(b["centre"])
     hash_a, hash_b = a["h"].to_numpy().view(np.uint64), b["h"].to_numpy().view(np.uint64)
     n, m = a["n"].to_numpy(dtype=float), b["n"].to_numpy(dtype=float)
     middle = other.mean(axis=0)
     x, y = mine - middle, other - middle
     square_x, square_y = (x**2).sum(axis=1), (y**2).sum(axis=1)
-    # One product gives all squared distances, each off by at most ``error``.
-    error = 8 * np.finfo(float).eps * (x.shape[1] + 6) * (square_x + square_y.max())
     x = np.column_stack([-2 * x, square_x, np.ones(len(x))])
     y = np.column_stack([y, np.ones(len(y)), square_y]).T.copy()
-    mutual = np.isin(hash_a, hash_b)
-    paid, inverse = np.empty((STRIP, len(b))), np.empty((STRIP, len(b)))
-    for at in range(0, len(a), STRIP):
-        part = slice(at, at + STRIP)
-        size = len(n[part])
-        cost = np.matmul(x[part], y, out=paid[:size])
-        cost /= np.add.outer(1 / n[part], 1 / m, out=inverse[:size])
-        for line in np.flatnonzero(mutual[part]):
-            same = np.flatnonzero(hash_b == hash_a[at + line])
-            cost[line, same[their[same] == own[at + line]]] = np.inf
-        # A weight is at most the row's own size.
-        least = cost.min(axis=1)
-        least = least + 2 * error[part] * n[part] + 1e-14 * np.abs(least)
-        row, column = np.nonzero((cost <= least[:, None]) & np.isfinite(cost) if mutual[part].any() else cost <= least[:, None])
-        weight = n[part][row] * m[column] / (n[part][row] + m[column])
-        gap = np.concatenate([
-            ((mine[part][row[i : i + 65536]] - other[column[i : i + 65536]]) ** 2).sum(axis=1)
-            for i in range(0, len(row), 65536)
-        ]) if len(row) else np.zeros(0)
-        cost = gap * weight
-        tie = (((hash_a[part][row] ^ hash_b[column]) * SPREAD) >> np.uint64(1)).astype(np.int64)
-        order = np.lexsort((tie, cost, row))
-        order = order[np.unique(row[order], return_index=True)[1]]
+    largest = max(square_x.max(), square_y.max())
+    kind = np.float32 if 1e-20 < largest < 1e20 and max(n.max(), m.max()) < 1e15 else np.float64
+    best_a = _Best(len(a))
+    best_b = best_a if alone else _Best(len(b))
+
+    def candidates(rows: slice, columns: slice, kind: type) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs among which are all that may be the cheapest yet of a row or a column."""
+        size, other_size = n[rows], m[columns]
+        shape = len(size), len(other_size)
+        paid, inverse = (room[: shape[0] * shape[1]].reshape(shape) for room in rooms[kind])
+        cost = np.matmul(factor[kind][0][rows], factor[kind][1][:, columns], out=paid)
+        if size.min() == size.max() and other_size.min() == other_size.max():
+            cost *= kind(size[0] * other_size[0] / (size[0] + other_size[0]))
+        else:
+            cost /= np.add.outer((1 / size).astype(kind), (1 / other_size).astype(kind), out=inverse)
+        if alone and rows.stop > columns.start:  # a pair is met once
+            cost[np.arange(rows.start, rows.stop)[:, None] >= np.arange(columns.start, columns.stop)] = np.inf
+        # One product gives all squared distances, each off by at most so much; a weight is at most the row's own size.
+        eps = np.finfo(kind).eps
+        off = 8 * eps * (x.shape[1] + 4)
+        found = []
+        for axis, best, squares, most, sizes in (
+            (1, best_a.cost[rows], square_x[rows], square_y[columns].max(), size),
+            (0, best_b.cost[columns], square_y[columns], square_x[rows].max(), other_size),
+        ):
+            least = cost.min(axis=axis).astype(float)
+            error = off * (squares + most) * sizes
+            limit = np.minimum(best, least + error)
+            limit += error + 32 * eps * np.abs(np.where(np.isfinite(limit), limit, 0))
+            line = np.flatnonzero((least <= limit) & np.isfinite(least))
+            limit = limit[line].astype(kind)
+            if axis:
+                r, c = np.nonzero(cost[line] <= limit[:, None])
+                found.append((line[r], c))
+            else:
+                r, c = np.nonzero(cost[:, line] <= limit)
+                found.append((r, line[c]))
+        return tuple(np.concatenate(part) for part in zip(*found, strict=True))
+
+    factor = {k: (x.astype(k), y.astype(k)) for k in {kind, np.float64}}
+    rooms = {k: np.empty((2, min(STRIP, len(a)) * min(side, len(b))), dtype=k) for k in factor}
+    for start in range(0, len(b), side):
+        columns = slice(start, min(start + side, len(b)))
+        for at in range(0, len(a), STRIP):
+            rows = slice(at, min(at + STRIP, len(a)))
+            if alone and columns.stop <= at + 1:
+                continue
+            row, column = candidates(rows, columns, kind)
+            if kind is np.float32 and len(row) > 1000 + 4 * (STRIP + side):
+                kind = np.float64
+                row, column = candidates(rows, columns, kind)
+            row, column = row + at, column + start
+            gap = np.concatenate([
+                ((mine[row[i : i + 65536]] - other[column[i : i + 65536]]) ** 2).sum(axis=1)
+                for i in range(0, len(row), 65536)
+            ]) if len(row) else np.zeros(0)
+            cost = gap * (n[row] * m[column] / (n[row] + m[column]))
+            tie = (((hash_a[row] ^ hash_b[column]) * SPREAD) >> np.uint64(1)).astype(np.int64)
+            best_a.update(row, column, cost, tie)
+            best_b.update(column, row, cost, tie)
+    found = []
+    for best, own, their in [(best_a, a, b), (best_b, b, a)][: 1 if alone else 2]:
+        met = np.flatnonzero(best.at >= 0)
         found.append(pd.DataFrame({
-            "id": own[part][row[order]], "other": their[column[order]], "cost": cost[order], "tie": tie[order],
+            "id": own["id"].to_numpy()[met], "other": their["id"].to_numpy()[best.at[met]], "cost": best.cost[met], "tie": best.tie[met],
         }))
-    return pd.concat(found[1:], ignore_index=True)
+    return pd.concat(found, ignore_index=True)
+
+
+def _nearest(state: DataFrame, count: int, side: int) -> DataFrame:
+    """``nearest`` over all clusters: every two parts of the table meet in one tile, a part with itself in another."""
+    parts = max(1, min(-(-count // side), int((2 * GROUPS) ** 0.5)), -(-count // LARGEST))
+    rows = state.select("id", F.xxhash64("id").alias("h"), "n", "centre")
+    part = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(parts)).cast("int")
+    a = rows.withColumn("_l", part).withColumn("_r", F.explode(F.sequence("_l", F.lit(parts - 1))))
+    b = rows.withColumn("_r", part).withColumn("_l", F.explode(F.when(F.col("_r") > 0, F.sequence(F.lit(0), F.col("_r") - 1))))
 
+    def meet(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return nearest(a, None if key[0] == key[1] else b, side)
 
-def _cheapest(found: pd.DataFrame) -> pd.DataFrame:
-    """The best row of ``nearest`` for each id, in the order of ``_round``."""
-    ends = np.sort(found[["id", "other"]].to_numpy(dtype=str), axis=1)
-    order = np.lexsort((ends[:, 1], ends[:, 0], found["tie"].astype(np.int64), found["cost"].astype(float)))
-    return found.iloc[order].drop_duplicates("id")
+    tiles = a.groupBy("_l", "_r").cogroup(b.groupBy("_l", "_r"))
+    return tiles.applyInPandas(meet, "id string, other string, cost double, tie long")
 
 
-def _round(state: DataFrame, side: int) -> DataFrame:
+def _round(state: DataFrame, count: int, side: int) -> DataFrame:
     """The clusters after merging all reciprocal pairs; ``right`` and ``cost`` tell what was merged."""
-    cells = state.select("id", F.xxhash64("id").alias("h"), "n", "centre", F.lit(0).alias("cell"))
-    near = compare(cells, cells, nearest, "id string, other string, cost double, tie long", key="id", side=side, merge=_cheapest)
+    near = _nearest(state, count, side)
     best = near.groupBy("id").agg(F.min(F.struct("cost", "tie", F.least("id", "other"), F.greatest("id", "other"))).alias("p"))
     pairs = best.groupBy(F.col("p.col3").alias("left"), F.col("p.col4").alias("other")).agg(
         F.count(F.lit(1)).alias("sides"), F.min("p.cost").alias("cost")
@@ -120,7 +183,7 @@ def _finished(rows: pd.DataFrame, step: int) -> list[tuple]:
     """The remaining merges of at most ``finish`` clusters, in the same rounds."""
     merges = []
     while len(rows) > 1:
-        best = nearest(rows, rows).set_index("id")
+        best = nearest(rows).set_index("id")
         at = rows.set_index("id")
         pairs = [(i, o, c) for i, o, c in zip(best.index, best["other"], best["cost"], strict=True) if i < o and best.at[o, "other"] == i]
         if not pairs:
@@ -145,7 +208,7 @@ def _merges(points: DataFrame, finish: int, side: int) -> DataFrame:
     state = materialise(points.select("id", "n", F.col("features").alias("centre"), F.lit(0.0).alias("height")))
     left, step, done = state.count(), 1, []
     while left > max(finish, 1):
-        state = materialise(_round(state, side))
+        state = materialise(_round(state, left, side))
         done.append(state.filter("right is not null").select(
             F.lit(step).alias("step"), F.col("id").alias("left"), "right", F.col("n").alias("size"), "cost", "height"
         ))

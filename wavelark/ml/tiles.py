@@ -34,7 +34,7 @@ def _sides(df: DataFrame, counts: DataFrame, other: DataFrame, mine: str, theirs
 
 def compare(
     left: DataFrame, right: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str,
-    key: str = "recording_id", side: int = SIDE, merge: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
+    key: str = "recording_id", side: int = SIDE, *, merge: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
 ) -> DataFrame:
     """Apply ``run(left_rows, right_rows)`` to every block of every tile of every shared cell.
 
