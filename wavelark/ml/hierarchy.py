@@ -8,8 +8,8 @@ a hash of the pair, which leaves many pairs to merge in a round even where all
 distances are equal.
 
 A round compares all clusters tile by tile (one row per cluster and tile, never
-pairs; each two clusters meet once), as the rule needs: its work is quadratic in the clusters left, whose
-number falls by about a third a round.  ``clusters.micro_cluster_ward`` is the
+pairs; each two clusters meet once), as the rule needs: its work is quadratic in the clusters left, and
+the number of rounds grows where many clusters share their nearest.  ``clusters.micro_cluster_ward`` is the
 form for tables too large for that.  Identical rows are one weighted row.  The
 last ``finish`` clusters are merged on the driver in the same way.
 """
@@ -147,6 +147,7 @@ def _nearest(state: DataFrame, count: int, side: int) -> DataFrame:
     part = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(parts)).cast("int")
     a = rows.withColumn("_l", part).withColumn("_r", F.explode(F.sequence("_l", F.lit(parts - 1))))
     b = rows.withColumn("_r", part).withColumn("_l", F.explode(F.when(F.col("_r") > 0, F.sequence(F.lit(0), F.col("_r") - 1))))
+    b = b.select(*[F.col(c).alias(c) for c in b.columns])  # own identity, as both sides share a table
 
     def meet(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return nearest(a, None if key[0] == key[1] else b, side)
