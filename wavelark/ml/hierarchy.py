@@ -7,9 +7,10 @@ height the merges are those of the one-by-one rule.  Equal costs are ordered by
 a hash of the pair, which leaves many pairs to merge in a round even where all
 distances are equal.
 
-A round compares all clusters tile by tile (one row per cluster and tile, never
-pairs; each two clusters meet once), as the rule needs: its work is quadratic in the clusters left, and
-the number of rounds grows where many clusters share their nearest.  ``clusters.micro_cluster_ward`` is the
+The first round compares all clusters tile by tile (one row per cluster and tile,
+never pairs; each two clusters meet once), which is quadratic in their number.  As
+no merged cluster comes nearer than its parts were, only merged clusters and those
+whose nearest was merged meet all others in later rounds.  ``clusters.micro_cluster_ward`` is the
 form for tables too large for that.  Identical rows are one weighted row.  The
 last ``finish`` clusters are merged on the driver in the same way.
 """
@@ -156,10 +157,37 @@ def _nearest(state: DataFrame, count: int, side: int) -> DataFrame:
     return tiles.applyInPandas(meet, "id string, other string, cost double, tie long")
 
 
-def _round(state: DataFrame, count: int, side: int) -> DataFrame:
-    """The clusters after merging all reciprocal pairs; ``right`` and ``cost`` tell what was merged."""
-    near = _nearest(state, count, side)
-    best = near.groupBy("id").agg(F.min(F.struct("cost", "tie", F.least("id", "other"), F.greatest("id", "other"))).alias("p"))
+def _cross(fresh: DataFrame, rest: DataFrame, n: int, m: int, side: int) -> DataFrame:
+    """``nearest`` between the clusters of two tables."""
+    extent = max(side, min(LARGEST, int((n * m / GROUPS) ** 0.5)))
+    parts = {"_l": -(-n // extent), "_r": -(-m // extent)}
+
+    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+        part = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(parts[own])).cast("int")
+        copies = F.explode(F.sequence(F.lit(0), F.lit(parts[other] - 1)))
+        rows = rows.select("id", F.xxhash64("id").alias("h"), "n", "centre", part.alias(own), copies.alias(other))
+        return rows.select(*[F.col(c).alias(c) for c in rows.columns])  # own identity, as both sides share a table
+
+    tiles = dealt(fresh, "_l", "_r").groupBy("_l", "_r").cogroup(dealt(rest, "_r", "_l").groupBy("_l", "_r"))
+    return tiles.applyInPandas(lambda a, b: nearest(a, b, side), "id string, other string, cost double, tie long")
+
+
+def _near(state: DataFrame, known: DataFrame | None, n: int, m: int, side: int) -> DataFrame:
+    """The nearest cluster ``p`` of each: the ``n`` fresh ones meet all, the ``m`` others keep theirs unless a fresh one is nearer."""
+    found = _nearest(state.filter("fresh"), n, side)
+    if m:
+        found = found.unionByName(_cross(state.filter("fresh"), state.filter("not fresh"), n, m, side))
+    best = found.select("id", F.struct("cost", "tie", F.least("id", "other"), F.greatest("id", "other")).alias("p"))
+    if m:
+        best = best.unionByName(known.join(state.filter("not fresh").select("id"), "id", "left_semi"))
+    return best.groupBy("id").agg(F.min("p").alias("p"))
+
+
+def _round(state: DataFrame, best: DataFrame) -> DataFrame:
+    """The clusters after merging all reciprocal pairs; ``right`` and ``cost`` tell what was merged.
+
+    ``fresh`` are the merged clusters and those whose nearest was merged.
+    """
     pairs = best.groupBy(F.col("p.col3").alias("left"), F.col("p.col4").alias("other")).agg(
         F.count(F.lit(1)).alias("sides"), F.min("p.cost").alias("cost")
     ).filter("sides = 2")
@@ -173,10 +201,13 @@ def _round(state: DataFrame, count: int, side: int) -> DataFrame:
     n = F.col("a.n") + F.col("b.n")
     both = F.zip_with("a.centre", "b.centre", lambda x, y: (F.col("a.n") * x + F.col("b.n") * y) / n)
     pair = F.col("cost").isNotNull()
+    partner = F.when(F.col("p.col3") == F.col("id"), F.col("p.col4")).otherwise(F.col("p.col3"))
+    lost = best.select("id", partner.alias("gone")).join(target.select(F.col("id").alias("gone")), "gone", "left_semi")
+    merged = merged.join(lost.select("id", F.lit(True).alias("lost")), "id", "left")
     return merged.select(
         "id", F.when(pair, n).otherwise(F.col("a.n")).alias("n"), F.when(pair, both).otherwise(F.col("a.centre")).alias("centre"),
         F.when(pair, F.greatest("height", "cost")).otherwise(F.col("height")).alias("height"),
-        F.when(pair, F.col("last")).alias("right"), "cost",
+        F.when(pair, F.col("last")).alias("right"), "cost", (pair | F.col("lost").isNotNull()).alias("fresh"),
     )
 
 
@@ -206,14 +237,17 @@ def _distinct(df: DataFrame) -> DataFrame:
 
 def _merges(points: DataFrame, finish: int, side: int) -> DataFrame:
     spark = points.sparkSession
-    state = materialise(points.select("id", "n", F.col("features").alias("centre"), F.lit(0.0).alias("height")))
-    left, step, done = state.count(), 1, []
+    state = materialise(points.select("id", "n", F.col("features").alias("centre"), F.lit(0.0).alias("height"), F.lit(True).alias("fresh")))
+    left, step, done, near = state.count(), 1, [], None
+    fresh = left
     while left > max(finish, 1):
-        state = materialise(_round(state, left, side))
+        near = materialise(_near(state, near, fresh, left - fresh, side))
+        state = materialise(_round(state, near))
         done.append(state.filter("right is not null").select(
             F.lit(step).alias("step"), F.col("id").alias("left"), "right", F.col("n").alias("size"), "cost", "height"
         ))
-        before, left, step = left, state.count(), step + 1
+        before, step = left, step + 1
+        left, fresh = state.agg(F.count(F.lit(1)), F.count_if("fresh")).first()
         if left == before:
             raise RuntimeError("no two clusters are nearest to each other: two ids share their hash")
     rest = state.select("id", F.xxhash64("id").alias("h"), "n", "centre", "height").toPandas()
