@@ -375,6 +375,16 @@ def test_ward_clusters_meet_once_for_both(monkeypatch, shift, scale):
             assert want[i, j] == pytest.approx(want[i].min(), rel=1e-12) and r.cost == pytest.approx(want[i].min(), rel=1e-12)
 
 
+def test_later_ward_rounds_meet_what_a_merge_touched(spark, monkeypatch):
+    from wavelark.ml import hierarchy as H
+
+    asked, plain = [], H._near
+    monkeypatch.setattr(H, "_near", lambda state, known, n, m, side: (asked.append((n, m)), plain(state, known, n, m, side))[1])
+    x = np.random.default_rng(9).normal(size=(300, 8))
+    assert H.ward_merges(table(spark, x), 100, 90).count() == 299
+    assert asked[0] == (300, 0) and len(asked) > 1 and all(m > 0 for _, m in asked[1:])
+
+
 def test_ward_partition_equals_brute_force(spark):
     from wavelark.ml.hierarchy import ward_clusters, ward_merges
 
